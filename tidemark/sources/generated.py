@@ -1,0 +1,66 @@
+"""Hourly sine series with optional noise and a random walk, for trying out continuous data."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.ordered import running_sum
+
+_H = math.pi / 12
+
+
+def diel(ts: Column, base: Column, amplitude: Column, peak_hour: float) -> Column:
+    """A daily sine wave that is highest at ``peak_hour``."""
+    return base + amplitude * F.sin((F.hour(ts) - F.lit(float(peak_hour))) * F.lit(_H) + F.lit(math.pi / 2))
+
+
+def hourly_series(
+    series: DataFrame,
+    keys: list[str],
+    start: str = "start",
+    end: str = "end",
+    peak_hour: float = 16,
+    noise_sd: bool = True,
+    seed: int = 7,
+) -> DataFrame:
+    """One row per series and hour from ``start`` 00:00 to ``end`` 23:00.
+
+    ``series`` holds the keys, two date columns and the doubles ``base``,
+    ``amplitude`` and (with ``noise_sd``) ``noise_sd``. The days are exploded
+    before the hours so that a long series spreads over tasks.
+    """
+    days = series.withColumn("day", F.explode(F.sequence(F.col(start), F.col(end), F.expr("interval 1 day"))))
+    hours = days.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    ts = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("h"))
+    out = hours.withColumn("timestamp", ts)
+    value = diel(F.col("timestamp"), F.col("base"), F.col("amplitude"), peak_hour)
+    if not noise_sd:
+        return out.select(*keys, "timestamp", value.alias("value"))
+    noisy = out.select(
+        *keys,
+        "day",
+        "timestamp",
+        "noise_sd",
+        value.alias("value"),
+        # seeded by the row's identity, not by its partition: a re-run task repeats its numbers
+        _normal([*keys, "timestamp"], seed).alias("_n"),
+        (_normal([*keys, "timestamp"], seed + 1) * F.lit(0.1)).alias("_step"),
+    )
+    walked = running_sum(noisy, keys, "day", "timestamp", "_step", "_walk")
+    total = F.col("value") + F.when(
+        F.col("noise_sd") > 0, F.col("_n") * F.col("noise_sd") + F.col("_walk")
+    ).otherwise(0.0)
+    return walked.select(*keys, "timestamp", total.alias("value"))
+
+
+def _normal(cols: list[str], seed: int) -> Column:
+    """A standard normal number hashed from the row (Box-Muller)."""
+
+    def uniform(salt: int) -> Column:
+        h = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in cols]), F.lit(1 << 53))
+        return (h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(2))
