@@ -46,6 +46,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def feed_path(folder: str, name: str) -> str:
+    """A stream source path that fits a single file as well as a folder of files.
+
+    As a pattern it is listed, not taken for a folder; it matches this one name only.
+    """
+    return os.path.join(folder, f"{name}.[p]arquet")
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
@@ -246,7 +254,7 @@ def raw_lab(spark: SparkSession, folder: str) -> DataFrame:
         dirty_number(k, v).alias("TP (µg/L)"),
         v.alias("TN (µg/L)"),
         F.when(k % 3 == 0, v).alias("Secchi (ft)"),
-        note.alias("Secchi"),
+        note.alias("Secchi 2"),
         v.alias("Cond (µS/cm)"),
         F.when(k % 4 == 0, "0.5").alias("Cond (mS/cm)"),
         F.lit(None).cast("string").alias("1"),
