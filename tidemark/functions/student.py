@@ -21,25 +21,26 @@ def tail_coefficients(z: float = S.Z_975) -> tuple[float, ...]:
     )
 
 
-def t_quantile(df: Column) -> Column:
+def t_quantile(df: str) -> Column:
     """The 0.975 quantile for an integer column: tabulated to 30, expanded beyond."""
-    x = df.cast("double")
-    series = F.lit(0.0)
+    table = ", ".join(f"{v}D" for v in S.T_975)
+    tail = "0D"
     for c in reversed(tail_coefficients()):
-        series = (series + F.lit(c)) / x
-    table = F.array(*[F.lit(v) for v in S.T_975])
-    return F.when(df < 1, None).when(
-        df <= len(S.T_975), F.get(table, (df - 1).cast("int"))
-    ).otherwise(F.lit(S.Z_975) + series)
+        tail = f"({tail} + {c!r}D) / {df}"
+    return F.expr(
+        f"CASE WHEN {df} BETWEEN 1 AND {len(S.T_975)} THEN get(array({table}), CAST({df} - 1 AS INT))"
+        f" WHEN {df} > {len(S.T_975)} THEN {S.Z_975!r}D + {tail} END"
+    )
 
 
-def t_bounds(n: Column, mean: Column, variance: Column) -> tuple[Column, Column]:
+def t_bounds(n: str, mean: str, variance: str) -> tuple[Column, Column]:
     """Lower and upper bound of the mean; NULL below two values or when they barely differ.
 
-    ``variance`` is the sample variance. The values count as constant when the
-    standard error is under ten machine epsilons of the mean.
+    The arguments name columns; ``variance`` is the sample variance. The values
+    count as constant when the standard error is under ten machine epsilons of
+    the mean.
     """
-    se = F.sqrt(variance / n)
-    usable = (n > 1) & (se >= F.lit(10 * EPS) * F.abs(mean)) & (se > 0)
-    half = t_quantile(n - 1) * se
-    return F.when(usable, mean - half), F.when(usable, mean + half)
+    se = F.expr(f"sqrt({variance} / {n})")
+    usable = F.expr(f"{n} > 1") & (se > 0) & (se >= F.expr(f"{10 * EPS!r}D * abs({mean})"))
+    half = t_quantile(f"({n} - 1)") * se
+    return F.when(usable, F.col(mean) - half), F.when(usable, F.col(mean) + half)

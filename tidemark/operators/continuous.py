@@ -50,7 +50,7 @@ def continuous_period(
     grouped = rows.groupBy(*SERIES, dates.period_floor(F.col("timestamp"), period).alias("date")).agg(
         F.count("val").alias("n"), F.avg("val").alias("val"), F.var_samp("val").alias("_var")
     )
-    lo, hi = t_bounds(F.col("n"), F.col("val"), F.col("_var"))
+    lo, hi = t_bounds("n", "val", "_var")
     return grouped.select(*SERIES, "date", "n", "val", lo.alias("lovl"), hi.alias("hivl"))
 
 

@@ -14,17 +14,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_on
+from tidemark.session import saved
+
+
+def _chunk_key(keys: Sequence[str], chunk: str) -> Column:
+    """Series and chunk as one value. A struct is equal to itself with NULL fields, so a plain equality
+    joins it, and that join reuses the partitioning and order the window inside the chunk has made."""
+    return F.struct(*keys, chunk)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: str, out: str) -> DataFrame:
     """Cumulative sum of ``value`` per series in ``order``; ``chunk`` must not decrease along it."""
-    totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, chunk, F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_inside", F.sum(value).over(inside))
-    joined = join_on(rows, offsets, [*keys, chunk], "inner")
-    return joined.withColumn(out, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset")
+    keyed = df.withColumn("_key", _chunk_key(keys, chunk))
+    totals = keyed.groupBy("_key").agg(F.sum(value).alias("_total"))
+    series = F.struct(*[F.col(f"_key.{k}") for k in keys])
+    before = Window.partitionBy(series).orderBy(f"_key.{chunk}").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_key", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_offset"))
+    inside = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.withColumn("_inside", F.sum(value).over(inside))
+    joined = rows.join(offsets, "_key")
+    return joined.withColumn(out, F.col("_inside") + F.col("_offset")).drop("_key", "_inside", "_offset")
 
 
 def previous_value(
@@ -34,16 +43,17 @@ def previous_value(
 
     ``chunk`` must not decrease along ``order``, which must be unique per series.
     """
-    rows = df.withColumn("_chunk", chunk)
-    lasts = rows.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = lasts.select(*keys, "_chunk", F.lag("_last").over(across).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    local = rows.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
-    joined = join_on(local, carried, [*keys, "_chunk"], "inner")
+    keyed = df.withColumn("_chunk", chunk).withColumn("_key", _chunk_key(keys, "_chunk")).drop("_chunk")
+    lasts = keyed.groupBy("_key").agg(F.max_by(value, order).alias("_last"))
+    series = F.struct(*[F.col(f"_key.{k}") for k in keys])
+    across = Window.partitionBy(series).orderBy("_key._chunk")
+    carried = lasts.select("_key", F.lag("_last").over(across).alias("_carried"))
+    inside = Window.partitionBy("_key").orderBy(order)
+    local = keyed.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
+    joined = local.join(carried, "_key")
     first = F.col("_rn") == 1
     return joined.withColumn(out, F.when(first, F.col("_carried")).otherwise(F.col("_lag"))).drop(
-        "_chunk", "_lag", "_rn", "_carried"
+        "_key", "_lag", "_rn", "_carried"
     )
 
 
@@ -78,9 +88,8 @@ def exact_quantiles(
         "_wanted",
         F.filter("_wanted", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c"))),
     ).filter(F.size("_wanted") > 0)
-    inside = join_on(
-        binned, target.select(*keys, "_bin", "n", "_below", "_wanted"), [*keys, "_bin"], "inner"
-    )
+    wanted_bins = saved(target.select(*keys, "_bin", "n", "_below", "_wanted"), "quantile-bins")
+    inside = join_on(binned, wanted_bins, [*keys, "_bin"], "inner")
     values = inside.groupBy(*keys, "_bin", "n", "_below", "_wanted", "_v").agg(F.count("*").alias("_m"))
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.withColumn("_upto", F.sum("_m").over(in_bin) + F.col("_below"))

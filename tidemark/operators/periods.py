@@ -51,7 +51,7 @@ def period_stats(rows: DataFrame, period: str, keys: Sequence[str] = SERIES) ->
         )
     else:
         grouped = _by_run(rows, period, keys)
-    lo, hi = t_bounds(F.col("n"), F.col("mean"), F.col("variance"))
+    lo, hi = t_bounds("n", "mean", "variance")
     rain = F.col("parameter") == "rain" if "parameter" in keys else F.lit(False)
     return grouped.select(
         *keys,

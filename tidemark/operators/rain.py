@@ -13,6 +13,7 @@ from tidemark.functions.values import recode
 from tidemark.operators.filters import wet_days
 from tidemark.operators.joins import join_on
 from tidemark.operators.ordered import exact_quantiles
+from tidemark.session import saved
 
 
 def rain_monthly(daily: DataFrame, names: Mapping[str, str] = S.RAIN_STATIONS) -> DataFrame:
@@ -44,7 +45,7 @@ def rain_distribution(daily: DataFrame, key: str = "station") -> DataFrame:
     """Box-plot figures of wet days per gauge: quartiles, whiskers (the furthest values within 1.5
     interquartile ranges) and the number of values beyond them."""
     wet = wet_days(daily)
-    q = exact_quantiles(wet, [key], "precip_inches", (0.25, 0.5, 0.75))
+    q = saved(exact_quantiles(wet, [key], "precip_inches", (0.25, 0.5, 0.75)), "quartiles")
     reach = (F.col("q2") - F.col("q0")) * F.lit(1.5)
     fences = q.select(key, "n", "q0", "q1", "q2", (F.col("q0") - reach).alias("_lo"), (F.col("q2") + reach).alias("_hi"))
     tagged = join_on(wet.select(key, "precip_inches"), fences, [key], "inner")
@@ -59,7 +60,7 @@ def rain_distribution(daily: DataFrame, key: str = "station") -> DataFrame:
 
 def rain_outliers(daily: DataFrame, key: str = "station") -> DataFrame:
     """The wet days beyond the whiskers."""
-    box = rain_distribution(daily, key).select(key, "whisker_low", "whisker_high")
+    box = saved(rain_distribution(daily, key).select(key, "whisker_low", "whisker_high"), "whiskers")
     tagged = join_on(wet_days(daily), box, [key], "inner")
     v = F.col("precip_inches")
     return tagged.filter((v < F.col("whisker_low")) | (v > F.col("whisker_high"))).select(key, "date", "precip_inches")

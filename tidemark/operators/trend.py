@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_on
+from tidemark.session import saved
 
 
 def days(c: Column) -> Column:
@@ -17,8 +18,8 @@ def days(c: Column) -> Column:
 def _fitted(w, inside: Column, x: Column, y: Column) -> Column:
     """Fitted value at ``x``; a flat line at the mean when all x are equal."""
     yi, xi = F.when(inside, y), F.when(inside, x)
-    slope = F.regr_slope(yi, xi).over(w)
-    line = slope * x + F.regr_intercept(yi, xi).over(w)
+    # through the means: no cancellation between slope * x and an intercept far away
+    line = F.avg(yi).over(w) + F.regr_slope(yi, xi).over(w) * (x - F.regr_avgx(yi, xi).over(w))
     return F.when(inside, F.coalesce(line, F.avg(yi).over(w)))
 
 
@@ -74,8 +75,8 @@ def trend_coefficients(rows: DataFrame, keys: Sequence[str], x: Column, y: Colum
     return rows.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.avg(y).alias("mean"),
-        F.count(y).alias("n"),
+        F.regr_avgy(y, x).alias("mean"),
+        F.regr_count(y, x).alias("n"),
     )
 
 
@@ -91,17 +92,17 @@ def with_row_trend(
 ) -> DataFrame:
     """``with_trend`` for series of any number of rows.
 
-    The span, then the coefficients are grouped (one row per series each) and
-    joined back, so no series is gathered in one task.
+    The span, then the coefficients are grouped (one row per series each),
+    saved and joined back, so no series is gathered in one task and readings
+    are shuffled only if there are too many series to broadcast.
     """
-    own = span(rows, keys, date)
     if method == "recent":
         since = F.add_months("hi", -12 * years_back)
-        fit_range = own.select(*keys, F.when(since >= F.col("lo"), since).alias("_lo"), F.col("hi").alias("_hi"))
+        fit_range = span(rows, keys, date).select(*keys, F.when(since >= F.col("lo"), since).alias("_lo"), F.col("hi").alias("_hi"))
     elif method == "shortest" and other_span is not None:
         o = other_span.select(*keys, F.col("lo").alias("_olo"), F.col("hi").alias("_ohi"))
         shorter = F.datediff("_ohi", "_olo") < F.datediff("hi", "lo")
-        fit_range = join_on(own, o, keys, "left").select(
+        fit_range = join_on(span(rows, keys, date), o, keys, "left").select(
             *keys,
             F.when(shorter, F.col("_olo")).otherwise(F.col("lo")).alias("_lo"),
             F.when(shorter, F.col("_ohi")).otherwise(F.col("hi")).alias("_hi"),
@@ -113,17 +114,18 @@ def with_row_trend(
     if fit_range is None:
         tagged, inside = rows, F.lit(True)
     else:
-        tagged = join_on(rows, fit_range, keys, "left")
+        tagged = join_on(rows, saved(fit_range, "fit-range"), keys, "left")
         inside = F.coalesce(F.col(date).between(F.col("_lo"), F.col("_hi")), F.lit(False))
     tagged = tagged.withColumns({"_x": x, "_in": inside})
+    yi, xi = F.when(F.col("_in"), F.col(val)), F.when(F.col("_in"), F.col("_x"))
     fit = tagged.groupBy(*keys).agg(
-        F.regr_slope(F.when(F.col("_in"), F.col(val)), F.when(F.col("_in"), F.col("_x"))).alias("_slope"),
-        F.regr_intercept(F.when(F.col("_in"), F.col(val)), F.when(F.col("_in"), F.col("_x"))).alias("_intercept"),
-        F.avg(F.when(F.col("_in"), F.col(val))).alias("_mean"),
+        F.regr_slope(yi, xi).alias("_slope"),
+        F.regr_avgx(yi, xi).alias("_mean_x"),
+        F.avg(yi).alias("_mean"),
         F.count("*").alias("_count"),
     )
-    line = F.coalesce(F.col("_slope") * F.col("_x") + F.col("_intercept"), F.col("_mean"))
-    joined = join_on(tagged, fit, keys, "inner")
+    line = F.coalesce(F.col("_mean") + F.col("_slope") * (F.col("_x") - F.col("_mean_x")), F.col("_mean"))
+    joined = join_on(tagged, saved(fit, "fit"), keys, "inner")
     return joined.withColumn("trend", F.when(F.col("_in") & (F.col("_count") > 1), line)).drop(
-        "_x", "_in", "_lo", "_hi", "_slope", "_intercept", "_mean", "_count"
+        "_x", "_in", "_lo", "_hi", "_slope", "_mean_x", "_mean", "_count"
     )

@@ -539,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
         q[f"cont_{p}"] = _cont(p)
     x = "CAST(epoch_ms(timestamp) AS DOUBLE)"
     q["cont_trend"] = _sql(f"""SELECT waterbody, station, {stamp('timestamp', 'timestamp')}, {r6('sal_ppt', 'val')}, {r6(f'''CASE WHEN count(*) OVER w > 1 THEN
-      coalesce(regr_slope(sal_ppt, {x}) OVER w * {x} + regr_intercept(sal_ppt, {x}) OVER w, avg(sal_ppt) OVER w) END''', 'trend')} FROM readings
+      coalesce(avg(sal_ppt) OVER w + regr_slope(sal_ppt, {x}) OVER w * ({x} - regr_avgx(sal_ppt, {x}) OVER w), avg(sal_ppt) OVER w) END''', 'trend')} FROM readings
       WHERE sal_ppt IS NOT NULL WINDOW w AS (PARTITION BY waterbody, station)""")
     reach = "CAST(1.5 AS DOUBLE) * (q3 - q1)"
     figures = f"""SELECT b.station, b.n, b.q1, b.q2, b.q3, min(precip_inches) FILTER (precip_inches >= q1 - {reach}) AS wl,

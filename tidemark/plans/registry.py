@@ -72,10 +72,13 @@ def station_summary(spark, d):
 
 
 def _compare(spark, d, by, a, b, by_location=False):
-    params = sorted({text.split_key(c)[0] for c in (a, b)} - {"rain"})
+    names = {text.split_key(c)[0] for c in (a, b)}
+    rain_tables = {}
+    if "rain" in names:
+        rain_tables = {"rain": w.rain_monthly(spark, d), "gauges": w.gauges(spark, d), "rain_regions": w.regions(spark, d)}
     return summary.compare_summary(
-        w.samples(spark, d, params), w.stations(spark, d), w.regions(spark, d), by, a, b, START, END,
-        rain=w.rain_monthly(spark, d), gauges=w.gauges(spark, d), rain_regions=w.regions(spark, d), by_location=by_location,
+        w.samples(spark, d, sorted(names - {"rain"})), w.stations(spark, d), w.regions(spark, d), by, a, b, START, END,
+        by_location=by_location, **rain_tables,
     )
 
 
@@ -147,10 +150,11 @@ def rain_region_series(spark, d):
 
 def _side(spark, d, by, choice, period, start=None, end=None):
     p = text.split_key(choice)[0]
-    return queries.comparison_side(
-        None if p == "rain" else w.samples(spark, d, [p]), w.stations(spark, d), by, choice, start, end, period,
-        rain=w.rain_monthly(spark, d), gauges=w.gauges(spark, d),
-    )
+    if p == "rain":
+        return queries.comparison_side(
+            None, w.stations(spark, d), by, choice, start, end, period, rain=w.rain_monthly(spark, d), gauges=w.gauges(spark, d)
+        )
+    return queries.comparison_side(w.samples(spark, d, [p]), w.stations(spark, d), by, choice, start, end, period)
 
 
 @query

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from tidemark import schema as S
 from tidemark.functions.text import build_key
 from tidemark.operators import rain as rain_ops
 from tidemark.operators.reshape import union_by_name
-from tidemark.session import broadcast_when_small
 from tidemark.sources.polygons import with_box
 
 PARAMETERS = {  # parameter: (units, order-line expression)
@@ -42,8 +42,28 @@ POLYGONS = (
 BOX = {"xmin": -86.55, "ymin": 30.45, "xmax": -86.05, "ymax": 30.95}
 
 
+# declared, so that opening a table costs no job to look at file footers
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+# frames are plans, not data: one object per session and folder serves all queries
+_once = lru_cache(maxsize=256)
+
+
+@_once
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def feed_path(folder: str, name: str) -> str:
@@ -54,34 +74,42 @@ def feed_path(folder: str, name: str) -> str:
     return os.path.join(folder, f"{name}.[p]arquet")
 
 
+@_once
 def _places(spark: SparkSession, folder: str) -> DataFrame:
-    nation = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    no_region = F.col("n_nationkey").isin(7, 19)
-    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+    """Suppliers with the names of their nation and region.
+
+    The 25 nations come as one map value (a scalar subquery), not as a join.
+    What is left is a projection of one table, whose size Catalyst knows: it is
+    broadcast while it is small and shuffled once it is not, without a hint.
+    """
+    n, r = table(spark, folder, "nation"), table(spark, folder, "region")
+    named = n.join(r, n.n_regionkey == r.r_regionkey)
+    nations = named.select(
+        F.map_from_entries(F.collect_list(F.struct("n_nationkey", F.struct("n_nationkey", "n_name", "n_regionkey", "r_name"))))
+    ).scalar()
+    at = table(spark, folder, "supplier").select("s_suppkey", "s_name", nations[F.col("s_nationkey")].alias("n"))
+    no_region = F.col("n.n_nationkey").isin(7, 19)
+    return at.filter("n IS NOT NULL").select(
         "s_suppkey",
-        "n_nationkey",
-        "n_regionkey",
-        F.concat(F.lit("C"), (F.col("n_nationkey") % 5).cast("string")).alias("county"),
-        F.col("n_name").alias("waterbody"),
+        "n.n_nationkey",
+        "n.n_regionkey",
+        F.concat(F.lit("C"), (F.col("n.n_nationkey") % 5).cast("string")).alias("county"),
+        F.col("n.n_name").alias("waterbody"),
         F.col("s_suppkey").cast("string").alias("station"),
         F.col("s_name").alias("name"),
-        F.when(~no_region, F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).alias("WBID"),
-        F.when(~no_region, F.col("r_name")).alias("WATERBODY_NAME"),
+        F.when(~no_region, F.concat(F.lit("R"), F.col("n.n_regionkey").cast("string"))).alias("WBID"),
+        F.when(~no_region, F.col("n.r_name")).alias("WATERBODY_NAME"),
         (F.lit(-86.8) + F.lit(0.01) * (F.col("s_suppkey") % 100)).alias("lon"),
         (F.lit(30.30) + F.lit(0.01) * ((F.col("s_suppkey") * 7) % 80)).alias("lat"),
     )
 
 
+@_once
 def stations(spark: SparkSession, folder: str) -> DataFrame:
-    df = _places(spark, folder).select(
-        "waterbody", "station", "name", "WBID", "WATERBODY_NAME", "lon", "lat"
-    )
-    return broadcast_when_small(df)
+    return _places(spark, folder).select("waterbody", "station", "name", "WBID", "WATERBODY_NAME", "lon", "lat")
 
 
+@_once
 def regions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "region").select(
         F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("WBID"),
@@ -90,9 +118,7 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    return broadcast_when_small(
-        _places(spark, folder).select("s_suppkey", "county", "waterbody", "station", *extra)
-    )
+    return _places(spark, folder).select("s_suppkey", "county", "waterbody", "station", *extra)
 
 
 def _missing() -> F.Column:
@@ -144,6 +170,7 @@ def samples(spark: SparkSession, folder: str, parameters: Sequence[str] | None =
     return union_by_name(*parts)
 
 
+@_once
 def rain_daily(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return table(spark, folder, "orders").select(
@@ -154,10 +181,12 @@ def rain_daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_once
 def rain_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return rain_ops.monthly_totals(rain_daily(spark, folder))
 
 
+@_once
 def gauges(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("o_orderpriority")
     names = table(spark, folder, "orders").select(p).distinct()
@@ -171,6 +200,7 @@ def gauges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_once
 def criteria_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Criteria per station: phosphorus by region, nitrogen by station, chlorophyll by waterbody."""
 
@@ -183,12 +213,14 @@ def criteria_wide(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_once
 def criteria(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators.reshape import criteria_long
 
     return criteria_long(criteria_wide(spark, folder))
 
 
+@_once
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """Sensor readings, wide, with their number of arrival."""
     return _events(spark, folder).select(
@@ -274,6 +306,7 @@ def dirty_number(k, v):
     )
 
 
+@_once
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as untidy rows: junk in numbers, remarks for depths, odd spellings, text dates."""
     k = F.col("p_partkey")

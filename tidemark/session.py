@@ -26,6 +26,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # no Python call site is recorded per column: half the time it takes to build a long plan
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():
@@ -45,6 +47,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate result to shared storage and read it back.
+
+    For results of one row per series that go back to every reading. Computed
+    once, it survives the loss of executors, and as a table it has a known
+    size: Catalyst broadcasts it if that is small and shuffles it if not. Left
+    inside the plan, its size would be unknown and all readings would be
+    shuffled to meet it.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_when_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only when a bounded count proves the frame is small.
 

@@ -60,7 +60,7 @@ def window_means(readings: DataFrame, width: str = "15 minutes") -> DataFrame:
     grouped = readings.groupBy(F.window("timestamp", width).alias("w"), *SERIES).agg(
         F.count("val").alias("n"), F.avg("val").alias("val"), F.var_samp("val").alias("_var")
     )
-    lo, hi = t_bounds(F.col("n"), F.col("val"), F.col("_var"))
+    lo, hi = t_bounds("n", "val", "_var")
     return grouped.select(
         F.col("w.start").alias("start"), *SERIES, "n", "val", lo.alias("lovl"), hi.alias("hivl")
     )
