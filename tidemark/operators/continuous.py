@@ -57,7 +57,7 @@ def continuous_period(
 def continuous_trend(
     wide: DataFrame, parameter: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """Readings with the least-squares line over epoch milliseconds."""
+    """Readings with the least-squares line over epoch milliseconds (fractions kept)."""
     rows = valid(between_times(continuous_long(wide, parameter), start, end))
-    x = dates.epoch_ms(F.col("timestamp")).cast("double")
+    x = F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(1000.0)
     return with_row_trend(rows, SERIES, x, date="timestamp")

@@ -479,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
     q["capitalise"] = _sql(f"""SELECT key, replace(replace(replace({_words('title')}, 'lower', 'Lower'), 'upper', 'Upper'), 'middle', 'Middle') AS title FROM dirty""")
     q["dates_typed"] = _sql(f"""SELECT key, {day('d', 'date')}, {day("date_trunc('month', d)", 'month')}, {day("date_trunc('year', d)", 'year')},
       {day('d - CAST(dayofweek(d) AS INT)', 'week')}, CASE WHEN d IS NOT NULL THEN {WET.format('d')} END AS wetdry,
-      CASE WHEN d IS NOT NULL THEN {SEASON.format('d')} END AS season, epoch_ms(CAST(d AS TIMESTAMP)) AS ms FROM (SELECT key, {_mdy('day')} AS d FROM dirty)""")
+      CASE WHEN d IS NOT NULL THEN {SEASON.format('d')} END AS season, epoch_us(CAST(d AS TIMESTAMP)) // 1000 AS ms FROM (SELECT key, {_mdy('day')} AS d FROM dirty)""")
     q["exclude_stations"] = _sql("""SELECT s.waterbody, count(*) AS n, count(DISTINCT s.station) AS n_stations FROM samples s JOIN listed USING (waterbody, station)
       WHERE parameter = 'temp' GROUP BY 1""")
     q["build_samples"] = _sql(_build_samples())
@@ -537,7 +537,7 @@ def oracle_sql() -> dict[str, str]:
       WHERE timestamp >= TIMESTAMP '2024-01-02' AND timestamp <= TIMESTAMP '2024-01-25' GROUP BY r.waterbody, r.station, WATERBODY_NAME, lon, lat""")
     for p in ("day", "week", "month", "quarter", "year"):
         q[f"cont_{p}"] = _cont(p)
-    x = "CAST(epoch_ms(timestamp) AS DOUBLE)"
+    x = "(epoch_us(timestamp) / CAST(1000 AS DOUBLE))"
     q["cont_trend"] = _sql(f"""SELECT waterbody, station, {stamp('timestamp', 'timestamp')}, {r6('sal_ppt', 'val')}, {r6(f'''CASE WHEN count(*) OVER w > 1 THEN
       coalesce(avg(sal_ppt) OVER w + regr_slope(sal_ppt, {x}) OVER w * ({x} - regr_avgx(sal_ppt, {x}) OVER w), avg(sal_ppt) OVER w) END''', 'trend')} FROM readings
       WHERE sal_ppt IS NOT NULL WINDOW w AS (PARTITION BY waterbody, station)""")
