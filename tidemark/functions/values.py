@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -10,9 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def null_tokens(c: Column) -> Column:
     """The sheets' three spellings of missing become NULL."""
     return F.when(~F.trim(c).isin(*S.NULL_TOKENS), c)
@@ -21,11 +19,13 @@ def null_tokens(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a plain number becomes NULL.
 
-    The pattern guard is needed because a cast accepts type suffixes (``1d``)
-    and the word NaN.
+    A cast alone would also accept type suffixes (``1d``), hexadecimal floats
+    and the words NaN and Infinity. They are told by their last letter or an
+    ``x``, which costs far less per cell than matching a pattern.
     """
     text = F.trim(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    word = F.right(text, F.lit(1)).isin(*"dDfFnNyY") | F.contains(F.lower(text), F.lit("x"))
+    return F.when(~word, text.try_cast("double"))
 
 
 def present(c: Column) -> Column:
@@ -39,8 +39,17 @@ def scrub(c: Column) -> Column:
 
 
 def replace_in_order(c: Column, fixes: Sequence[tuple[str, str]]) -> Column:
-    """Apply regex replacements one after another."""
-    return reduce(lambda acc, f: F.regexp_replace(acc, f[0], f[1]), fixes, c)
+    """Apply pattern replacements one after another; patterns that are plain text run as plain
+    replacements, which are cheaper than regular expressions."""
+
+    def fix(acc: Column, pair: tuple[str, str]) -> Column:
+        pattern, new = pair
+        plain = re.sub(r"\\([^\w])", r"\1", pattern)
+        if re.escape(plain) == pattern or re.fullmatch(r"[\w ]+", pattern):
+            return F.replace(acc, F.lit(plain), F.lit(new))
+        return F.regexp_replace(acc, pattern, new)
+
+    return reduce(fix, fixes, c)
 
 
 def recode(c: Column, mapping: Mapping[str, str]) -> Column:

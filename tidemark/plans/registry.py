@@ -559,10 +559,8 @@ def geojson_regions(spark, d):
             F.array(F.array(corner(0.0, 0.0), corner(0.01, 0.0), corner(0.0, 0.01))).alias("coordinates"),
         ).alias("geometry"),
     )
-    docs = w.stations(spark, d).groupBy("waterbody").agg(F.collect_list(feature).alias("features"))
-    docs.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition(
-        "value"
-    ).write.option("lineSep", "\n").text(path)
+    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
+    w.stations(spark, d).select(F.to_json(collection).alias("value")).write.text(path)
     # one document per line here, so the line reader applies
     doc = spark.read.schema(polygons._FEATURES).json(path).select(F.explode("features").alias("f"))
     out = polygons.region_rows(
@@ -576,15 +574,15 @@ def geojson_regions(spark, d):
 
 @query
 def json_rain(spark, d):
-    """Daily rain written as station-month payloads and read back into monthly totals."""
+    """Daily rain written as payloads, some of them without results, and read back into monthly totals."""
     path = scratch_dir(spark, "payloads")
     row = F.struct(
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit("PRCP").alias("datatype"),
         F.concat(F.lit("GHCND:"), F.col("station")).alias("station"), F.col("precip_inches").alias("value"),
     )
-    days = w.rain_daily(spark, d).withColumn("m", F.trunc("date", "MM"))
-    docs = days.groupBy("station", "m", F.dayofmonth("date").alias("dom")).agg(F.collect_list(row).alias("results"))
-    docs.select(F.to_json(F.struct("results")).alias("value")).write.text(path)
+    empty = F.array().cast("array<struct<date:string,datatype:string,station:string,value:double>>")
+    payload = F.explode(F.array(F.struct(F.array(row).alias("results")), F.struct(empty.alias("results"))))
+    w.rain_daily(spark, d).select(payload.alias("p")).select(F.to_json("p").alias("value")).write.text(path)
     daily = rain_payloads.read_rain_payloads(spark, path, multi_line=False)
     return rain.rain_monthly(daily, {"G1": "first", "G2": "second", "G3": "third", "G4": "fourth"})
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,16 +59,3 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_when_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the frame is small.
-
-    Meant for dimension tables that are themselves built by joins, for which
-    Catalyst's static size estimate (the product of both inputs) is useless.
-    The probe stops after ``max_rows + 1`` rows. A larger frame is returned
-    unhinted, so Spark shuffles both sides and adaptive execution splits skewed
-    partitions. Plain table scans need no hint: their file size is known.
-    """
-    rows = df.select(F.lit(1).alias("one")).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df

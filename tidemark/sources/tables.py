@@ -13,9 +13,10 @@ from tidemark import schema as S
 def save_table(df: DataFrame, folder: str, name: str) -> str:
     """Overwrite one table of the model.
 
-    Samples are partitioned by parameter, which nearly every query fixes. Rows
-    are spread over writers by (parameter, month) rather than by parameter
-    alone: one parameter may hold a large share of all rows.
+    Samples are partitioned by parameter, which nearly every query fixes. The
+    rows are rebalanced by parameter before writing: adaptive execution merges
+    small parameters into one writer and splits a large one over many, so files
+    have an even size however the readings are distributed.
     """
     path = os.path.join(folder, f"{name}.parquet")
     cols = [f.name for f in S.TABLES[name].fields] if name in S.TABLES else df.columns
@@ -24,7 +25,7 @@ def save_table(df: DataFrame, folder: str, name: str) -> str:
         raise ValueError(f"{name}: missing columns {missing}")
     out = df.select(*cols)
     if name == "samples":
-        spread = out.repartition(F.col("parameter"), F.trunc("date", "MM"))
+        spread = out.hint("rebalance", F.col("parameter"))
         spread.sortWithinPartitions("parameter", "location", "waterbody", "station", "date").write.mode(
             "overwrite"
         ).partitionBy("parameter").parquet(path)
