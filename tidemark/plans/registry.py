@@ -617,7 +617,7 @@ def dq_time_steps(spark, d):
         F.col("l_suppkey").cast("string").alias("station"), F.col("l_shipdate").alias("timestamp"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("arrival"),
     )
-    bad = checks.backward_steps(line, "arrival", F.floor(F.col("arrival.l_orderkey") / 1000), ("station",))
+    bad = checks.backward_steps(line, "arrival", F.floor(F.col("arrival.l_orderkey") / 20000), ("station",))
     return bad.groupBy("station").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"))
 
 
