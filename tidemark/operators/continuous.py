@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates
+from tidemark.functions import dates, text
 from tidemark.functions.student import t_bounds
 from tidemark.operators.filters import valid
 from tidemark.operators.joins import with_station_info
@@ -42,6 +42,18 @@ def continuous_station_mean(
     return with_station_info(means, stations.select("waterbody", "station", "WATERBODY_NAME", "lon", "lat"), "left")
 
 
+def continuous_gauge(means: DataFrame, label: str) -> DataFrame:
+    """Gauge figures per station: value, scale from zero to the largest mean, unit."""
+    top = means.select(F.max("val")).scalar()
+    return means.select(
+        text.build_key(F.col("waterbody"), F.col("station")).alias("stas"),
+        F.round("val", 2).alias("shown"),
+        F.lit(0.0).alias("scale_min"),
+        F.round(top, 2).alias("scale_max"),
+        text.unit_of_label(F.lit(label)).alias("unit"),
+    )
+
+
 def continuous_period(
     wide: DataFrame, parameter: str, period: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:

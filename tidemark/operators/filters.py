@@ -70,6 +70,11 @@ def export_filter(
     return kept.drop("type")
 
 
+def table_view(export: DataFrame, digits: int = 3) -> DataFrame:
+    """Export rows as the preview table shows them: values rounded, notes hidden."""
+    return export.withColumn("val", F.round("val", digits)).drop("notes")
+
+
 def wet_days(rain: DataFrame, column: str = "precip_inches") -> DataFrame:
     return rain.filter(F.col(column) > 0)
 

@@ -382,6 +382,8 @@ def oracle_sql() -> dict[str, str]:
     q["rain_monthly"] = _sql(f"SELECT station, name, {day('date', 'date')}, {r6('precip_inches', 'precip_inches')} FROM rain_months")
     q["rain_month_parts"] = _sql(f"""SELECT station, year(date) AS year, month(date) AS month, {r6('precip_inches', 'monthly_total')}, {day('date', 'date')}
       FROM rain_months""")
+    q["rain_by_choice"] = _sql(f"""SELECT station, name, {day('date', 'date')}, {r6('precip_inches', 'precip_inches')}, WBID, WATERBODY_NAME
+      FROM rain_months JOIN gauges USING (station, name) WHERE name = 'R1' OR WBID = 'R1'""")
     q["rain_region_series"] = _sql(f"SELECT waterbody, {day('date', 'date')}, {r6('val', 'val')}, station, parameter, location FROM ({RAIN_REGION})")
 
     for name, args in {
@@ -414,6 +416,19 @@ def oracle_sql() -> dict[str, str]:
         "waterbody, station",
         _trend(rows, "waterbody, station", f"CASE WHEN {shorter} THEN olo ELSE min(date) OVER w END", f"CASE WHEN {shorter} THEN ohi ELSE max(date) OVER w END"),
     )
+    rain_span = f"SELECT waterbody, min(date) AS olo, max(date) AS ohi FROM ({RAIN_REGION}) GROUP BY 1"
+    rows = f"SELECT * FROM ({_rows('region', 'temp', 'surf')}) LEFT JOIN ({rain_span}) USING (waterbody)"
+    q["trend_shortest_region"] = trend_out(
+        "waterbody",
+        _trend(rows, "waterbody", f"CASE WHEN {shorter} THEN olo ELSE min(date) OVER w END", f"CASE WHEN {shorter} THEN ohi ELSE max(date) OVER w END"),
+    )
+
+    def chosen(inner: str, waterbody: str, station: str) -> str:
+        return _sql(f"SELECT * FROM ({inner}) WHERE waterbody = '{waterbody}' AND station = '{station}'")
+
+    q["selected_station"] = chosen(_period("station", "temp", "surf", "year"), "NATION_15", "0")
+    q["selected_region"] = chosen(_period("region", "tn", "bott", "season"), "R1", "R1")
+    q["selected_none"] = _sql(f"SELECT * FROM ({_period('region', 'tn', 'bott', 'year')}) WHERE FALSE")
     yearly = f"SELECT waterbody, CAST(date_trunc('year', date) AS DATE) AS date, avg(val) AS val FROM ({_rows('region', 'temp', 'surf')}) GROUP BY 1, 2"
     q["trend_period"] = _sql(f"""SELECT waterbody, {day('date', 'date')}, {r6('val', 'val')}, {r6('trend', 'trend')}, {r6('c.value', 'criterion')}
       FROM ({_trend(yearly, 'waterbody')}) t LEFT JOIN region_criteria c ON c.WBID = t.waterbody AND c.parameter = 'tem'""")
@@ -453,6 +468,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT DISTINCT waterbody || '_' || station, waterbody || ' (' || station || ')' FROM stations""")
     q["export_filtered"] = _sql(f"""SELECT county, waterbody, station, {day('date', 'date')}, parameter, location, units, {r6('val', 'val')}, notes FROM samples
       WHERE waterbody IN ('NATION_1', 'NATION_3', 'NATION_20') AND parameter IN ('temp', 'tn') AND {in_range}""")
+    q["table_view"] = _sql(f"""SELECT county, waterbody, station, {day('date', 'date')}, parameter, location, units, {r6('round(val, 3)', 'val')} FROM samples
+      WHERE waterbody IN ('NATION_1', 'NATION_3', 'NATION_20') AND parameter = 'tp' AND {in_range}""")
     number = "regexp_replace(CAST(round(v + 1e-9, 6) AS VARCHAR), '\\.0$', '')"
     q["export_csv"] = _sql(f"""SELECT '"' || WBID || '",' || strftime(date, '%Y-%m-%d') || ',' || {number} || ',NA' AS line FROM (
       SELECT WBID, samples.date AS date, avg(val) AS v FROM samples JOIN stations USING (waterbody, station) WHERE {temp} AND WBID IS NOT NULL GROUP BY 1, 2)""")
@@ -483,6 +500,9 @@ def oracle_sql() -> dict[str, str]:
     q["exclude_stations"] = _sql("""SELECT s.waterbody, count(*) AS n, count(DISTINCT s.station) AS n_stations FROM samples s JOIN listed USING (waterbody, station)
       WHERE parameter = 'temp' GROUP BY 1""")
     q["build_samples"] = _sql(_build_samples())
+    q["sheets_to_samples"] = q["build_samples"]
+    q["station_sheet"] = _sql(f"SELECT waterbody, station, name, WBID AS WBIDorig, {r6('lon', 'lon')}, {r6('lat', 'lat')} FROM stations")
+    q["criteria_sheet"] = _sql(f"SELECT waterbody, station, WBID, parameter, {r6('value', 'value')} FROM criteria")
     q["criteria_long"] = _sql(f"SELECT waterbody, station, WBID, parameter, {r6('value', 'value')} FROM criteria")
     q["key_build"] = _sql("SELECT waterbody || '_' || station AS stas, coalesce(WBID, 'NA') || '_' || station AS other FROM stations")
     q["key_split"] = _sql("SELECT waterbody || '_' || station AS key, waterbody, station FROM stations")
@@ -535,6 +555,10 @@ def oracle_sql() -> dict[str, str]:
     q["cont_station_mean"] = _sql(f"""SELECT r.waterbody, r.station, 'temp_f' AS variable, {r6('avg(temp_f)', 'val')}, WATERBODY_NAME, {r6('lon', 'lon')}, {r6('lat', 'lat')}
       FROM readings r LEFT JOIN stations s ON s.waterbody = r.waterbody AND s.station = r.station
       WHERE timestamp >= TIMESTAMP '2024-01-02' AND timestamp <= TIMESTAMP '2024-01-25' GROUP BY r.waterbody, r.station, WATERBODY_NAME, lon, lat""")
+    q["cont_gauge"] = _sql(f"""SELECT waterbody || '_' || station AS stas, {r6('round(m, 2)', 'shown')}, {r6('CAST(0 AS DOUBLE)', 'scale_min')},
+      {r6('round(max(m) OVER (), 2)', 'scale_max')}, 'F' AS unit FROM (SELECT waterbody, station, avg(temp_f) AS m FROM readings GROUP BY 1, 2)""")
+    daily = "SELECT waterbody, station, CAST(timestamp AS DATE) AS date, avg(temp_f) AS val FROM readings GROUP BY 1, 2, 3"
+    q["cont_day_trend"] = trend_out("waterbody, station", _trend(daily, "waterbody, station"))
     for p in ("day", "week", "month", "quarter", "year"):
         q[f"cont_{p}"] = _cont(p)
     x = "(epoch_us(timestamp) / CAST(1000 AS DOUBLE))"

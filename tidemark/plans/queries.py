@@ -81,6 +81,18 @@ def comparison_side(
     return rows if period == "none" else periods.period_stats(rows, period)
 
 
+def selected(side: DataFrame, choice: str | None) -> DataFrame:
+    """The rows of one chosen area: a ``waterbody_station`` key, a region id, or nothing at all.
+
+    A key is cut at its last underscore; a region id has none and stands for both halves. A gauge
+    is chosen by ``name_station`` likewise.
+    """
+    if not choice:
+        return filters.nothing(side)
+    waterbody, station = text.split_key(choice)
+    return side.filter((F.col("waterbody") == waterbody) & (F.col("station") == station))
+
+
 def comparison_series(
     side: DataFrame, other: DataFrame, criteria: DataFrame, by: str, show_trend: str = "none", years_back: int = 9,
 ) -> DataFrame:
@@ -93,7 +105,11 @@ def comparison_series(
     out = side
     if show_trend != "none":
         spans = trend.span(other, keys) if show_trend == "shortest" else None
-        out = trend.with_row_trend(out, keys, days(F.col("date")), show_trend, years_back, spans)
+        # regions and period statistics have a row per day at most; raw station readings any number
+        if by == "region" or "lovl" in side.columns:
+            out = trend.with_trend(out, keys, show_trend, years_back, spans)
+        else:
+            out = trend.with_row_trend(out, keys, days(F.col("date")), show_trend, years_back, spans)
     # an empty side shows no criterion by itself: there are no rows to attach it to
     area = ("waterbody",) if by == "region" else keys
     return crit.with_criterion(out, criteria, by, area)

@@ -20,7 +20,7 @@ from tidemark.operators import rain, reshape, series, spatial, summary, trend
 from tidemark.plans import build, queries
 from tidemark.plans import workload as w
 from tidemark.session import scratch_dir
-from tidemark.sources import export, generated, polygons, rain_payloads, tables
+from tidemark.sources import export, generated, polygons, rain_payloads, sheets, tables
 from tidemark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,11 @@ def rain_month_parts(spark, d):
     return rain.monthly_by_part(w.rain_daily(spark, d))
 
 
+@query
+def rain_by_choice(spark, d):
+    return filters.gauge_or_region(joins.with_gauge(w.rain_monthly(spark, d), w.gauges(spark, d)), "R1")
+
+
 @query
 def rain_region_series(spark, d):
     return series.rain_series(w.rain_monthly(spark, d), w.gauges(spark, d), "region")
@@ -239,6 +244,29 @@ def trend_shortest(spark, d):
     return out.select("waterbody", "station", "date", "val", "trend")
 
 
+@query
+def trend_shortest_region(spark, d):
+    side = _side(spark, d, "region", "temp_surf", "none")
+    other = _side(spark, d, "region", "rain", "none")
+    out = queries.comparison_series(side, other, w.criteria(spark, d), "region", "shortest")
+    return out.select("waterbody", "date", "val", "trend")
+
+
+@query
+def selected_station(spark, d):
+    return queries.selected(_side(spark, d, "station", "temp_surf", "year"), "NATION_15_0")
+
+
+@query
+def selected_region(spark, d):
+    return queries.selected(_side(spark, d, "region", "tn_bott", "season"), "R1")
+
+
+@query
+def selected_none(spark, d):
+    return queries.selected(_side(spark, d, "region", "tn_bott", "year"), None)
+
+
 @query
 def trend_period(spark, d):
     side = _side(spark, d, "region", "temp_surf", "year")
@@ -346,6 +374,12 @@ def export_filtered(spark, d):
     )
 
 
+@query
+def table_view(spark, d):
+    rows = queries.export_rows(w.samples(spark, d, ["tp"]), ["NATION_1", "NATION_3", "NATION_20"], ["tp"], START, END)
+    return filters.table_view(rows)
+
+
 @query
 def export_csv(spark, d):
     path = scratch_dir(spark, "export")
@@ -485,6 +519,46 @@ def build_samples(spark, d):
     )
 
 
+def _as_sheet(df, spark, name, empty="NA"):
+    """Write a frame as a CSV sheet with headings."""
+    path = scratch_dir(spark, name)
+    df.write.option("header", True).option("nullValue", empty).csv(path)
+    return path
+
+
+@query
+def sheets_to_samples(spark, d):
+    """``build_samples`` from CSV sheets on storage."""
+    gone = w.stations(spark, d).filter("WBID IS NULL").select(
+        F.concat(F.lit("CBA Gap "), F.col("waterbody")).alias("waterbody"), "station"
+    )
+    out = build.build_samples(
+        sheets.read_field_sheet(spark, _as_sheet(w.raw_field(spark, d), spark, "field")),
+        sheets.read_lab_sheet(spark, _as_sheet(w.raw_lab(spark, d), spark, "lab", ".")),
+        sheets.read_exclusions(spark, _as_sheet(gone, spark, "gone")),
+    )
+    return out.groupBy("type", "county", "waterbody", "parameter", "location", "units").agg(
+        F.count("*").alias("n"), F.sum("val").alias("total"), F.count("notes").alias("n_notes"),
+        F.min("date").alias("first"), F.max("date").alias("last"),
+    )
+
+
+@query
+def station_sheet(spark, d):
+    """The station list as a sheet whose two coordinate headings are exchanged."""
+    back = {new: old for old, new in S.STATION_RENAMES.items()}
+    src = w.stations(spark, d).withColumnRenamed("WBID", "WBIDorig").withColumn("abbr", F.lit("x"))
+    sheet = src.select(*[F.col(c).alias(h) for c, h in back.items()], F.col("abbr").alias("GPS abbr."))
+    return sheets.read_station_sheet(spark, _as_sheet(sheet, spark, "stations"))
+
+
+@query
+def criteria_sheet(spark, d):
+    back = {new: old for old, new in S.CRITERIA_RENAMES.items()}
+    sheet = w.criteria_wide(spark, d).select(*[F.col(c).alias(h) for c, h in back.items()])
+    return build.build_criteria(sheets.read_criteria_sheet(spark, _as_sheet(sheet, spark, "criteria", ".")))
+
+
 @query
 def criteria_long(spark, d):
     return reshape.criteria_long(clean.clean_criteria(w.criteria_wide(spark, d)))
@@ -714,6 +788,18 @@ def cont_station_mean(spark, d):
     return out.select("waterbody", "station", "variable", "val", "WATERBODY_NAME", "lon", "lat")
 
 
+@query
+def cont_gauge(spark, d):
+    means = continuous.continuous_station_mean(w.readings(spark, d), w.stations(spark, d), "temp")
+    return continuous.continuous_gauge(means, "Temperature (F)")
+
+
+@query
+def cont_day_trend(spark, d):
+    out = queries.sensor_series(w.readings(spark, d), "temp", "day", show_trend=True)
+    return out.select("waterbody", "station", "date", "val", "trend")
+
+
 def _cont(spark, d, period):
     return continuous.continuous_period(w.readings(spark, d), "temp", period)
 
