@@ -10,6 +10,7 @@ from tidemark.functions.student import t_bounds
 from tidemark.operators.filters import valid
 from tidemark.operators.joins import with_station_info
 from tidemark.operators.trend import with_row_trend
+from tidemark.session import saved
 
 SERIES = ("waterbody", "station", "variable")
 
@@ -44,6 +45,7 @@ def continuous_station_mean(
 
 def continuous_gauge(means: DataFrame, label: str) -> DataFrame:
     """Gauge figures per station: value, scale from zero to the largest mean, unit."""
+    means = saved(means, "station-means")
     top = means.select(F.max("val")).scalar()
     return means.select(
         text.build_key(F.col("waterbody"), F.col("station")).alias("stas"),

@@ -10,6 +10,7 @@ from tidemark.functions.labels import parameter_label
 from tidemark.operators.filters import Day, in_range, pair_filter, select_samples, valid
 from tidemark.operators.joins import join_on, with_gauge, with_region, with_station_info
 from tidemark.operators.reshape import union_by_name
+from tidemark.session import saved
 
 _STATION = ("waterbody", "station")
 
@@ -185,7 +186,12 @@ def gauge_scale(
     summary: DataFrame, criterion: DataFrame, keys: tuple[str, ...], parameter: str, label: str
 ) -> DataFrame:
     """Gauge figures per area: value, scale from zero to the largest area mean (or the criterion
-    if higher), unit and, for temperature, the Celsius twin."""
+    if higher), unit and, for temperature, the Celsius twin.
+
+    The area means are saved once: both the figures and the largest mean come
+    from them, without a second pass over the readings.
+    """
+    summary = saved(summary, "area-means")
     top = summary.select(F.max("val")).scalar()
     tagged = summary.withColumn("_p", F.lit(parameter[:3]))
     crit = criterion.select(*keys, F.col("parameter").alias("_p"), F.col("value").alias("criterion"))

@@ -92,7 +92,7 @@ VIEWS = {
     "dirty": f"""SELECT p_partkey AS key, {_dirty_number('p_partkey', 'CAST(p_retailprice AS VARCHAR)')} AS number,
       CASE p_partkey % 5 WHEN 0 THEN 'Bottom (' || CAST(p_size AS VARCHAR) || '.5)' WHEN 1 THEN 'Weeds' WHEN 2 THEN 'S' WHEN 3 THEN 'Not Reported' END AS note,
       CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS depth,
-      (['Cba creek', 'FT. walton beach', 'GAP Redfish', 'Bass Lake', 'Tky Bass Lake'])[p_partkey % 5 + 1] AS waterbody,
+      (['Swift creek', 'FT. walton beach', 'GAP Redfish', 'Bass Lake', 'Tky Bass Lake'])[p_partkey % 5 + 1] AS waterbody,
       (['okaloosa', 'walton', 'Bay'])[p_partkey % 3 + 1] AS county, (['959F', '46', '570'])[p_partkey % 3 + 1] AS WBID,
       upper(p_type) || ' ' || lower(p_name) || ' (upper/lower)' AS title,
       CAST(p_partkey % 14 AS VARCHAR) || '/' || CAST(p_partkey % 28 + 1 AS VARCHAR) || '/2001' AS day,
@@ -322,7 +322,7 @@ def _build_samples() -> str:
     )
     field = " UNION ALL ".join(
         f"""SELECT 'physical' AS type, CASE county WHEN 'C1' THEN 'Okaloosa' WHEN 'C2' THEN 'Walton' ELSE county END AS county,
-        'CBA Creek ' || waterbody AS waterbody, station, CAST(l_shipdate AS DATE) AS date, '{p}' AS parameter, '{loc}' AS location,
+        'Red Fish Creek ' || waterbody AS waterbody, station, CAST(l_shipdate AS DATE) AS date, '{p}' AS parameter, '{loc}' AS location,
         '{u}' AS units, {e} AS val, CAST(NULL AS VARCHAR) AS notes FROM lineitem JOIN places ON l_suppkey = s_suppkey WHERE {ok} AND {at}"""
         for p, loc, u, e, at in cols
     )
@@ -335,7 +335,7 @@ def _build_samples() -> str:
       {_depth('CASE WHEN k % 3 = 0 THEN value END', 'note')} AS secchi, CASE WHEN k % 4 = 0 THEN CAST(0.5 AS DOUBLE) ELSE value / 1000 END AS cond,
       CASE WHEN regexp_matches(note, 'Weeds|Bottom') THEN 'on bottom' END AS notes FROM ({raw})"""
     long = " UNION ".join(
-        f"""SELECT 'discrete' AS type, county, 'CBA Gap ' || waterbody AS waterbody, station, date, '{p}' AS parameter, 'surf' AS location,
+        f"""SELECT 'discrete' AS type, county, 'GAP ' || waterbody AS waterbody, station, date, '{p}' AS parameter, 'surf' AS location,
         '{u}' AS units, {p} AS val, {'notes' if p == 'secchi' else 'CAST(NULL AS VARCHAR) AS notes'} FROM lab WHERE {p} IS NOT NULL"""
         for p, u in (("tp", "mgl"), ("tn", "mgl"), ("secchi", "ft"), ("cond", "mscm"))
     )

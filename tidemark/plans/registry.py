@@ -506,7 +506,7 @@ def exclude_stations(spark, d):
 @query
 def build_samples(spark, d):
     gone = w.stations(spark, d).filter("WBID IS NULL").select(
-        F.concat(F.lit("CBA Gap "), F.col("waterbody")).alias("waterbody"), "station"
+        F.concat(F.lit("GAP "), F.col("waterbody")).alias("waterbody"), "station"
     )
 
     def sheet(df):
@@ -530,7 +530,7 @@ def _as_sheet(df, spark, name, empty="NA"):
 def sheets_to_samples(spark, d):
     """``build_samples`` from CSV sheets on storage."""
     gone = w.stations(spark, d).filter("WBID IS NULL").select(
-        F.concat(F.lit("CBA Gap "), F.col("waterbody")).alias("waterbody"), "station"
+        F.concat(F.lit("GAP "), F.col("waterbody")).alias("waterbody"), "station"
     )
     out = build.build_samples(
         sheets.read_field_sheet(spark, _as_sheet(w.raw_field(spark, d), spark, "field")),

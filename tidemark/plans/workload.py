@@ -252,7 +252,7 @@ def raw_field(spark: SparkSession, folder: str) -> DataFrame:
     return line.select(
         F.when(F.col("county") == "C1", "okaloosa").when(F.col("county") == "C2", "walton")
         .otherwise(F.col("county")).alias("County"),
-        F.concat(F.lit("Cba creek "), F.col("waterbody")).alias("Water Body"),
+        F.concat(F.lit("Redfish creek "), F.col("waterbody")).alias("Water Body"),
         F.col("station").alias("Station Number"),
         F.date_format("l_shipdate", "M/d/yyyy").alias("Date (Month/Day/Year)"),
         F.month("l_shipdate").cast("string").alias("Month"),
@@ -277,7 +277,7 @@ def raw_lab(spark: SparkSession, folder: str) -> DataFrame:
     )
     return _events(spark, folder).select(
         F.col("county").alias("County"),
-        F.concat(F.lit("CBA GAP "), F.col("waterbody")).alias("Lake"),
+        F.concat(F.lit("GAP "), F.col("waterbody")).alias("Lake"),
         F.date_format("ts", "M/d/yyyy").alias("Date"),
         F.month("ts").cast("string").alias("Month"),
         F.dayofmonth("ts").cast("string").alias("Day"),
@@ -315,7 +315,7 @@ def dirty(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit("Bottom ("), F.col("p_size").cast("string"), F.lit(".5)")))
         .when(k % 5 == 1, "Weeds").when(k % 5 == 2, "S").when(k % 5 == 3, "Not Reported")
     )
-    spelling = F.array(*[F.lit(x) for x in ("Cba creek", "FT. walton beach", "GAP Redfish", "Bass Lake", "Tky Bass Lake")])
+    spelling = F.array(*[F.lit(x) for x in ("Swift creek", "FT. walton beach", "GAP Redfish", "Bass Lake", "Tky Bass Lake")])
     return table(spark, folder, "part").select(
         k.alias("key"),
         dirty_number(k, v).alias("number"),

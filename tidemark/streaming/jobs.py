@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import dates
 from tidemark.functions.student import t_bounds
-from tidemark.functions.text import build_key
 from tidemark.functions.values import present
 from tidemark.operators.criteria import with_criterion
 from tidemark.operators.joins import join_on, with_station_info
@@ -170,6 +169,3 @@ def refit_touched(daily: DataFrame, changed: DataFrame, keys: Sequence[str]) ->
     touched = changed.select(*keys).distinct()
     return with_trend(join_on(daily, touched, keys, "left_semi"), keys)
 
-
-def station_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("stas", build_key(F.col("waterbody"), F.col("station")))
