@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
@@ -53,13 +54,10 @@ def test_trend_and_criterion_on_a_side(rain, rows, spark):
     assert rows(out, "date", "trend", "criterion") == [(D(2019, 12, 1), pytest.approx(1.0), 3.0), (D(2020, 1, 1), pytest.approx(4.0), 3.0)]
 
 
-def test_scratch_follows_the_checkpoint_folder(spark, tmp_path, rows):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_dir(spark, "x").startswith(str(tmp_path))
-        df = spark.range(3)
-        assert rows(saved(df, "three")) == rows(df)
-        assert any(p.name.startswith("three-") for p in tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_follows_the_checkpoint_folder(spark, rows):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_dir(spark, "x").startswith(str(shared))
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+    df = spark.range(3)
+    assert rows(saved(df, "three")) == rows(df)
+    assert any(p.name.startswith("three-") for p in shared.iterdir())
