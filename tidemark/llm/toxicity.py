@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -149,12 +150,40 @@ def _doc_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "label", "n"])
 
 
+def _contexts(terms: list[str]):
+    """Different surroundings of each term, by label: a text and its copies give one."""
+
+    def run(batches):
+        words = Vocabulary(terms)
+        for batch in batches:
+            seen = set()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _WORD.findall((text or "").lower())
+                for before, word, after in zip(["", *found], found, [*found[1:], ""]):
+                    for t in words[word]:
+                        seen.add((t, label, zlib.crc32(f"{before} {after}".encode())))
+            rows = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], names=["term", "label", "context"])
+
+    return run
+
+
+def _chosen(counts: DataFrame, base: float, looked_at: int, most: int) -> list:
+    """Terms commoner among toxic examples than chance over all terms looked at allows, by the Chernoff bound, strongest first."""
+    p = (F.col("toxic") / F.col("n")).cast("double")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    strength = F.col("n") * (part(p, F.lit(base)) + part(1 - p, F.lit(1 - base)))
+    strong = counts.withColumn("s", strength).where(p > base).where(F.col("s") >= math.log(looked_at) + DOUBT)
+    return [r["term"] for r in strong.orderBy(F.desc("s"), "term").limit(most).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows outside the held-out fifth.
 
     1. At most EXAMPLES rows per class, by hash of the id, are the examples.
     2. Terms are chosen whose share of toxic examples exceeds the classes' by more
-       than chance over all terms allows (Chernoff bound), TERMS at most.
+       than chance over all terms allows, in documents and in different
+       surroundings, so that a copied text counts once; TERMS at most.
     3. Document frequencies of those terms are counted over all documents.
     4. The index and calibration are made from the examples' term counts.
     The sizes of all that reaches the driver follow EXAMPLES and TERMS alone.
@@ -178,11 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n")
     )
     per_term = save(per_term, "terms")
-    p = (F.col("toxic") / F.col("n")).cast("double")
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    strength = F.col("n") * (part(p, F.lit(base)) + part(1 - p, F.lit(1 - base)))
     looked_at = max(per_term.count(), 1)
-    terms = [r["term"] for r in per_term.withColumn("s", strength).where(p > base).where(F.col("s") >= math.log(looked_at) + DOUBT).orderBy(F.desc("s"), "term").limit(TERMS).collect()]
+    likely = _chosen(per_term, base, looked_at, 4 * TERMS)
+    contexts = examples.select("text", "toxic").mapInArrow(_contexts(likely), "term int, label int, context long").distinct()
+    contexts = contexts.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("toxic"), F.count("*").alias("n"))
+    terms = [likely[i] for i in _chosen(save(contexts, "contexts"), base, looked_at, TERMS)]
     words = Vocabulary(terms)
 
     def count(batches):
