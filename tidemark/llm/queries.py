@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dup, outliers, packing, secrets, toxicity
-from tidemark.llm.common import read
+from tidemark.llm import chat_tree, near_dup, outliers, packing, rp_forest, secrets, toxicity
+from tidemark.llm.common import read, save
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    nodes, paths, leaves = chat_tree.chat_trees(turns)
+    return chat_tree.read_back(save(nodes, "trees"), paths, leaves)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -30,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(read(spark, sf_dir, "documents")).drop("key", *outliers.GROUP)
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.transform(F.slice("evidence", 1, 3), lambda e: e["doc_id"]).alias("nearest"))
@@ -39,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placements(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_near_duplicates, op6_quality_rules, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op4_near_duplicates, op6_quality_rules, op7_near_vectors, op9_toxicity, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
