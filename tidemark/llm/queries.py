@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_tree, near_dup, outliers, packing, rp_forest, secrets, toxicity
+from tidemark.llm import chat_tree, lm, near_dup, outliers, packing, pieces, rp_forest, secrets, toxicity, warc
 from tidemark.llm.common import read, save
 
 
@@ -30,10 +30,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(save(nodes, "trees"), paths, leaves)
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of(read(spark, sf_dir, "pages")))
+    written = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.select(F.col("id").alias("capture_id"), "key", "outcome", "source_id", written.alias("headers"), "body_sha256", "body_length")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(read(spark, sf_dir, "documents")).drop("key", *outliers.GROUP)
 
@@ -42,6 +52,14 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(read(spark, sf_dir, "documents"))
+    return encoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score",
+        (pieces.decode(F.col("ids")) == F.col("text")).alias("round_trip"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.transform(F.slice("evidence", 1, 3), lambda e: e["doc_id"]).alias("nearest"))
@@ -51,5 +69,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placements(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op4_near_duplicates, op6_quality_rules, op7_near_vectors, op9_toxicity, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_chat_format, op3_revisits, op4_near_duplicates, op5_lattice_scores, op6_quality_rules, op7_near_vectors,
+        op8_sentence_pieces, op9_toxicity, op10_packing,
+    )
+}
+
+#: op3 in DuckDB. The others are beyond SQL and tested against plain versions.
 ORACLE_SQL: dict[str, str] = {}
