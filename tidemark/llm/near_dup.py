@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
        verified against its leaders on the full sets, and links are united.
     3. While a bucket still holds several components, its members are compared by
        sketch, block by block, with members of other components; the most likely
-       pairs are verified, four times as many per member each round, until none
+       pairs are verified, sixteen times as many per member each round, until none
        is left. No bucket is capped and no pair inside a component is needed.
 
     Defined results: null or blank texts have an empty set and link with nothing;
@@ -125,7 +125,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = save(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count("*").alias("size")).where("leader <> other")
+    # one bucket of all those that hold the same members: bands of copies agree again and again
+    whose = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count("*").alias("size"), *whose).where("leader <> other")
+    shared = shared.groupBy("leader", "other", "size", "m0", "m1").agg(F.min("key").alias("key"))
     members = save(keyed.join(shared.select("key", "leader", "size"), "key"), "buckets")
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
@@ -135,7 +138,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     done = save(_verified(pairs, sets, percent), "verified")
     marks = reps.select(F.col("doc_id").alias("id"), "sketch", "n")
-    most = 8
+    most = 16
     while True:
         comps = components(done.where("linked").select("a", "b"))
         placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", "leader", F.coalesce("component", "id").alias("comp"))
@@ -153,7 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             break
         nxt = save(done.unionByName(_verified(fresh, sets, percent)), "verified")
         drop(done, fresh)
-        done, most = nxt, most * 4
+        done, most = nxt, most * 16
     known = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     return (
         signed_docs.select("doc_id", "n", "s1", "s2")
