@@ -21,8 +21,6 @@ EXAMPLES, TERMS = 2048, 4096
 NEIGHBOURS, BLOCK, DOUBT = 15, 64, 5.0
 #: Terms are whole words and the beginnings of longer ones, so that unseen endings are recognised.
 BEGINNINGS = (4, 5, 6)
-#: Words remembered per Python worker.
-KEPT_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -30,27 +28,19 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) > n]]
 
 
-class Vocabulary(dict):
-    """word -> numbers of its chosen terms; remembers words."""
+class Vocabulary:
+    """Numbers of the chosen terms of a word; most words are told by their first characters to have none."""
 
     def __init__(self, terms: list[str]):
-        super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
+        self.heads = {t.rstrip("*")[: BEGINNINGS[0]] for t in terms}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        if len(word) <= 40:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = got
-        return got
+    def __getitem__(self, word: str) -> tuple[int, ...]:
+        return tuple(self.number[t] for t in terms_of(word) if t in self.number)
 
     def counts(self, text: str | None) -> Counter:
-        words = _WORD.findall((text or "").lower())
-        return Counter(i for got in map(self.__getitem__, words) if got for i in got)
-
-    def __reduce__(self):
-        return Vocabulary, (list(self.number),)
+        heads, n = self.heads, BEGINNINGS[0]
+        return Counter(i for w in _WORD.findall((text or "").lower()) if w[:n] in heads for i in self[w])
 
 
 class BlockMaxIndex:
@@ -160,7 +150,7 @@ def _contexts(terms: list[str]):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = _WORD.findall((text or "").lower())
                 for before, word, after in zip(["", *found], found, [*found[1:], ""]):
-                    for t in words[word]:
+                    for t in words[word] if word[: BEGINNINGS[0]] in words.heads else ():
                         seen.add((t, label, zlib.crc32(f"{before} {after}".encode())))
             rows = list(zip(*seen)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], names=["term", "label", "context"])
@@ -215,13 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     words = Vocabulary(terms)
 
     def count(batches):
-        words_here = Vocabulary(list(words.number))
         seen: Counter = Counter()
         rows = 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                seen.update(words_here.counts(text).keys())
+                seen.update(words.counts(text).keys())
         seen[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
