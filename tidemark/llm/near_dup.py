@@ -8,34 +8,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, save, with_missing
+from tidemark.llm.common import save, with_missing
 from tidemark.llm.components import components
 from tidemark.llm.hashing import U, mix, shingles, signed, texts_of, word_hashes
-from tidemark.llm.superminhash import bands, signatures, sketch
+from tidemark.llm.superminhash import bands, signatures
 
 #: Rows of a band and bands: at similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**54 = 8e-8.
 ROWS, BANDS = 6, 54
-#: Slots of the byte sketch; its estimate at 0.8 has a deviation of 0.035 at most, so SURE is six deviations below.
-SLOTS, SURE = 128, 0.59
 #: Documents and shingles signed together.
 DOCS, HELD = 1024, 1 << 19
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
-MEMBERS = 1024
+MEMBERS = 512
 
 
 def _sign(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def flush(ids, sets):
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # small sets take more steps: let them walk together
         owner = np.repeat(order, [len(sets[i]) for i in order])
         sig = signatures(np.concatenate([sets[i] for i in order]), owner, len(sets), ROWS * BANDS)
-        keys, marks = signed(bands(sig, ROWS)), sketch(sig, SLOTS)
+        keys = signed(bands(sig, ROWS))
         rows = []
         for i, s in enumerate(sets):
             s1, s2 = (int(np.add.reduce(mix(s ^ U(c)), dtype=U).astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            full = len(s) > 0
-            rows.append((ids[i], len(s), s1, s2, marks[i].tobytes() if full else None, keys[i] if full else []))
+            rows.append((ids[i], len(s), s1, s2, keys[i] if len(s) else []))
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
@@ -67,22 +64,29 @@ def _sets(shingle: int):
     return run
 
 
-def _likely(most: int, similarity: float):
-    """Per bucket block pair: for each member the most similar members of other components by sketch."""
+def _across(percent: int):
+    """Links between members of different components in one block pair of a bucket, by exact intersections; enough to unite them."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates(["id", "side"]).sort_values("id", kind="stable")
-        left, right = (p[p.side != s] for s in (1, 0))  # side 2: a block with itself
+        p = p.sort_values(["id", "side"], kind="stable").drop_duplicates("id")
+        ids, comp, side = p.id.to_numpy(), p.comp.to_numpy(), p.side.to_numpy()
+        sizes = np.array([len(h) for h in p.h])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        seen, codes = np.unique(np.concatenate(list(p.h)), return_inverse=True)
+        kinds, where = np.unique(comp, return_inverse=True)
+        root = np.arange(len(kinds))  # of components, as they are united here
         out = []
-        marks = np.stack([np.frombuffer(bytes(x), np.uint8) for x in right.sketch]) if len(right) else np.empty((0, SLOTS), np.uint8)
-        ids, comps, sizes = right.id.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-        for i, c, n, x, lead in zip(left.id, left.comp, left.n, left.sketch, left.leader):
-            like = (marks == np.frombuffer(bytes(x), np.uint8)).mean(1) if len(right) else np.empty(0)
-            ok = (comps != c) & (like >= SURE) & (ids != lead) & (i != lead) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n) * 0.999999)
-            best = np.flatnonzero(ok)
-            best = best[np.argsort(-like[best], kind="stable")[:most]]
-            out += [(min(i, j), max(i, j)) for j in ids[best]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        for i in np.flatnonzero(where != np.bincount(where).argmax()):  # one of two different components isn't the commonest
+            mark = np.zeros(len(seen), np.int32)
+            mark[codes[starts[i] : starts[i] + sizes[i]]] = 1
+            shared = np.add.reduceat(mark[codes], starts)
+            close = (shared * 100 >= (sizes[i] + sizes - shared) * percent) & ((side[i] == 2) | (side != side[i]))
+            for j in np.flatnonzero(close & (root[where] != root[where[i]])):
+                x, y = root[where[i]], root[where[j]]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -109,10 +113,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
        each class's smallest doc_id goes on.
     2. Buckets of equal bands name their smallest member leader; every member is
        verified against its leaders on the full sets, and links are united.
-    3. While a bucket still holds several components, its members are compared by
-       sketch, block by block, with members of other components; the most likely
-       pairs are verified, sixteen times as many per member each round, until none
-       is left. No bucket is capped and no pair inside a component is needed.
+    3. Buckets that then hold several components are compared exactly, block by
+       block, between members of different components; no bucket is capped, no
+       pair inside a component is needed, and only links that unite leave a task.
 
     Defined results: null or blank texts have an empty set and link with nothing;
     fewer words than the shingle's length are one shingle; rows that repeat a
@@ -120,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     component and are kept; other columns are ignored.
     """
     docs = with_missing(docs, doc_id="long", text="string")
-    signed_docs = save(docs.mapInArrow(_sign(shingle), "doc_id long, n long, s1 long, s2 long, sketch binary, bands array<long>"), "signatures")
+    signed_docs = save(docs.mapInArrow(_sign(shingle), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "signatures")
     some = signed_docs.where("n > 0 and doc_id is not null")
     classes = save(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
@@ -137,26 +140,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "sets",
     )
     done = save(_verified(pairs, sets, percent), "verified")
-    marks = reps.select(F.col("doc_id").alias("id"), "sketch", "n")
-    most = 16
-    while True:
-        comps = components(done.where("linked").select("a", "b"))
-        placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", "leader", F.coalesce("component", "id").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        open_members = placed.join(mixed, "key").join(marks, "id")
-        blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        dealt = open_members.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "key", "id", "leader", "comp", "sketch", "n", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"),
-            F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"),
-        )
-        likely = dealt.groupBy("key", "lo", "hi").applyInPandas(_likely(most, percent / 100), "a long, b long").distinct()
-        fresh = save(likely.join(done, ["a", "b"], "left_anti"), "likely")
-        if fresh.isEmpty():
-            break
-        nxt = save(done.unionByName(_verified(fresh, sets, percent)), "verified")
-        drop(done, fresh)
-        done, most = nxt, most * 16
+    comps = components(done.where("linked").select("a", "b"))
+    placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = placed.join(mixed, "key").join(sets, "id").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", "id", "comp", "h", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"),
+        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"),
+    )
+    across = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_across(percent), "a long, b long"), "across")
+    comps = components(done.where("linked").select("a", "b").unionByName(across))
     known = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     return (
         signed_docs.select("doc_id", "n", "s1", "s2")

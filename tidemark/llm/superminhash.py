@@ -53,8 +53,3 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
             acc = mix(acc * U(BASE) + sig[:, b * rows + i])
         out[:, b] = acc
     return out
-
-
-def sketch(sig: np.ndarray, slots: int) -> np.ndarray:
-    """One byte per slot, to estimate similarity."""
-    return (mix(sig[:, :slots]) & U(0xFF)).astype(np.uint8)
