@@ -157,11 +157,16 @@ def _square(raw) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(LONGEST, LONGEST)
 
 
-def _product(p: pd.DataFrame) -> pd.DataFrame:
-    m = np.where(np.eye(LONGEST, dtype=bool), 0.0, NEVER)
-    for raw in p.sort_values("chunk").m:
-        m = times(m, _square(raw))
-    return pd.DataFrame({"doc": [p.doc.iloc[0]], "chunk": [p.chunk.min() // GROUP], "m": [m.tobytes()]})
+def _product(group: int):
+    """One matrix for a group of consecutive chunks."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        m = np.where(np.eye(LONGEST, dtype=bool), 0.0, NEVER)
+        for raw in p.sort_values("chunk").m:
+            m = times(m, _square(raw))
+        return pd.DataFrame({"doc": [p.doc.iloc[0]], "chunk": [p.chunk.min() // group], "m": [m.tobytes()]})
+
+    return run
 
 
 def _starts(given: bool):
@@ -185,7 +190,7 @@ def _prefixes(m: DataFrame) -> DataFrame:
     if (m.agg(F.max("chunk")).first()[0] or 0) < GROUP:
         return m.groupBy("doc").applyInPandas(_starts(False), shape)
     grouped = m.withColumn("g", F.floor(F.col("chunk") / GROUP).cast("long"))
-    products = save(grouped.groupBy("doc", "g").applyInPandas(lambda p: _product(p), "doc long, chunk long, m binary"), "products")
+    products = save(grouped.groupBy("doc", "g").applyInPandas(_product(GROUP), "doc long, chunk long, m binary"), "products")
     before = _prefixes(products).withColumnRenamed("chunk", "g")
     return grouped.join(before, ["doc", "g"]).groupBy("doc", "g").applyInPandas(_starts(True), shape)
 
