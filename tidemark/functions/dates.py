@@ -9,10 +9,16 @@ SEASONS = ("winter", "spring", "summer", "fall")
 
 
 def parse_mdy(c: Column) -> Column:
-    """Month/day/year text to a date; bad text becomes NULL."""
-    return F.coalesce(
-        F.try_to_date(c, "M/d/yyyy"), F.try_to_date(c, "M-d-yyyy"), F.try_to_date(c, "yyyy-M-d")
-    )
+    """Month/day/year text to a date; bad text becomes NULL.
+
+    Slashes, dashes, dots and English month names are read; two-digit years up to
+    68 are of this century, later ones of the last. Later spellings are tried only
+    where the earlier ones fail.
+    """
+    long_years = [F.try_to_date(c, p) for p in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "M.d.yyyy", "yyyy/M/d")]
+    names = [F.try_to_date(F.initcap(c), p) for p in ("MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")]
+    short = F.coalesce(*[F.try_to_date(c, p) for p in ("M/d/yy", "M-d-yy", "M.d.yy")])
+    return F.coalesce(*long_years, *names, F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
 
 
 def month_floor(d: Column) -> Column:

@@ -77,13 +77,19 @@ def title(name: Column, id_: Column) -> Column:
     return F.concat(name, F.lit(" ("), id_, F.lit(")"))
 
 
+def plain_number(val: Column, digits: int = 2) -> Column:
+    """A number with at most that many decimals, no trailing zeros and no exponent."""
+    shown = F.regexp_replace(F.format_string(f"%.{digits}f", F.round(val, digits)), r"\.?0+$", "")
+    return F.when(val.isNotNull(), shown)
+
+
 def hover_region(name: Column, id_: Column, val: Column, stations: Column) -> Column:
     """Hover text of a region: ``NAME (ID), Value: 1.23, 4 stations``."""
-    return F.concat(title(name, id_), F.lit(", Value: "), F.round(val, 2).cast("string"), F.lit(", "), stations)
+    return F.concat(title(name, id_), F.lit(", Value: "), plain_number(val), F.lit(", "), stations)
 
 
 def hover_station(waterbody: Column, station: Column, val: Column) -> Column:
-    return F.concat(waterbody, F.lit(" "), station, F.lit(", Value: "), F.round(val, 2).cast("string"))
+    return F.concat(waterbody, F.lit(" "), station, F.lit(", Value: "), plain_number(val))
 
 
 def thousands(n: Column) -> Column:

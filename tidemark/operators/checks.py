@@ -72,10 +72,10 @@ def waterbody_mismatch(samples: DataFrame, expected: Sequence[str] = S.WATERBODI
 
 
 def dates_outside(df: DataFrame, first: Day, last: Day | None = None) -> DataFrame:
-    """Dates (with their number of rows) before ``first`` or after ``last`` (default today)."""
+    """Dates (with their number of rows) before ``first`` or after ``last`` (default today); a missing date is one too."""
     d = F.col("date")
     end = F.current_date() if last is None else F.lit(str(last)).cast("date")
-    bad = df.filter((d < F.lit(str(first)).cast("date")) | (d > end))
+    bad = df.filter(d.isNull() | (d < F.lit(str(first)).cast("date")) | (d > end))
     return bad.groupBy("date").agg(F.count("*").alias("n"))
 
 

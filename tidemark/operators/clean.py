@@ -22,6 +22,14 @@ def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if re.fullmatch(pattern, c)])
 
 
+def known_headings(found: list[str], expected: Iterable[str]) -> list[str]:
+    """The measured columns as found; a heading no rename knows would lose its readings, so it fails."""
+    unknown = sorted(set(found) - set(expected))
+    if unknown:
+        raise ValueError(f"unknown headings {unknown}")
+    return found
+
+
 def ids_first(df: DataFrame, ids: Iterable[str] = S.FIELD_IDS) -> DataFrame:
     ids = list(ids)
     return df.select(*ids, *[c for c in df.columns if c not in ids])
@@ -30,7 +38,7 @@ def ids_first(df: DataFrame, ids: Iterable[str] = S.FIELD_IDS) -> DataFrame:
 def clean_field_sheet(raw: DataFrame) -> DataFrame:
     """The field sheet with model names, typed columns and one spelling per county and waterbody."""
     df = clean_column_names(raw).withColumnsRenamed(S.FIELD_RENAMES).drop(*S.CALENDAR_COLUMNS)
-    measured = [c for c in df.columns if c not in S.FIELD_IDS]
+    measured = known_headings([c for c in df.columns if c not in S.FIELD_IDS], S.FIELD_RENAMES.values())
     return df.select(
         values.recode(F.col("county"), S.COUNTY_RECODE).alias("county"),
         values.replace_in_order(F.col("waterbody"), S.WATERBODY_FIXES).alias("waterbody"),
@@ -43,7 +51,7 @@ def clean_field_sheet(raw: DataFrame) -> DataFrame:
 def clean_lab_sheet(raw: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """The laboratory sheet: remarks scrubbed, numbers parsed, units aligned, retired stations removed."""
     df = drop_matching(clean_column_names(raw), r"x\d+").withColumnsRenamed(S.LAB_RENAMES)
-    measured = [c for c in df.columns if c not in S.LAB_IDS]
+    measured = known_headings([c for c in df.columns if c not in S.LAB_IDS], (*S.LAB_RENAMES.values(), "secchi_ft"))
     typed = df.select(
         "county",
         values.replace_in_order(F.col("waterbody"), S.LAB_WATERBODY_FIXES).alias("waterbody"),

@@ -76,7 +76,8 @@ def table_view(export: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def wet_days(rain: DataFrame, column: str = "precip_inches") -> DataFrame:
-    return rain.filter(F.col(column) > 0)
+    """Days with rain; missing values, NaN among them, are no rain."""
+    return rain.filter(present(F.col(column)) & (F.col(column) > 0))
 
 
 def gauge_or_region(rain: DataFrame, choice: str) -> DataFrame:

@@ -60,15 +60,17 @@ def previous_value(
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins_per_octave: int = 1024
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of positive values per group, one row per group.
+    """Exact linearly interpolated quantiles per group, one row per group; NULL and NaN don't count.
 
-    Values are counted per logarithmic bin first (bounded state, combined before
+    Values are counted per signed logarithmic bin first (bounded state, combined before
     the shuffle). Only the bins that hold a wanted rank are then looked into, so
     no task ever sees a whole group. Columns: the keys, ``n`` and ``q0`` … in
     the order of ``probs``.
     """
-    rows = df.select(*keys, F.col(value).alias("_v")).filter("_v > 0")
-    binned = rows.withColumn("_bin", F.floor(F.log2("_v") * F.lit(float(bins_per_octave))))
+    rows = df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    # beyond every exponent of a double: bins of positive values stay above zero, those of negative ones below
+    above = F.floor(F.log2(F.abs("_v")) * F.lit(float(bins_per_octave))) + F.lit(1100 * bins_per_octave)
+    binned = rows.withColumn("_bin", F.when(F.col("_v") > 0, above).when(F.col("_v") < 0, -above).otherwise(F.lit(0)))
     counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)

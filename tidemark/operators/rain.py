@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -16,6 +16,11 @@ from tidemark.operators.ordered import exact_quantiles
 from tidemark.session import saved
 
 
+def month_total(column: str = "precip_inches") -> Column:
+    """Sum of a month; missing values, NaN among them, are left out and a month of them totals zero."""
+    return F.coalesce(F.sum(F.when(~F.isnan(column), F.col(column))), F.lit(0.0))
+
+
 def rain_monthly(daily: DataFrame, names: Mapping[str, str] = S.RAIN_STATIONS) -> DataFrame:
     """Monthly totals per gauge from daily rows (station, date, value); ids lose their prefix,
     gauges outside ``names`` get a NULL name."""
@@ -29,7 +34,7 @@ def rain_monthly(daily: DataFrame, names: Mapping[str, str] = S.RAIN_STATIONS) -
 def monthly_totals(daily: DataFrame) -> DataFrame:
     """Monthly totals from named daily rows; a month of missing values totals zero."""
     return daily.groupBy("station", "name", dates.month_floor(F.col("date")).alias("date")).agg(
-        F.coalesce(F.sum(F.when(~F.isnan("precip_inches"), F.col("precip_inches"))), F.lit(0.0)).alias("precip_inches")
+        month_total().alias("precip_inches")
     )
 
 
@@ -37,7 +42,7 @@ def monthly_by_part(daily: DataFrame) -> DataFrame:
     """Totals keyed by year and month, with the month's first day as date."""
     d = F.col("date")
     return daily.groupBy("station", F.year(d).alias("year"), F.month(d).alias("month")).agg(
-        F.sum("precip_inches").alias("monthly_total"), dates.month_floor(F.min(d)).alias("date")
+        month_total().alias("monthly_total"), dates.month_floor(F.min(d)).alias("date")
     )
 
 

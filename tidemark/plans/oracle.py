@@ -355,9 +355,9 @@ def oracle_sql() -> dict[str, str]:
     count = count_text("n_stations")
 
     q["region_summary"] = _sql(f"""SELECT WBID, WATERBODY_NAME, {r6('val', 'val')}, n_stations, {count} AS stas,
-      WATERBODY_NAME || ' (' || WBID || '), Value: ' || CAST(round(val, 2) AS VARCHAR) || ', ' || {count} AS hover FROM ({_summary('region', temp)})""")
+      WATERBODY_NAME || ' (' || WBID || '), Value: ' || regexp_replace(format('{{:.2f}}', round(val, 2)), '\\.?0+$', '') || ', ' || {count} AS hover FROM ({_summary('region', temp)})""")
     q["station_summary"] = _sql(f"""SELECT waterbody || '_' || station AS stas, waterbody, station, {r6('val', 'val')}, WATERBODY_NAME, {r6('lon', 'lon')},
-      {r6('lat', 'lat')}, waterbody || ' ' || station || ', Value: ' || CAST(round(val, 2) AS VARCHAR) AS hover FROM ({_summary('station', temp)})""")
+      {r6('lat', 'lat')}, waterbody || ' ' || station || ', Value: ' || regexp_replace(format('{{:.2f}}', round(val, 2)), '\\.?0+$', '') AS hover FROM ({_summary('station', temp)})""")
     two = _pair(("temp", "surf"), ("tp", "bott"))
     q["compare_region"] = _sql(f"SELECT WBID, WATERBODY_NAME, parameter, {r6('val', 'val')}, n_stations, {count} AS stas FROM ({_summary('region', two, 'parameter')})")
     both = _pair(("temp", "surf"), ("temp", "bott"))

@@ -841,7 +841,7 @@ def rain_distribution(spark, d):
 
 @query
 def rain_outliers(spark, d):
-    # ten times the square spreads the tail enough to leave outliers
+    # the cube spreads the tail enough to leave outliers
     spread = w.rain_daily(spark, d).withColumn("precip_inches", F.pow("precip_inches", 3))
     return rain.rain_outliers(spread)
 

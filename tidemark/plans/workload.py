@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +56,6 @@ SCHEMAS = {
 }
 
 
-# frames are plans, not data: one object per session and folder serves all queries
-_once = lru_cache(maxsize=256)
-
-
-@_once
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
@@ -74,7 +68,6 @@ def feed_path(folder: str, name: str) -> str:
     return os.path.join(folder, f"{name}.[p]arquet")
 
 
-@_once
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers with the names of their nation and region.
 
@@ -104,12 +97,10 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_once
 def stations(spark: SparkSession, folder: str) -> DataFrame:
     return _places(spark, folder).select("waterbody", "station", "name", "WBID", "WATERBODY_NAME", "lon", "lat")
 
 
-@_once
 def regions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "region").select(
         F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("WBID"),
@@ -170,7 +161,6 @@ def samples(spark: SparkSession, folder: str, parameters: Sequence[str] | None =
     return union_by_name(*parts)
 
 
-@_once
 def rain_daily(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return table(spark, folder, "orders").select(
@@ -181,12 +171,10 @@ def rain_daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_once
 def rain_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return rain_ops.monthly_totals(rain_daily(spark, folder))
 
 
-@_once
 def gauges(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("o_orderpriority")
     names = table(spark, folder, "orders").select(p).distinct()
@@ -200,7 +188,6 @@ def gauges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_once
 def criteria_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Criteria per station: phosphorus by region, nitrogen by station, chlorophyll by waterbody."""
 
@@ -213,14 +200,12 @@ def criteria_wide(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_once
 def criteria(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators.reshape import criteria_long
 
     return criteria_long(criteria_wide(spark, folder))
 
 
-@_once
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """Sensor readings, wide, with their number of arrival."""
     return _events(spark, folder).select(
@@ -306,7 +291,6 @@ def dirty_number(k, v):
     )
 
 
-@_once
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as untidy rows: junk in numbers, remarks for depths, odd spellings, text dates."""
     k = F.col("p_partkey")

@@ -38,10 +38,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     ``spark.checkpoint.dir`` names storage every executor can reach. Only where
-    it is unset (a local test session) is a local temporary folder used.
+    it is unset, in a session of one machine, is a local temporary folder used;
+    on a cluster that is an error, for other machines would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 

@@ -14,8 +14,10 @@ def _cell(field: T.StructField) -> Column:
     if isinstance(field.dataType, _QUOTED):
         text = F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
     elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        # whole numbers without a trailing .0
-        text = F.regexp_replace(c.cast("string"), r"\.0$", "")
+        # whole numbers without a trailing .0, none with an exponent that 15 decimals can do without
+        written = c.cast("string")
+        long_form = F.regexp_replace(c.try_cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
+        text = F.when(written.contains("E"), F.coalesce(long_form, written)).otherwise(F.regexp_replace(written, r"\.0$", ""))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("NA"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,16 @@ from tidemark.functions.values import null_tokens, to_number
 def read_text_sheet(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     """A sheet with every column as text and the three missing-value spellings as NULL.
 
-    ``columns`` are required; the read fails when one is absent.
+    ``columns`` are required; the read fails when one is absent, and when a row
+    has more or fewer cells than its header. Quotes inside a cell are doubled.
+    The files of a folder are put together by heading, whatever their order;
+    files with different headings fail.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    reader = spark.read.options(header=True, inferSchema=False, escape='"', mode="FAILFAST")
+    df = reader.csv(path)
+    files = sorted(df.inputFiles())
+    if len(files) > 1:
+        df = reduce(lambda a, b: a.unionByName(b), [reader.csv(f) for f in files])
     missing = sorted(set(columns or ()) - set(df.columns))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")

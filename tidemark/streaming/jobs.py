@@ -19,6 +19,7 @@ from tidemark.functions import dates
 from tidemark.functions.student import t_bounds
 from tidemark.functions.values import present
 from tidemark.operators.criteria import with_criterion
+from tidemark.operators.rain import month_total
 from tidemark.operators.joins import join_on, with_station_info
 from tidemark.operators.ordered import previous_value
 from tidemark.operators.trend import with_trend
@@ -85,7 +86,7 @@ def monthly_rain(daily: DataFrame) -> DataFrame:
     row per gauge and month.
     """
     return daily.groupBy("station", "name", dates.month_floor(F.col("date")).alias("date")).agg(
-        F.sum("precip_inches").alias("precip_inches")
+        month_total().alias("precip_inches")
     )
 
 
