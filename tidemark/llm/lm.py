@@ -30,24 +30,23 @@ def model_file() -> str:
 
 def _count(batches):
     """(word, n, trained) per task; words are bytes, lower-cased; the end of a text is the empty word."""
-    every, train = Counter(), Counter()
+    train, rest = Counter(), Counter()
 
     def out():
-        words = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([train[w] for w in words], pa.int64())], names=["word", "n", "trained"])
+        words = list(train.keys() | rest.keys())
+        trained = [train[w] for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([t + rest[w] for w, t in zip(words, trained)], pa.int64()), pa.array(trained, pa.int64())], names=["word", "n", "trained"])
 
     for batch in batches:
         for text, held in zip(batch.column(0).cast("binary").to_pylist(), batch.column(1).to_pylist()):
             words = (text or b"").lower().split()
             words.append(b"")
-            every.update(words)
-            if not held:
-                train.update(words)
-            if len(every) > HELD:
+            (rest if held else train).update(words)
+            if len(train) + len(rest) > HELD:
                 yield out()
-                every.clear()
                 train.clear()
-    if every:
+                rest.clear()
+    if train or rest:
         yield out()
 
 
