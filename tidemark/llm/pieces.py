@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Texts longer than this many characters are giant; characters per chunk; chunks combined in one task.
 GIANT, CHUNK, GROUP = 32_768, 8_192, 32
+#: Chunks that a task looks at together: numpy's cost per step is shared by them.
+TOGETHER = 16
 #: Distinct units kept per Python worker.
 KEPT_UNITS = 300_000
 NEVER = -np.inf
@@ -31,17 +34,20 @@ def normalized(text: str) -> str:
 def best_paths(s: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(best, back): best score of each position and the length of its last piece, the longest of equals.
 
-    start (n, LONGEST): scores of paths whose first cut is that far into the
-    string, in place of a cut at its beginning; such a path has back 0.
+    start (n * m, LONGEST), m rows per string: scores of paths whose first cut is
+    that far into the string, in place of a cut at its beginning; such a path has back 0.
     """
     n, size, _ = s.shape
+    m = 1 if start is None else len(start) // n
+    n *= m
     best = np.full((n, size + 1), NEVER)
     back = np.zeros((n, size + 1), np.int16)
     best[:, 0] = 0 if start is None else start[:, 0]
     for i in range(1, size + 1):
         w = min(LONGEST, i)
         ahead = np.arange(w, 0, -1)
-        x = best[:, i - ahead] + s[:, i - ahead, ahead - 1]
+        arcs_here = s[:, i - ahead, ahead - 1]
+        x = best[:, i - w : i] + (arcs_here if m == 1 else np.repeat(arcs_here, m, 0))
         k = x.argmax(1)
         best[:, i], back[:, i] = x[np.arange(n), k], ahead[k]
         if start is not None and i < LONGEST:
@@ -56,14 +62,18 @@ def _ids(pieces: Pieces, found: np.ndarray, chars: np.ndarray, at: int, length:
     return [int(pieces.ids[k])] if k >= 0 else [int(pieces.byte_ids[b]) for b in chr(chars[at]).encode()]
 
 
-def _walk(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarray, end: int) -> tuple[list[int], int]:
-    """Ids of the path that ends at end, and where it begins."""
+def _walk(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: list[int], end: int, known: Container[int] = ()) -> tuple[list[tuple[int, list[int]]], int]:
+    """(beginning, ids) of each piece of the path that ends at end, and where it begins or first meets a known cut."""
     out = []
-    while back[end]:
-        n = int(back[end])
-        out.append(_ids(pieces, found, chars, end - n, n))
+    while back[end] and end not in known:
+        n = back[end]
         end -= n
-    return [i for x in reversed(out) for i in x], end
+        out.append((end, _ids(pieces, found, chars, end, n)))
+    return out[::-1], end
+
+
+def _ids_of(walk: list[tuple[int, list[int]]]) -> bytes:
+    return np.array([i for _, x in walk for i in x], "<u4").tobytes()
 
 
 class Encoder(dict):
@@ -98,8 +108,8 @@ class Encoder(dict):
             found, s = arcs(self.pieces, chars, self.pieces.scores, None)
             best, back = best_paths(s)
             for row, i in enumerate(at):
-                ids, _ = _walk(self.pieces, found[row], chars[row], back[row], int(lengths[row]))
-                self[new[i]] = np.array(ids, "<u4").tobytes(), float(best[row, lengths[row]])
+                walk, _ = _walk(self.pieces, found[row], chars[row], back[row].tolist(), int(lengths[row]))
+                self[new[i]] = _ids_of(walk), float(best[row, lengths[row]])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
         cut = [self.units(t) for t in texts]
@@ -108,16 +118,26 @@ class Encoder(dict):
         return [(b"".join(x for x, _ in g), float(sum(x for _, x in g))) for g in got]
 
 
-def _chunk(pieces: Pieces, text: str, size: int, start: np.ndarray):
-    """Arcs that begin in the first size characters of a chunk with its look-ahead, and best paths from each start."""
-    chars, _ = matrix([text])
+def _chunks(pieces: Pieces, texts: list[str], sizes: list[int], start: np.ndarray):
+    """Best paths of chunks over the arcs that begin in their first size characters, each from its m rows of start.
+
+    Gives code points and pieces per chunk, and per row of start the scores of cuts at the chunk's end and beyond, and back.
+    """
+    chars, _ = matrix(texts)
     found, s = arcs(pieces, chars, pieces.scores, None)
-    s[0, size:] = NEVER
-    best, back = best_paths(np.repeat(s, len(start), 0), start)
-    beyond = np.full((len(start), LONGEST), NEVER)
-    ends = best[:, size : size + LONGEST]
-    beyond[:, : ends.shape[1]] = ends
-    return chars[0], found[0], beyond, back
+    sizes = np.array(sizes)
+    s[np.arange(s.shape[1])[None, :] >= sizes[:, None]] = NEVER
+    best, back = best_paths(s, start)
+    at = np.repeat(sizes, len(start) // len(texts))[:, None] + np.arange(LONGEST)[None, :]
+    beyond = np.where(at < best.shape[1], np.take_along_axis(best, np.minimum(at, best.shape[1] - 1), 1), NEVER)
+    return chars, found, beyond, back
+
+
+def _few(batches):
+    """Record batches of TOGETHER rows at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, TOGETHER):
+            yield b.slice(at, TOGETHER)
 
 
 def _split(giants: DataFrame) -> DataFrame:
@@ -146,8 +166,9 @@ def _transfer(path: str):
     def run(batches):
         pieces = Pieces.of_model(path)
         each = np.where(np.eye(LONGEST, dtype=bool), 0.0, NEVER)
-        for b in batches:
-            out = [_chunk(pieces, text, size, each)[2].tobytes() for text, size in zip(b.column("part").to_pylist(), b.column("size").to_pylist())]
+        for b in _few(batches):
+            _, _, beyond, _ = _chunks(pieces, b.column("part").to_pylist(), b.column("size").to_pylist(), np.tile(each, (b.num_rows, 1)))
+            out = [m.tobytes() for m in beyond.reshape(-1, LONGEST, LONGEST)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), pa.array(out, pa.binary())], names=["doc", "chunk", "m"])
 
     return run
@@ -195,20 +216,45 @@ def _prefixes(m: DataFrame) -> DataFrame:
     return grouped.join(before, ["doc", "g"]).groupBy("doc", "g").applyInPandas(_starts(True), shape)
 
 
+def _ways(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: list[int], ends: list[int | None]) -> tuple[list[int], bytes, list[int], list[bytes]]:
+    """Per end: where its path enters the chunk, and its ids as so many of the common ones and its own after them.
+
+    Paths to neighbouring ends soon meet, so the first one's ids serve all.
+    """
+    first = next(e for e in ends if e is not None)
+    line, entry = _walk(pieces, found, chars, back, first)
+    known = {}
+    n = 0
+    for at, ids in line:
+        known[at] = n
+        n += len(ids)
+    known[first] = n
+    enters, shared, own = [], [], []
+    for end in ends:
+        walk, at = ([], 0) if end is None else _walk(pieces, found, chars, back, end, known)
+        enters.append(entry if at in known else at)
+        shared.append(known.get(at, 0))
+        own.append(_ids_of(walk))
+    return enters, _ids_of(line), shared, own
+
+
+_TRACE = "doc long, chunk long, enters array<int>, common binary, shared array<int>, own array<binary>, score double"
+
+
 def _trace(path: str):
     """Per chunk, for each first cut beyond its end: where the best path that reaches it enters the chunk, and its ids."""
 
     def run(batches):
         pieces = Pieces.of_model(path)
-        for b in batches:
-            enters, ids, scores = [], [], []
-            for text, size, before in zip(*(b.column(k).to_pylist() for k in ("part", "size", "before"))):
-                chars, found, beyond, back = _chunk(pieces, text, size, np.frombuffer(before, "<f8")[None, :])
-                walks = [_walk(pieces, found, chars, back[0], size + k) if beyond[0, k] > NEVER else ([], 0) for k in range(LONGEST)]
-                enters.append([w[1] for w in walks])
-                ids.append([np.array(w[0], "<u4").tobytes() for w in walks])
-                scores.append(float(beyond[0, 0]))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), pa.array(enters, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.binary())), pa.array(scores)], names=["doc", "chunk", "enters", "ids", "score"])
+        for b in _few(batches):
+            sizes = b.column("size").to_pylist()
+            start = np.stack([np.frombuffer(x, "<f8") for x in b.column("before").to_pylist()])
+            chars, found, beyond, back = _chunks(pieces, b.column("part").to_pylist(), sizes, start)
+            ends = [[size + k if v > NEVER else None for k, v in enumerate(row)] for size, row in zip(sizes, beyond)]
+            ways = [_ways(pieces, found[i], chars[i], back[i].tolist(), ends[i]) for i in range(b.num_rows)]
+            types = (pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            columns = [pa.array(x, t) for x, t in zip(zip(*ways), types)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), *columns, pa.array(beyond[:, 0])], names=["doc", "chunk", "enters", "common", "shared", "own", "score"])
 
     return run
 
@@ -260,9 +306,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     chunks = save(_split(giants).repartition("doc", "chunk"), "chunks")
     matrices = save(chunks.mapInArrow(_transfer(path), "doc long, chunk long, m binary"), "matrices")
     before = _prefixes(matrices)
-    traced = save(chunks.join(before, ["doc", "chunk"]).mapInArrow(_trace(path), "doc long, chunk long, enters array<int>, ids array<binary>, score double"), "traces")
+    traced = save(chunks.join(before, ["doc", "chunk"]).mapInArrow(_trace(path), _TRACE), "traces")
     leaves = traced.select("doc", "chunk", "enters").groupBy("doc").applyInPandas(_leave, "doc long, chunk long, leave int")
-    parts = traced.join(leaves, ["doc", "chunk"]).select("doc", "chunk", F.col("ids")[F.col("leave")].alias("ids"), "score")
+    leave = F.col("leave")
+    common = F.substring("common", F.lit(1), F.col("shared")[leave] * 4)
+    parts = traced.join(leaves, ["doc", "chunk"]).select("doc", "chunk", F.concat(common, F.col("own")[leave]).alias("ids"), "score")
     whole = parts.groupBy("doc").applyInPandas(_joined, "doc long, ids binary, score double")
     return plain.unionByName(giants.join(whole, "doc").select("doc_id", "text", "ids", "score"))
 
