@@ -77,5 +77,5 @@ QUERIES = {
     )
 }
 
-#: op3 in DuckDB. The others are beyond SQL and tested against plain versions.
+#: None has a SQL twin; tests compare them with plain versions.
 ORACLE_SQL: dict[str, str] = {}
