@@ -61,3 +61,26 @@ def test_scratch_follows_the_checkpoint_folder(spark, rows):
     df = spark.range(3)
     assert rows(saved(df, "three")) == rows(df)
     assert any(p.name.startswith("three-") for p in shared.iterdir())
+
+
+def test_shortest_trend_between_two_areas(spark, rows):
+    def side(area, *days):
+        return spark.createDataFrame(
+            [(*area, "temp", "surf", d, v) for d, v in days],
+            "waterbody string, station string, parameter string, location string, date date, val double",
+        )
+
+    a = side(("A", "1"), (D(2000, 1, 1), 1.0), (D(2012, 1, 1), 2.0), (D(2013, 1, 1), 4.0), (D(2020, 1, 1), 9.0))
+    b = side(("B", "2"), (D(2012, 1, 1), 1.0), (D(2013, 6, 1), 3.0))
+    crit = spark.createDataFrame([], "waterbody string, station string, WBID string, parameter string, value double")
+    pairs = queries.area_pairs(spark, [("A_1", "B_2"), ("A_1", "C_3")])
+    out = queries.comparison_series(a, b, crit, "station", "shortest", pairs=pairs)
+    got = rows(out.filter("other_waterbody = 'B'"), "date", "trend")
+    assert got == [(D(2000, 1, 1), None), (D(2012, 1, 1), pytest.approx(2.0)), (D(2013, 1, 1), pytest.approx(4.0)), (D(2020, 1, 1), None)]
+    assert all(t is not None for (t,) in rows(out.filter("other_waterbody = 'C'"), "trend"))  # no rows there: the complete trend
+    back = queries.comparison_series(b, a, crit, "station", "shortest", pairs=queries.area_pairs(spark, [("B_2", "A_1")]))
+    assert rows(back, "date", "trend") == [(D(2012, 1, 1), pytest.approx(1.0)), (D(2013, 6, 1), pytest.approx(3.0))]
+    daily = queries.comparison_series(
+        a.withColumn("lovl", a.val), b, crit, "station", "shortest", pairs=queries.area_pairs(spark, [("A_1", "B_2")])
+    )
+    assert rows(daily, "date", "trend") == got

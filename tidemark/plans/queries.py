@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -11,6 +13,7 @@ from tidemark.operators import choices, criteria as crit
 from tidemark.operators import continuous as cont
 from tidemark.operators import filters, periods, series, summary, trend
 from tidemark.operators.filters import Day
+from tidemark.operators.joins import join_on
 from tidemark.operators.trend import days
 
 
@@ -93,26 +96,48 @@ def selected(side: DataFrame, choice: str | None) -> DataFrame:
     return side.filter((F.col("waterbody") == waterbody) & (F.col("station") == station))
 
 
+#: Keys of an area and of the one it is compared with.
+PAIR = ("waterbody", "station", "other_waterbody", "other_station")
+
+
+def area_pairs(spark: SparkSession, chosen: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairs of chosen areas, each written as ``selected`` takes it, for ``comparison_series``."""
+    rows = [(*text.split_key(a), *text.split_key(b)) for a, b in chosen]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in PAIR))
+
+
 def comparison_series(
     side: DataFrame, other: DataFrame, criteria: DataFrame, by: str, show_trend: str = "none", years_back: int = 9,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """A comparison side with its trend and criterion.
 
     ``other`` is the opposite side; the ``shortest`` trend is fitted inside the
-    shorter of both ranges, area by area.
+    shorter of both ranges, area by area. Without ``pairs`` an area meets the
+    same area of the other side. ``pairs`` (see ``area_pairs``) says which areas
+    meet: the result then has each area once per pair, with the other area's
+    keys, and only areas that are in a pair. Where the other area has no rows,
+    the trend is the complete one.
     """
-    keys = ("waterbody", "station")
-    out = side
+    area, out = ("waterbody", "station"), side
+    keys = area
+    if pairs is not None:
+        keys = PAIR
+        out = join_on(side, pairs.select(*PAIR).distinct(), area)
     if show_trend != "none":
-        spans = trend.span(other, keys) if show_trend == "shortest" else None
+        spans = None
+        if show_trend == "shortest":
+            spans = trend.span(other, area)
+            if pairs is not None:
+                met = dict(zip(PAIR[2:], area))
+                spans = join_on(pairs.select(*PAIR).distinct(), spans, met)
         # regions and period statistics have a row per day at most; raw station readings any number
         if by == "region" or "lovl" in side.columns:
             out = trend.with_trend(out, keys, show_trend, years_back, spans)
         else:
             out = trend.with_row_trend(out, keys, days(F.col("date")), show_trend, years_back, spans)
     # an empty side shows no criterion by itself: there are no rows to attach it to
-    area = ("waterbody",) if by == "region" else keys
-    return crit.with_criterion(out, criteria, by, area)
+    return crit.with_criterion(out, criteria, by, ("waterbody",) if by == "region" else area)
 
 
 def export_rows(samples: DataFrame, waterbodies, parameters, start: Day, end: Day) -> DataFrame:
