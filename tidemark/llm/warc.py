@@ -70,8 +70,12 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
                  F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("sha"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("len"))
     c = save(c, "captures")
     placed = _latest_before(c.select("id", "key", "time", "status", "h", "full", "sha", "len"))
-    stored = c.where("full").groupBy(F.col("id").alias("s_id")).agg(F.min(F.struct("sha", "len", F.map_entries("h").alias("h"))).alias("s"))
-    joined = placed.withColumn("s_id", F.when(F.col("status") == 304, F.col("earlier.id"))).join(stored, "s_id", "left")
+    stored = c.where("full").groupBy(F.col("id").alias("_meets")).agg(F.min(F.struct("sha", "len", F.map_entries("h").alias("h"))).alias("s"))
+    # rows that look for no response are dealt out by themselves, not all to the task of the missing key
+    placed = placed.withColumn("s_id", F.when(F.col("status") == 304, F.col("earlier.id"))).withColumns(
+        {"_meets": F.coalesce("s_id", F.xxhash64("id", "key", "time")), "_looks": F.col("s_id").isNotNull()}
+    )
+    joined = placed.join(stored.withColumn("_looks", F.lit(True)), ["_meets", "_looks"], "left")
     theirs = F.map_from_entries(F.coalesce("s.h", F.array().cast("array<struct<key:string,value:string>>")))
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), "^W/", "")
     own_tag, old_tag = tag(F.col("h")), tag(theirs)
