@@ -102,6 +102,19 @@ def test_random_polygons_against_brute_force(spark, size):
     assert {r["p"] for r in out.select("p").collect()} == set(range(400))  # every point keeps a row
 
 
+def test_ring_of_many_edges(spark):
+    """20,000 edges inside one grid row: a point meets few of them, and the answer stays right."""
+    n, r = 20_000, 0.01
+    ring = [(0.02 + r * np.cos(2 * np.pi * i / n), 0.02 + r * np.sin(2 * np.pi * i / n)) for i in range(n)]
+    rnd = random.Random(3)
+    pts = [(i, rnd.uniform(0.009, 0.031), rnd.uniform(0.009, 0.031)) for i in range(200)]
+    df, reg = spark.createDataFrame(pts, "p int, lon double, lat double"), regions(spark, {"round": [ring]})
+    assert spatial.polygon_edges(reg).count() < 3 * n
+    assert spatial.edges_met(df, reg).count() < 50 * len(pts)
+    got = {r["p"] for r in spatial.locate(df, reg).filter("WBID = 'round'").collect()}
+    assert got == {i for i, x, y in pts if inside(ring, x, y)}
+
+
 def test_resolve_multiple(spark, rows):
     df = spark.createDataFrame(
         [("a", "1", "X", "X"), ("a", "1", "Y", "X"), ("b", "1", "X", "Z"), ("b", "1", "Y", "Z"), ("c", "1", None, "Q"), ("d", "1", "W", "Q"), ("e", "1", None, "Q"), ("e", "1", None, "Q")],

@@ -110,6 +110,20 @@ def test_rings_are_closed_and_degenerate_ones_dropped(spark, sources, rows):
     assert rows(df.filter("WBID = '10'"), "xmin", "ymin", "xmax", "ymax") == [(-86.6, 30.4, -86.4, 30.6)]
 
 
+def test_geojson_by_lines_and_what_is_no_polygon(spark, tmp_path, rows):
+    def line(shape, coordinates):
+        return json.dumps({"type": "Feature", "properties": {"WBID": "1", "WATERBODY_NAME": "A"}, "geometry": {"type": shape, "coordinates": coordinates}})
+
+    ring = [[0, 0], [1, 0], [0, 1]]
+    good = write(tmp_path / "good.jsonl", "\n".join([line("Polygon", [ring]), line("MultiPolygon", [[ring], [ring]])]))
+    df = polygons.read_geojson(spark, good, lines=True)
+    assert rows(df.select(F.transform("rings", lambda r: F.size(r)).alias("s"))) == [([4, 4],), ([4],)]
+    for name, bad in (("line", line("LineString", ring)), ("text", line("Polygon", "x")), ("cut", line("Polygon", [ring])[:-9])):
+        path = write(tmp_path / f"{name}.jsonl", bad)
+        with pytest.raises(Exception):
+            polygons.read_geojson(spark, path, lines=True).collect()
+
+
 def test_rain_payloads(spark, sources, rows):
     daily = rain_payloads.read_rain_payloads(spark, sources["rain"])
     assert daily.count() == 4

@@ -161,6 +161,17 @@ def without_region_share(samples: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
+def sample_profile(samples: DataFrame) -> DataFrame:
+    """The distinct places, parameters and locations of the readings with their number of rows and dates.
+
+    Every check of distinct values gives the same violations on the profile, which
+    is counted in one pass over the readings and as small as a catalogue.
+    """
+    return samples.groupBy("type", "county", *_STATION, "parameter", "location").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+
+
 def audit(checks: Mapping[str, DataFrame]) -> DataFrame:
     """One row per check: its name, the number of violations, and whether it passed."""
     out = None

@@ -1,9 +1,11 @@
 """Points in polygons by grid-cell equi-joins and edge crossings; no geometry library.
 
 Only distinct coordinates are tested, so many rows at one place cost one test.
-Each polygon is spread over the grid cells of its bounding box and each of its
-edges over the grid rows it passes; a point meets only the polygons in its cell
-and, of those, only the edges in its row. Crossings are counted by a grouped
+Each polygon is spread over the grid cells of its bounding box; a point meets only
+the polygons in its cell. The edges of a polygon lie in rows as high as its mean
+edge: an edge passes two or three of them on average, so the rows stay linear in
+the edges, and a point meets about twice the edges that a line through it crosses,
+however many edges a ring has. Crossings are counted by a grouped
 aggregate, which is combined before the shuffle. Holes and the parts of a
 multi-polygon follow from the even-odd rule. A point on an edge counts as inside.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_on
@@ -28,38 +30,62 @@ def _identified(regions: DataFrame) -> DataFrame:
     return regions.withColumn("_pid", F.xxhash64("WBID", "WATERBODY_NAME", "rings"))
 
 
+def _row_height(rings: Column) -> Column:
+    """Mean height of a polygon's edges; 1 where all of them are level."""
+    heights = F.flatten(
+        F.transform(
+            rings,
+            lambda r: F.zip_with(
+                F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.abs(a["y"] - b["y"])
+            ),
+        )
+    )
+    mean = F.aggregate(heights, F.lit(0.0), lambda s, h: s + h) / F.size(heights)
+    return F.when(mean > 0, mean).otherwise(F.lit(1.0))
+
+
 def polygon_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
     """One row per polygon and grid cell of its bounding box."""
     cols = F.sequence(_cell(F.col("xmin"), size), _cell(F.col("xmax"), size))
     rows = F.sequence(_cell(F.col("ymin"), size), _cell(F.col("ymax"), size))
     return (
         _identified(regions)
-        .select("_pid", "xmin", "ymin", "xmax", "ymax", F.explode(cols).alias("_gx"), rows.alias("_rows"))
+        .dropDuplicates(["_pid"])
+        .select(
+            "_pid", "xmin", "ymin", "xmax", "ymax", _row_height(F.col("rings")).alias("_height"),
+            F.explode(cols).alias("_gx"), rows.alias("_rows"),
+        )
         .withColumn("_gy", F.explode("_rows"))
         .drop("_rows")
-        .distinct()
     )
 
 
-def polygon_edges(regions: DataFrame, size: float = CELL) -> DataFrame:
-    """One row per polygon edge and grid row it passes."""
-    rings = _identified(regions).dropDuplicates(["_pid"]).select("_pid", F.explode("rings").alias("r"))
+def polygon_edges(regions: DataFrame) -> DataFrame:
+    """One row per polygon edge and edge row (``_row``) it passes."""
+    rings = (
+        _identified(regions)
+        .dropDuplicates(["_pid"])
+        .select("_pid", _row_height(F.col("rings")).alias("_height"), F.explode("rings").alias("r"))
+    )
     ends = rings.select(
-        "_pid", F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1) as a"), F.expr("slice(r, 2, size(r) - 1) as b"))).alias("e")
+        "_pid",
+        "_height",
+        F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1) as a"), F.expr("slice(r, 2, size(r) - 1) as b"))).alias("e"),
     )
     xy = ends.select(
         "_pid",
+        "_height",
         F.col("e.a.x").alias("x1"),
         F.col("e.a.y").alias("y1"),
         F.col("e.b.x").alias("x2"),
         F.col("e.b.y").alias("y2"),
     )
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    return xy.withColumn("_gy", F.explode(F.sequence(_cell(lo, size), _cell(hi, size))))
+    lo, hi = (F.floor(y / F.col("_height")) for y in (F.least("y1", "y2"), F.greatest("y1", "y2")))
+    return xy.withColumn("_row", F.explode(F.sequence(lo, hi))).drop("_height")
 
 
-def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
-    """Distinct (lon, lat, _pid) pairs of coordinates and the polygons that contain them."""
+def edges_met(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
+    """Distinct coordinates (``_x``, ``_y``) with the edges that a point test has to look at."""
     x, y = F.col("_x"), F.col("_y")
     coords = (
         points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
@@ -70,7 +96,14 @@ def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: st
     near = coords.join(polygon_cells(regions, size), ["_gx", "_gy"]).filter(
         x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
     )
-    met = near.select("_x", "_y", "_gy", "_pid").join(polygon_edges(regions, size), ["_pid", "_gy"])
+    at = near.select("_x", "_y", "_pid", F.floor(y / F.col("_height")).alias("_row"))
+    return at.join(polygon_edges(regions), ["_pid", "_row"])
+
+
+def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
+    """Distinct (lon, lat, _pid) pairs of coordinates and the polygons that contain them."""
+    x, y = F.col("_x"), F.col("_y")
+    met = edges_met(points, regions, lon, lat, size)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
     on_edge = (
@@ -103,19 +136,21 @@ def resolve_multiple(
 ) -> DataFrame:
     """Stations found in several regions keep the one first recorded for them.
 
-    If none equals it (or the region is missing), the station is dropped.
-    Counted by a grouping joined back, not a window: a key may have any number of rows.
+    If none equals it (or the region is missing), the station is dropped. ``located``
+    holds one row per station and region hit, so a window over a station is short,
+    and the spatial join before it is planned once.
     """
-    counts = located.groupBy(*keys).agg(F.count("*").alias("_n"))
-    tagged = join_on(located, counts, keys, "inner")
+    tagged = located.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     wrong = (F.col("_n") > 1) & (F.col("WBID") != F.col(recorded))
     return tagged.filter(~wrong).drop("_n", recorded)
 
 
 def unresolved(located: DataFrame, keys: Sequence[str] = ("waterbody", "station"), recorded: str = "WBIDorig") -> DataFrame:
     """Station keys that ``resolve_multiple`` drops altogether."""
-    kept = resolve_multiple(located, keys, recorded).select(*keys).distinct()
-    return join_on(located.select(*keys).distinct(), kept, keys, "left_anti")
+    counts = located.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.count(F.when(F.col("WBID") == F.col(recorded), 1)).alias("_same")
+    )
+    return counts.filter("_n > 1 AND _same = 0").select(*keys)
 
 
 def in_box(points: DataFrame, box: Mapping[str, float], buffer: float = 0.0, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -520,8 +520,10 @@ def oracle_sql() -> dict[str, str]:
     b = w.BOX
     box = f"lon BETWEEN CAST({b['xmin']} AS DOUBLE) AND CAST({b['xmax']} AS DOUBLE) AND lat BETWEEN CAST({b['ymin']} AS DOUBLE) AND CAST({b['ymax']} AS DOUBLE)"
     q["in_bbox"] = _sql(f"SELECT waterbody, station, {r6('lon', 'lon')}, {r6('lat', 'lat')} FROM stations WHERE {box}")
-    q["geojson_regions"] = _sql(f"""SELECT station AS WBID, name AS WATERBODY_NAME, 4 AS n_points, {r6('lon', 'xmin')}, {r6('lon + 0.01', 'xmax')},
-      {r6('lat', 'ymin')}, {r6('lat + 0.01', 'ymax')} FROM stations""")
+    two = "CASE WHEN CAST(station AS BIGINT) % 5 = 0 OR CAST(station AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END"
+    right = "lon + CASE WHEN CAST(station AS BIGINT) % 5 = 0 THEN CAST(0.03 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END"
+    q["geojson_regions"] = _sql(f"""SELECT station AS WBID, name AS WATERBODY_NAME, {two} AS n_rings, 4 * {two} AS n_points, {r6('lon', 'xmin')},
+      {r6(right, 'xmax')}, {r6('lat', 'ymin')}, {r6('lat + 0.01', 'ymax')} FROM stations""")
     q["json_rain"] = _sql(f"""SELECT station, CASE station WHEN 'G1' THEN 'first' WHEN 'G2' THEN 'second' WHEN 'G3' THEN 'third' WHEN 'G4' THEN 'fourth' END AS name,
       {day('date', 'date')}, {r6('precip_inches', 'precip_inches')} FROM rain_months""")
 
@@ -545,12 +547,15 @@ def oracle_sql() -> dict[str, str]:
     q["dq_station_regions"] = _region_problems("stations", "WBID <> 'R4'", ("R0", "R1", "R2"), 2)
     q["dq_without_region"] = _sql("""SELECT count(DISTINCT s.waterbody || '_' || s.station) AS n_stations, count(*) AS n_samples FROM samples s
       JOIN stations st ON st.waterbody = s.waterbody AND st.station = s.station WHERE st.WBID IS NULL""")
-    bare = "SELECT DISTINCT waterbody, station FROM {} EXCEPT SELECT waterbody, station FROM {}"
-    q["dq_audit"] = _sql(f"""SELECT "check", violations, violations = 0 AS passed FROM (
-      SELECT 'physical stations' AS "check", count(*) AS violations FROM ({bare.format('physical', 'listed')}) UNION ALL
-      SELECT 'discrete stations', count(*) FROM ({bare.format('discrete', 'stations')}) UNION ALL
-      SELECT 'sample locations', count(*) FROM (SELECT DISTINCT location FROM samples WHERE location NOT IN ('surf', 'bott')) UNION ALL
-      SELECT 'rain gauges', count(*) FROM (SELECT DISTINCT station FROM rain_daily EXCEPT SELECT station FROM gauges))""")
+    audited = {
+        "physical stations": "dq_physical_stations", "discrete stations": "dq_discrete_stations", "continuous stations": "dq_continuous_stations",
+        "time steps": "dq_time_steps", "counties": "dq_counties", "sample dates": "dq_dates", "station box": "dq_locations_box",
+        "station criteria": "dq_criteria_stations", "criteria regions": "dq_criteria_regions", "parameters": "dq_parameters",
+        "rain values": "dq_rain_values", "rain dates": "dq_rain_dates", "rain gauges": "dq_rain_gauges", "gauge regions": "dq_gauge_regions",
+        "sample locations": "dq_sample_locations", "waterbodies": "dq_waterbodies", "station regions": "dq_station_regions",
+    }
+    counted = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS violations FROM ({q[key]})" for name, key in audited.items())
+    q["dq_audit"] = f'SELECT "check", violations, violations = 0 AS passed FROM ({counted})'
 
     q["cont_station_mean"] = _sql(f"""SELECT r.waterbody, r.station, 'temp_f' AS variable, {r6('avg(temp_f)', 'val')}, WATERBODY_NAME, {r6('lon', 'lon')}, {r6('lat', 'lat')}
       FROM readings r LEFT JOIN stations s ON s.waterbody = r.waterbody AND s.station = r.station

@@ -19,7 +19,7 @@ from tidemark.operators import checks, choices, clean, continuous, criteria, fil
 from tidemark.operators import rain, reshape, series, spatial, summary, trend
 from tidemark.plans import build, queries
 from tidemark.plans import workload as w
-from tidemark.session import scratch_dir
+from tidemark.session import saved, scratch_dir
 from tidemark.sources import export, generated, polygons, rain_payloads, sheets, tables
 from tidemark.streaming import jobs
 
@@ -619,31 +619,30 @@ def in_bbox(spark, d):
 
 @query
 def geojson_regions(spark, d):
-    """Station triangles written as feature collections and read back."""
+    """A feature per station, written line by line and read back: triangles, every third with a hole,
+    and for every fifth station two triangles side by side."""
     path = scratch_dir(spark, "geojson")
-
-    def corner(dx, dy):
-        return F.array(F.col("lon") + F.lit(dx), F.col("lat") + F.lit(dy))
-
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.col("station").alias("WBID"), F.col("name").alias("WATERBODY_NAME")).alias("properties"),
-        F.struct(
-            F.lit("Polygon").alias("type"),
-            F.array(F.array(corner(0.0, 0.0), corner(0.01, 0.0), corner(0.0, 0.01))).alias("coordinates"),
-        ).alias("geometry"),
+    k = F.col("station").cast("bigint")
+
+    def ring(dx, size):
+        x, y = F.col("lon") + F.lit(dx), F.col("lat")
+        return F.array(F.array(x, y), F.array(x + F.lit(size), y), F.array(x, y + F.lit(size)))
+
+    plain = F.array(ring(0.0, 0.01))
+    holed = F.array(ring(0.0, 0.01), ring(0.001, 0.002))
+    shape = F.when(k % 5 == 0, F.to_json(F.array(plain, F.array(ring(0.02, 0.01))))).when(k % 3 == 0, F.to_json(holed))
+    feature = F.format_string(
+        '{"type":"Feature","properties":%s,"geometry":{"type":"%s","coordinates":%s}}',
+        F.to_json(F.struct(F.col("station").alias("WBID"), F.col("name").alias("WATERBODY_NAME"))),
+        F.when(k % 5 == 0, "MultiPolygon").otherwise("Polygon"),
+        F.coalesce(shape, F.to_json(plain)),
     )
-    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
-    w.stations(spark, d).select(F.to_json(collection).alias("value")).write.text(path)
-    # one document per line here, so the line reader applies
-    doc = spark.read.schema(polygons._FEATURES).json(path).select(F.explode("features").alias("f"))
-    out = polygons.region_rows(
-        doc.select(
-            F.col("f.properties.WBID").alias("WBID"), F.col("f.properties.WATERBODY_NAME").alias("WATERBODY_NAME"),
-            F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"),
-        )
+    w.stations(spark, d).select(feature.alias("value")).write.text(path)
+    out = polygons.read_geojson(spark, path, lines=True)
+    return out.select(
+        "WBID", "WATERBODY_NAME", F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_points"),
+        "xmin", "xmax", "ymin", "ymax",
     )
-    return out.select("WBID", "WATERBODY_NAME", F.size(F.col("rings")[0]).alias("n_points"), "xmin", "xmax", "ymin", "ymax")
 
 
 @query
@@ -770,12 +769,29 @@ def dq_without_region(spark, d):
 
 @query
 def dq_audit(spark, d):
-    s, st = w.samples(spark, d), w.stations(spark, d)
+    """All 17 checks; those of distinct values read one saved profile of the samples."""
+    s, st, listed, regions = w.samples(spark, d), w.stations(spark, d), _listed(spark, d), w.regions(spark, d)
+    p = saved(checks.sample_profile(s), "sample-profile")
+    labels = summary.catalogue(s).filter("label IS NOT NULL")
+    bottom = p.withColumn("location", F.when(F.col("location") == "bott", "bottom").otherwise(F.col("location")))
     return checks.audit({
-        "physical stations": checks.unknown_physical_stations(s, _listed(spark, d)),
-        "discrete stations": checks.unknown_discrete_stations(s, st),
-        "sample locations": checks.bad_locations(s),
-        "rain gauges": checks.unknown_gauges(w.rain_monthly(spark, d), w.gauges(spark, d)),
+        "physical stations": checks.unknown_physical_stations(p, listed),
+        "discrete stations": checks.unknown_discrete_stations(p, listed),
+        "continuous stations": dq_continuous_stations(spark, d),
+        "time steps": dq_time_steps(spark, d),
+        "counties": checks.county_mismatch(p, ("C0", "C1", "C2", "C9")),
+        "sample dates": dq_dates(spark, d),
+        "station box": checks.stations_outside_box(st, w.BOX),
+        "station criteria": checks.stations_without_criteria(p, w.criteria(spark, d).filter("parameter = 'chl'")),
+        "criteria regions": dq_criteria_regions(spark, d),
+        "parameters": checks.parameters_without_entry(p, labels),
+        "rain values": dq_rain_values(spark, d),
+        "rain dates": dq_rain_dates(spark, d),
+        "rain gauges": checks.unknown_gauges(w.rain_daily(spark, d).select("station").distinct(), w.gauges(spark, d).filter("WBID IS NOT NULL")),
+        "gauge regions": dq_gauge_regions(spark, d),
+        "sample locations": checks.bad_locations(bottom),
+        "waterbodies": checks.waterbody_mismatch(p, ("NATION_0", "NATION_1", "NATION_99")),
+        "station regions": checks.station_region_problems(st, regions.filter("WBID <> 'R4'"), ("R0", "R1", "R2"), 2),
     })
 
 

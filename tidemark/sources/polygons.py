@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
-_FEATURES = (
-    "features array<struct<properties:struct<WBID:string,WATERBODY_NAME:string>,"
-    "geometry:struct<type:string,coordinates:string>>>"
-)
+_PROPERTIES = "struct<WBID:string,WATERBODY_NAME:string>"
+_GEOMETRY = "struct<type:string,coordinates:string>"
+_FEATURE = f"properties {_PROPERTIES}, geometry {_GEOMETRY}"
+_FEATURES = f"features array<struct<properties:{_PROPERTIES},geometry:{_GEOMETRY}>>"
 
 
 def tidy_rings(rings: Column) -> Column:
@@ -38,30 +38,37 @@ def region_rows(features: DataFrame) -> DataFrame:
     """(WBID, WATERBODY_NAME, type, coordinates-as-JSON) to region rows with closed rings.
 
     The rings of all parts of a multi-polygon lie side by side: point tests use
-    the even-odd rule, under which parts and holes need no distinction.
+    the even-odd rule, under which parts and holes need no distinction. A geometry
+    that is no polygon, or whose coordinates cannot be read, fails the job.
     """
-    coords = F.col("coordinates")
-    rings = F.when(
-        F.col("type") == "MultiPolygon", F.flatten(F.from_json(coords, _MULTI))
-    ).otherwise(F.from_json(coords, _POLYGON))
+    coords, strict = F.col("coordinates"), {"mode": "FAILFAST"}
+    rings = (
+        F.when(F.col("type") == "MultiPolygon", F.flatten(F.from_json(coords, _MULTI, strict)))
+        .when(F.col("type") == "Polygon", F.from_json(coords, _POLYGON, strict))
+        .otherwise(F.raise_error(F.concat(F.lit("no polygon: "), F.coalesce("type", F.lit("no geometry")))))
+    )
     points = F.transform(
         rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     )
-    out = features.filter(F.col("type").isin("Polygon", "MultiPolygon")).select(
+    out = features.select(
         "WBID", "WATERBODY_NAME", tidy_rings(points).alias("rings")
     )
     return with_box(out.filter(F.size("rings") > 0))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Read feature collections (one document per file; a folder reads in parallel)."""
-    doc = spark.read.schema(_FEATURES).option("multiLine", True).json(path)
-    f = doc.select(F.explode("features").alias("f"))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Read GeoJSON.
+
+    By default each file is one feature collection, read by one task. With
+    ``lines`` each line is one feature, so that a large layer in a single file
+    is split over tasks. Broken JSON fails the job.
+    """
+    reader = spark.read.option("mode", "FAILFAST")
+    if lines:
+        features = reader.schema(_FEATURE).json(path)
+    else:
+        doc = reader.schema(_FEATURES).option("multiLine", True).json(path)
+        features = doc.select(F.explode("features").alias("f")).select("f.*")
     return region_rows(
-        f.select(
-            F.col("f.properties.WBID").alias("WBID"),
-            F.col("f.properties.WATERBODY_NAME").alias("WATERBODY_NAME"),
-            F.col("f.geometry.type").alias("type"),
-            F.col("f.geometry.coordinates").alias("coordinates"),
-        )
+        features.select("properties.WBID", "properties.WATERBODY_NAME", "geometry.type", "geometry.coordinates")
     )
