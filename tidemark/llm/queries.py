@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_tree, lm, near_dup, outliers, packing, pieces, rp_forest, secrets, toxicity, warc
+from tidemark.llm import bag_search, chat_tree, hard_negatives, licenses, lm, near_dup, oracle, outliers, packing, pieces, rp_forest, secrets, toxicity, warc
 from tidemark.llm.common import read, save
 
 
@@ -69,13 +69,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placements(read(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(read(spark, sf_dir, "documents"))
+    labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda x: x["label"]) for c in columns]))), ",")
+    starts = F.transform("places", lambda p: p["start"])
+    shares = F.concat(F.array(F.lit(0.0)), F.transform("places", lambda p: F.lit(1.0)), F.transform("blocks", lambda b: b["share"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("places").alias("base_labels"), labels("places", "blocks").alias("labels"), F.array_max(shares).alias("score"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_chat_format, op3_revisits, op4_near_duplicates, op5_lattice_scores, op6_quality_rules, op7_near_vectors,
-        op8_sentence_pieces, op9_toxicity, op10_packing,
+        op8_sentence_pieces, op9_toxicity, op10_packing, op11_license_scan, op12_hard_negatives, op13_lexical_search,
     )
 }
 
-#: None has a SQL twin; tests compare them with plain versions.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL twins; tests compare the other queries with plain versions.
+ORACLE_SQL: dict[str, str] = oracle.SQL
