@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat_tree, components, rp_forest, warc
 
@@ -86,8 +87,7 @@ def test_escapes_are_reversible_and_leave_no_control_string():
         assert not any(x in formatted[3:-4] for x in ("<s>", "</s>", "[INST]", "[/INST]"))
 
 
-def test_revisits(spark, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK", 4)
+def test_revisits(spark):
     full = lambda i, t, url, body, **h: (i, url, t, 200, {k.replace("_", "-"): v for k, v in h.items()}, body)
     again = lambda i, t, url, **h: (i, url, t, 304, {k.replace("_", "-"): v for k, v in h.items()}, None)
     rows = [
@@ -97,17 +97,69 @@ def test_revisits(spark, monkeypatch):
         again(4, 31, "http://a.org/x", etag='"1"'), again(5, 90, "http://a.org/x", last_modified="m"), again(6, 0, "http://a.org/x", etag='"1"'),
         again(7, 5, None), (8, "http://b.org/?b=2&a=1", None, 404, None, "gone"), full(9, 40, "http://b.org?a=1&b=2", None),
         again(10, 41, "http://b.org?b=2&a=1"),
+        full(11, 2, None, "lost", ETag="n"), again(12, 3, None, etag="n"), full(13, 2, "http://", "lost", ETag="n"), again(14, 3, "", etag="n"),
+        full(15, 50, "c.org", "first", ETag="c"), full(15, 60, "c.org", "second", ETag="c"), again(16, 55, "c.org", etag="c"), again(17, 65, "c.org", etag="c"),
+        full(None, 70, "c.org", "no id", ETag="c"), again(18, 75, "c.org", etag="c"),
     ]
-    frame = spark.createDataFrame([(*r, "k") for r in rows], "id long, url string, time long, status int, headers map<string,string>, body string, key string").repartition(3)
+    frame = spark.createDataFrame([(*r, "k", 3) for r in rows], "id long, url string, time long, status int, headers map<string,string>, body string, key string, chunk int").repartition(3)
     got = {r.id: r for r in warc.resolve_revisits(frame).collect()}
     assert {i: (r.outcome, r.source_id) for i, r in got.items()} == {
         1: ("response", None), 2: ("resolved", 1), 3: ("response", None), 4: ("mismatch", None), 5: ("resolved", 3), 6: ("orphan", None), 7: ("orphan", None),
-        8: ("other", None), 9: ("response", None), 10: ("mismatch", None),
+        8: ("other", None), 9: ("response", None), 10: ("mismatch", None), 11: ("response", None), 12: ("orphan", None), 13: ("response", None),
+        14: ("orphan", None), 15: ("response", None), 16: ("resolved", 15), 17: ("resolved", 15), 18: ("resolved", 15), None: ("response", None),
     }
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [got[i].body_sha256 for i in (16, 17, 18)] == [sha("first"), sha("second"), sha("second")]
     assert got[2].headers == {"etag": '"1"', "content-type": "html", "date": "d2"} and got[2].body_sha256 == hashlib.sha256(b"one").hexdigest()
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def plain_revisits(rows):
+    """Outcome and source of each capture (id, url key, time, status, tag, body), by looking at all earlier ones."""
+    out = {}
+    for i, key, t, status, tag, _ in rows:
+        before = [r for r in rows if r[1] == key and r[3] == 200 and (r[2], r[0]) < (t, i)]
+        last = max(before, key=lambda r: (r[2], r[0]), default=None)
+        if status == 200:
+            out[i] = "response", None
+        elif last is None:
+            out[i] = "orphan", None
+        else:
+            out[i] = ("resolved", last[0]) if last[4] == tag else ("mismatch", None)
+    return out
+
+
+def test_revisits_of_a_hot_url_at_any_scale_of_time(spark):
+    r = np.random.default_rng(4)
+    for unit in (1, 60_000):
+        rows = [(i, "hot.org/" if i % 3 else f"u{i % 40}.org", int(r.integers(0, 900)) * unit, 200 if r.random() < 0.2 else 304, f'"{int(r.integers(0, 3))}"', f"b{i}") for i in range(1500)]
+        frame = spark.createDataFrame([(i, u, t, s, {"ETag": tag}, b if s == 200 else None) for i, u, t, s, tag, b in rows], "id long, url string, time long, status int, headers map<string,string>, body string")
+        got = {x.id: (x.outcome, x.source_id) for x in warc.resolve_revisits(frame.repartition(7)).collect()}
+        assert got == plain_revisits(rows)
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [5.0, 0.1]), (3, [1e200, 2e200]), (4, [1.001e200, 2e200]), (5, [1.0, 2.0]), (6, [5e-324, 0.0]), (7, [1.7e308, 0.0]), (8, [-1.7e308, 1e308])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_duplicate_vectors(frame).collect()}
+    assert got == {1: (3, 1), 3: (3, 1), 4: (3, 1), 5: (3, 1), 2: (2, 2), 6: (2, 2), 7: (2, 2), 8: (0, 8)}
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, and columns that clash with names of the stages' own."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    clash = ("_id", "_nth", "_key", "_lang", "row", "nth", "id", "key", "kept", "n", "h", "_row", "_run", "_before", "_rank", "score")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (9_001, None, None, "web", None), (9_001, None, None, "web", None)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).withColumns({c: F.lit(i) for i, c in enumerate(clash)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(clash)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -130,7 +182,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_entry_without_these_operators(monkeypatch):
     import __spark_entry__ as entry
 
-    assert {"pipeline", *(f"op{i}_" for i in range(1, 11))} <= {q.split("_")[0] + "_" if q.startswith("op") else q for q in entry.queries()}
+    assert {"pipeline", *(f"op{i}_" for i in range(1, 14))} <= {q.split("_")[0] + "_" if q.startswith("op") else q for q in entry.queries()}
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     again = importlib.reload(entry)
     assert "pipeline" not in again.queries() and "region_summary" in again.queries()

@@ -38,9 +38,14 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_missing(df: DataFrame, **types: str) -> DataFrame:
-    """The named columns only, cast; columns that the table lacks are null."""
-    return df.select(*[(F.col(f"`{c}`").cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+def with_missing(df: DataFrame, *more, **types: str) -> DataFrame:
+    """The named columns only, cast, and what more is asked for; columns that the table lacks are null."""
+    return df.select(*more, *[(F.col(f"`{c}`").cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+
+
+def whole_row(df: DataFrame):
+    """All columns as one struct, "row", so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def crc_of_id(doc_id: str = "doc_id"):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, with_missing
+from tidemark.llm.common import save, whole_row, with_missing
 from tidemark.llm.components import components
 from tidemark.llm.hashing import U, mix, shingles, signed, texts_of, word_hashes
 from tidemark.llm.superminhash import bands, signatures
@@ -169,5 +169,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         return out
-    first = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return out.withColumn("_nth", first).dropDuplicates(["doc_id", "_nth"]).drop("_nth")
+    nth = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("nth")
+    return out.select(whole_row(out), "doc_id", nth).dropDuplicates(["doc_id", "nth"]).select("row.*")

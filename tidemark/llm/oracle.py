@@ -65,4 +65,29 @@ SELECT item_id, row_number() OVER w AS rank, doc_id, score FROM score WHERE scor
 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 20
 """
 
-SQL = {"op11_license_scan": _LICENSES, "op12_hard_negatives": _NEGATIVES, "op13_lexical_search": _SEARCH}
+_REACH = "reach(id, root) AS (SELECT {0}, {0} FROM {1} UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.root)"
+
+_NEAR_TEXTS = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN size m ON m.doc_id = x.doc_id JOIN size n ON n.doc_id = y.doc_id
+  WHERE 100 * least(m.n, n.n) >= 80 * greatest(m.n, n.n) GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+{_REACH.format("doc_id", "doc")}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM doc JOIN (SELECT id, min(root) AS c FROM reach GROUP BY 1) ON id = doc_id LEFT JOIN size USING (doc_id)
+"""
+
+_NEAR_VECTORS = f"""
+WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+{_REACH.format("vec_id", "embeddings")}
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN (SELECT id, min(root) AS c FROM reach GROUP BY 1) ON id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) ON a = vec_id
+"""
+
+SQL = {
+    "op4_near_duplicates": _NEAR_TEXTS, "op7_near_vectors": _NEAR_VECTORS, "op11_license_scan": _LICENSES, "op12_hard_negatives": _NEGATIVES, "op13_lexical_search": _SEARCH,
+}

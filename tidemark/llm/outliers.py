@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import save, with_missing
+from tidemark.llm.common import drop, save, whole_row, with_missing
 
 #: Share of a group's rows that the determinant is minimised over, and what makes its covariance consistent for four
 #: normal variables: 0.75 / P(chi2(6) <= chi2(4) quantile 0.75).
@@ -48,20 +48,21 @@ def _covered(hashes: Column, width: int) -> Column:
     return F.when(size > width, _once(windows, repeated)).otherwise(F.lit(0).cast("long"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), lang, source, the counts of the base rules, base_failed, and the transformed statistics."""
-    d = with_missing(docs, doc_id="long", text="string", lang="string", source="string").withColumn("text", F.coalesce("text", F.lit("")))
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, key (a hash of the text), lang, source, the counts of the base rules, base_failed, the transformed statistics, and more columns of docs."""
+    kept = docs.select(*more).columns if more else []
+    d = with_missing(docs, *more, doc_id="long", text="string", lang="string", source="string").withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     hashes = F.transform(F.filter(F.split("text", r"[ \x09-\x0D]+", -1), lambda x: x != ""), lambda x: F.xxhash64(x))
     words = _once(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _covered(h, 8).alias("n_repeat_words")))
     line_counts = _once(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     d = d.select(
-        "doc_id", F.xxhash64("text").alias("key"), "lang", "source",
+        *kept, "doc_id", F.xxhash64("text").alias("key"), "lang", "source",
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         words.alias("w"), line_counts.alias("l"),
     )
-    d = d.select("doc_id", "key", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    d = d.select(*kept, "doc_id", "key", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.greatest("n_words", F.lit(1))
     share = lambda a, b: F.log1p(100.0 * a / b)
@@ -152,8 +153,24 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start")
 
 
-def _named(df: DataFrame, column: str) -> Column:
-    return F.coalesce(df[column], F.lit("\x00")) if column in df.columns else F.lit("\x00")
+def _grouped(statistics: DataFrame) -> DataFrame:
+    return statistics.withColumn("g_lang", F.coalesce("lang", F.lit("\x00"))).withColumn("g_source", F.coalesce("source", F.lit("\x00")))
+
+
+def _known_groups(s: DataFrame) -> DataFrame:
+    """Saved estimates of every language and source, and of every language, that has LEAST rows."""
+    passed = s.where("not base_failed").select("g_lang", F.explode(F.array("g_source", F.lit("\x00all"))).alias("g_source"), *X)
+    return save(estimates(passed).where(F.col("n") >= LEAST), "estimates")
+
+
+def _judged(s: DataFrame, found: DataFrame) -> DataFrame:
+    """s with distance and kept. Estimates are one row a group: each row is judged where it lies."""
+    parts = [f"m{i}" for i in range(len(X))] + [f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)]
+    own = found.where("g_source <> '\x00all'").select(*GROUP, F.struct(*parts).alias("own"))
+    language = found.where("g_source = '\x00all'").select("g_lang", F.struct(*parts).alias("language"))
+    judged = s.join(own, [*GROUP], "left").join(language, "g_lang", "left").withColumn("e", F.coalesce("own", "language"))
+    judged = judged.select(*s.columns, *[F.col(f"e.{c}").alias(c) for c in parts]).withColumn("distance", _distance() / CONSISTENT)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -169,24 +186,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     null languages or sources are groups of their own; repeated rows count each;
     other columns are ignored.
     """
-    s = save(statistics(docs), "statistics")
-    s = s.withColumn("g_lang", _named(s, "lang")).withColumn("g_source", _named(s, "source"))
-    passed = s.where("not base_failed").select("g_lang", F.explode(F.array("g_source", F.lit("\x00all"))).alias("g_source"), *X)
-    found = save(estimates(passed).where(F.col("n") >= LEAST), "estimates")
-    parts = [f"m{i}" for i in range(len(X))] + [f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)]
-    own = found.where("g_source <> '\x00all'").select(*GROUP, F.struct(*parts).alias("own"))
-    language = found.where("g_source = '\x00all'").select("g_lang", F.struct(*parts).alias("language"))
-    judged = s.join(own, [*GROUP], "left").join(language, "g_lang", "left").withColumn("e", F.coalesce("own", "language"))
-    judged = judged.select(*s.columns, *[F.col(f"e.{c}").alias(c) for c in parts]).withColumn("distance", _distance() / CONSISTENT)
-    return judged.select(
-        "doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", *GROUP,
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"),
+    s = _grouped(save(statistics(docs), "statistics"))
+    return _judged(s, _known_groups(s)).select(
+        "doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", *GROUP, "kept"
     )
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of docs that the quality rules keep, with all their columns."""
-    lost = save(quality_rules(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("g_lang").alias("_lang"), F.col("g_source").alias("_source")).distinct(), "rejected")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == key) & (F.col("_lang") == _named(docs, "lang")) & (F.col("_source") == _named(docs, "source"))
-    return docs.join(lost, same, "left_anti")
+    """Rows of docs that the quality rules keep, with all their columns, whatever their names.
+
+    Statistics are taken twice, for the estimates and again where a row is judged,
+    so texts are neither written nor joined back.
+    """
+    s = save(statistics(docs), "statistics")
+    found = _known_groups(_grouped(s))
+    drop(s)
+    return _judged(_grouped(statistics(docs, whole_row(docs))), found).where("kept").select("row.*")

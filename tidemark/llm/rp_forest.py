@@ -22,7 +22,10 @@ LEVELS = 7
 
 
 def _unit(vectors) -> np.ndarray:
+    """Vectors of length 1. The largest component is divided out first, so squares neither under- nor overflow."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    # as powers of two, which divide exactly and reach the smallest component
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -141,7 +144,8 @@ def near_duplicate_vectors(vectors: DataFrame, similarity: float = 0.98) -> Data
     part it.
 
     Defined results: null labels, and vectors that are null, empty, zero, or hold
-    null or non-finite components link with nothing and stand alone; repeated rows
+    null or non-finite components link with nothing and stand alone; huge and tiny
+    finite components count by their direction like any others; repeated rows
     are vectors of their own; rows without vec_id have no component and are kept;
     other columns are ignored.
     """

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import save, with_missing
+from tidemark.llm.common import save, shuffle_width, with_missing
 
 #: Header fields that a 304 response may change in the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
-#: Width of a time chunk: rows of one URL inside a chunk are ordered together.
-CHUNK = 256
 #: Query arguments that don't name another document.
 NOISE = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)=.*"
 
@@ -28,15 +26,15 @@ def canonical_url(url: Column) -> Column:
 
 
 def _latest_before(rows: DataFrame) -> DataFrame:
-    """rows (key, time, id, full) with earlier: struct(time, id) of the key's last full row before, by (time, id).
+    """rows (key, time, id, sha, full, chunk) with earlier: struct(time, id, sha) of the key's last full row before, by (time, id, sha).
 
-    Inside a chunk of time by a window; the last full row of earlier chunks comes
-    by a window over one row per key and chunk. A key of a third of all rows is
-    therefore dealt out by chunk.
+    A chunk holds a range of the rows ordered by key, time and id. Inside it a
+    window finds the row before; the last full row of earlier chunks comes by a
+    window over one row per key and chunk. However many rows a key has, and however
+    its times lie, no task holds more than a chunk.
     """
-    rows = rows.withColumn("chunk", F.floor(F.col("time") / CHUNK))
-    mark = F.when(F.col("full"), F.struct("time", "id"))
-    inside = W.partitionBy("key", "chunk").orderBy("time", "id").rowsBetween(W.unboundedPreceding, -1)
+    mark = F.when(F.col("full"), F.struct("time", "id", "sha"))
+    inside = W.partitionBy("key", "chunk").orderBy("time", "id", "sha").rowsBetween(W.unboundedPreceding, -1)
     per_chunk = rows.groupBy("key", "chunk").agg(F.max(mark).alias("last"))
     over = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = per_chunk.select("key", "chunk", F.last("last", ignorenulls=True).over(over).alias("carried"))
@@ -54,11 +52,13 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     outcome: response, resolved, mismatch (validators differ or are missing),
     orphan (no earlier response), other (another status).
 
-    Bodies never meet in a window: only ids and times do; responses that are used
-    are joined by id once. Header names are lower-cased; of equal names in other
-    case the first by sorted name stays. Null headers are none; null times stand
-    before all others; null urls are the empty key; repeated ids are resolved each
-    against the smallest body.
+    Bodies never meet in a window: only ids, times and digests do; responses that
+    are used are joined by them once. Header names are lower-cased; of equal names in
+    other case the first by sorted name stays. Null headers are none; null times
+    stand before all others. Captures without an id, or whose url is missing or names
+    no host and path, neither look for a response nor are one for others: their
+    revisits are orphans. Captures that repeat an id stay apart by time and body; of
+    those equal in both the smallest headers are taken.
     """
     c = with_missing(captures, id="long", url="string", time="long", status="int", headers="map<string,string>", body="string")
     entries = F.array_sort(F.map_entries(F.coalesce("headers", F.expr("map()").cast("map<string,string>"))))
@@ -68,21 +68,23 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     lowered = F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], e["v"])))
     c = c.select("id", canonical_url(F.col("url")).alias("key"), F.coalesce("time", F.lit(-(1 << 62))).alias("time"), "status", lowered.alias("h"), F.col("status").eqNullSafe(200).alias("full"),
                  F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("sha"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("len"))
-    c = save(c, "captures")
-    placed = _latest_before(c.select("id", "key", "time", "status", "h", "full", "sha", "len"))
-    stored = c.where("full").groupBy(F.col("id").alias("_meets")).agg(F.min(F.struct("sha", "len", F.map_entries("h").alias("h"))).alias("s"))
+    c = save(c.repartitionByRange(shuffle_width(c.sparkSession), "key", "time", "id").withColumn("chunk", F.spark_partition_id()), "captures")
+    known = F.col("id").isNotNull() & (F.col("key") != "")
+    placed = _latest_before(c.withColumn("full", F.col("full") & known))
+    stored = c.where("full").groupBy(F.col("id").alias("_meets"), F.col("time").alias("_time"), F.col("sha").alias("_sha")).agg(F.min(F.struct("len", F.map_entries("h").alias("h"))).alias("s"))
     # rows that look for no response are dealt out by themselves, not all to the task of the missing key
-    placed = placed.withColumn("s_id", F.when(F.col("status") == 304, F.col("earlier.id"))).withColumns(
-        {"_meets": F.coalesce("s_id", F.xxhash64("id", "key", "time")), "_looks": F.col("s_id").isNotNull()}
-    )
-    joined = placed.join(stored.withColumn("_looks", F.lit(True)), ["_meets", "_looks"], "left")
+    placed = placed.withColumn("s_id", F.when((F.col("status") == 304) & known, F.col("earlier.id"))).withColumns({
+        "_meets": F.coalesce("s_id", F.xxhash64("id", "key", "time")), "_looks": F.col("s_id").isNotNull(), "_time": F.coalesce("earlier.time", F.lit(0)),
+        "_sha": F.coalesce("earlier.sha", F.lit("")),
+    })
+    joined = placed.join(stored.withColumn("_looks", F.lit(True)), ["_meets", "_time", "_sha", "_looks"], "left")
     theirs = F.map_from_entries(F.coalesce("s.h", F.array().cast("array<struct<key:string,value:string>>")))
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), "^W/", "")
     own_tag, old_tag = tag(F.col("h")), tag(theirs)
     date = lambda h: F.element_at(h, F.lit("last-modified"))
     agree = F.when(own_tag.isNotNull() & old_tag.isNotNull(), own_tag == old_tag).otherwise(date(F.col("h")) == date(theirs))
     outcome = (
-        F.when(F.col("full"), F.lit("response")).when(~F.col("status").eqNullSafe(304), F.lit("other")).when(F.col("s_id").isNull(), F.lit("orphan"))
+        F.when(F.col("status").eqNullSafe(200), F.lit("response")).when(~F.col("status").eqNullSafe(304), F.lit("other")).when(F.col("s_id").isNull(), F.lit("orphan"))
         .when(F.coalesce(agree, F.lit(False)), F.lit("resolved")).otherwise(F.lit("mismatch"))
     )
     new = F.map_filter("h", lambda k, _: k.isin(*PERMITTED))
@@ -92,7 +94,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome).select(
         "id", "key", "outcome", F.when(found, F.col("s_id")).alias("source_id"),
         F.map_from_entries(F.array_sort(F.map_entries(headers))).alias("headers"),
-        F.when(found, F.col("s.sha")).otherwise(F.col("sha")).alias("body_sha256"),
+        F.when(found, F.col("_sha")).otherwise(F.col("sha")).alias("body_sha256"),
         F.when(found, F.col("s.len")).otherwise(F.col("len")).alias("body_length"),
     )
 
@@ -102,9 +104,10 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
     The server's entity tag is the page's length, weak where page_id is odd; every
     page is asked for again 3 * 64 ids later with the tag then known, every 16th
-    with an outdated one, every 15th with the date alone.
+    with an outdated one, every 15th with the date alone. Pages without a page_id
+    give captures without an id.
     """
-    p = with_missing(pages, page_id="long", url="string", html="string").where("page_id is not null")
+    p = with_missing(pages, page_id="long", url="string", html="string")
     etag = F.concat(F.when(F.col("page_id") % 2 == 1, F.lit("W/")).otherwise(F.lit("")), F.lit('"'), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit('"'))
     day = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
     first = p.select(
