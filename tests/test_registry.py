@@ -8,10 +8,12 @@ import pytest
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 from compare import connect, difference
+from tidemark.plans.oracle import oracle_sql as own_sql
+from tidemark.plans.registry import QUERIES
 
 pytestmark = pytest.mark.skipif(not Path(SMOKE_DIR).exists(), reason="test tables are not there")
 
-SQL = oracle_sql()
+SQL = own_sql()
 ROWS_ONLY = {"synthetic_noisy"}
 
 
@@ -21,17 +23,21 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(SQL) == ROWS_ONLY and set(SQL) <= set(queries())
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY and set(SQL) <= set(QUERIES)
+
+
+def test_entry_points_hold_all_queries():
+    assert QUERIES.items() <= queries().items() and SQL.items() <= oracle_sql().items() and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    assert difference(spark, con, SMOKE_DIR, queries()[name], SQL[name]) is None
+    assert difference(spark, con, SMOKE_DIR, QUERIES[name], SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_rows(spark, name):
-    assert queries()[name](spark, SMOKE_DIR).count() > 0
+    assert QUERIES[name](spark, SMOKE_DIR).count() > 0
 
 
 def test_entry(spark):
