@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.operators import checks, continuous, rain
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, snapshots
 
 D = dt.date
 
@@ -126,17 +126,191 @@ def test_steps_across_batches(spark, tmp_path, rows):
     assert rows(jobs.step_violations(spark, str(tmp_path / "out")), "station", "seq") == [("a", 5)]
 
 
-def test_monthly_rain_stream(spark, tmp_path, rows):
-    ddl = "station string, name string, date date, precip_inches double"
-    parts = [[("G", "g", D(2020, 5, 1), 0.1)], [("G", "g", D(2020, 6, 1), 0.4), ("G", "g", D(2020, 5, 2), 0.2)]]
-    src = str(tmp_path / "src")
+RAIN = "station string, name string, date date, precip_inches double"
+
+
+def test_rain_months_rewrite_touched_months_only(spark, tmp_path, rows):
+    nan = float("nan")
+    parts = [
+        [("G", "g", D(2020, 5, 1), 0.1), ("G", "g", D(2020, 7, 1), None), ("H", None, D(2020, 4, 1), nan), (None, "x", None, 1.0)],
+        [("G", "g", D(2020, 6, 1), 0.4), ("G", "g", D(2020, 5, 2), 0.2), ("G", "g", D(2020, 5, 3), nan)],
+        [("G", "g", D(2020, 5, 9), 0.5)],
+    ]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    stamp = lambda: {p.parent.name: (p.name, p.stat().st_mtime_ns) for p in sorted((tmp_path / "out" / "months").glob("month=*/part*"))}
+    before = {}
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, RAIN).coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.read_feed(spark, src, spark.createDataFrame(p, RAIN).schema)
+        jobs.rain_months_to(stream, out, f"{tmp_path}/cp").awaitTermination()
+        now, touched = stamp(), {f"month={r[2]:%Y-%m}" if r[2] else "month=none" for r in p}
+        assert {m for m in now if now[m] != before.get(m)} == touched
+        before = now
+        want = rain.monthly_totals(spark.createDataFrame([r for q in parts[: i + 1] for r in q], RAIN))
+        assert [(r[:3], round(r[3], 9)) for r in rows(jobs.rain_months(spark, out))] == [(r[:3], round(r[3], 9)) for r in rows(want)]
+
+
+def test_rain_months_replayed_batch(spark, tmp_path, rows):
+    """The last batch runs again where its commit was lost."""
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for p in ([("G", "g", D(2020, 5, 1), 0.1)], [("G", "g", D(2020, 5, 2), 0.2), ("G", "g", D(2020, 6, 1), 0.4)]):
+        spark.createDataFrame(p, RAIN).coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.read_feed(spark, src, spark.createDataFrame(p, RAIN).schema)
+        jobs.rain_months_to(stream, out, cp).awaitTermination()
+    once = rows(jobs.rain_months(spark, out))
+    for f in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / f).unlink()
+    jobs.rain_months_to(stream, out, cp).awaitTermination()
+    assert rows(jobs.rain_months(spark, out)) == once and len(once) == 2
+
+
+def arrivals(spark, tmp_path, parts, ddl, run):
+    """Each part arrives, then the job runs till it is used up: one batch a part, from the checkpoint of the one before."""
     for p in parts:
-        spark.createDataFrame(p, ddl).coalesce(1).write.mode("append").parquet(src)
-    stream = jobs.read_feed(spark, src, spark.createDataFrame(parts[0], ddl).schema, 1)
-    jobs.update_to(jobs.monthly_rain(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = jobs.latest(spark, f"{tmp_path}/out", ["station", "name", "date"])
-    assert rows(got) == [("G", "g", D(2020, 5, 1), pytest.approx(0.3)), ("G", "g", D(2020, 6, 1), 0.4)]
-    assert rows(rain.monthly_totals(spark.createDataFrame(parts[0] + parts[1], ddl)), "date", "precip_inches")[0][1] == pytest.approx(0.3)
+        spark.createDataFrame(p, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        run(jobs.read_feed(spark, str(tmp_path / "src"), spark.createDataFrame(p, ddl).schema))
+
+
+READING = "waterbody string, station string, variable string, timestamp timestamp, val double"
+
+
+def test_sorted_out_keeps_late_and_repeated_rows(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    row = lambda s, m: ("w", s, "temp_f", t(m), float(m))
+    parts = [
+        [row("a", 0), row("a", 10), row("a", 10), row(None, 5)],
+        [row("a", 10), row("a", 120), row("b", 100), row(None, 5)],
+        [row("a", 10), row("a", 59), row("a", 60), row("b", 100), row("a", 120)],
+        [row("a", 61)],
+    ]
+    run = lambda stream: jobs.sorted_out_to(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    arrivals(spark, tmp_path, parts, READING, run)
+    got = [(r.kind, r.station, int(r.val)) for r in jobs.sorted_out(spark, f"{tmp_path}/out").collect()]
+    key = lambda x: (x[0], x[1] or "", x[2])
+    assert sorted(got, key=key) == sorted([
+        ("kept", "a", 0), ("kept", "a", 10), ("repeated", "a", 10), ("kept", None, 5), ("repeated", "a", 10), ("kept", "a", 120), ("kept", "b", 100),
+        ("repeated", None, 5), ("late", "a", 10), ("late", "a", 59), ("kept", "a", 60), ("repeated", "b", 100), ("repeated", "a", 120), ("kept", "a", 61),
+    ], key=key)
+    assert len(got) == sum(map(len, parts)) and len(list((tmp_path / "out" / "seen").glob("batch=*"))) <= 2
+
+
+def test_gaps_and_late_readings(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    row = lambda s, m: ("w", s, "temp_f", t(m), 0.0)
+    minutes = {"a": [0, 30, 200, 230, 600, 1200], "b": list(range(0, 1200, 20)), "c": [0, 300, 325, 900, 1190]}
+    every = sorted((m, s) for s, at in minutes.items() for m in at)
+    late = {("a", 230): 40, ("c", 300): 30, ("c", 325): 50}
+    arrival = lambda m, s: m + late.get((s, m), 0)
+    parts = [[row(s, m) for m, s in every if lo <= arrival(m, s) < hi] for lo, hi in ((0, 250), (250, 330), (330, 1000), (1000, 9999))]
+    run = lambda stream: jobs.append_to(jobs.stretches(stream.withWatermark("timestamp", "1 hour"), "2 hours"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    arrivals(spark, tmp_path, parts, READING, run)
+    got = {(r.station, r.gap_start, r.gap_end, r.seconds) for r in jobs.gaps(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    closed = {(s, a, b) for s, at in minutes.items() for a, b in zip(at, at[1:]) if b - a > 120}
+    # a stretch is finished once the watermark, an hour behind the newest reading, has passed it by the silence
+    upto = 1200 - 60 - 120
+    last_of = lambda s, b: max(m for m in minutes[s] if not any(x[0] == s and b <= x[1] < m for x in closed) and m >= b)
+    assert got == {(s, t(a), t(b), (b - a) * 60.0) for s, a, b in closed if last_of(s, b) <= upto} and len(got) == 4
+
+
+def test_late_within_the_tolerance_is_no_backward_step(spark, tmp_path, rows):
+    t = dt.datetime(2024, 1, 1)
+    at = [0, 15, 30, 45, 20, 50, 60, 55, 120, 40, 45, 130]  # 20 and 55 are late by less than an hour, 40 is not; 45 follows 40 but lies back as well
+    data = [("w", "a", i, t + dt.timedelta(minutes=m)) for i, m in enumerate(at)]
+    ddl = "waterbody string, station string, seq int, timestamp timestamp"
+    run = lambda stream: jobs.check_steps(stream, "seq", str(tmp_path / "out"), str(tmp_path / "cp"), 2, "1 hour").awaitTermination()
+    arrivals(spark, tmp_path, [data[:5], data[5:9], data[9:]], ddl, run)
+    assert rows(jobs.step_violations(spark, str(tmp_path / "out")), "seq") == [(9,)]
+    assert len(list((tmp_path / "out" / "last").glob("batch=*"))) <= 2
+
+
+# --- snapshots -------------------------------------------------------------------------------------
+
+
+def batch_folders(path, numbers, changed=7):
+    """Batches as ``update_to`` leaves them: a few keys each, later ones over earlier ones."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    truth = {}
+    for b in numbers:
+        rnd = random.Random(b)
+        held = {(dt.datetime(2024, 1 + rnd.randrange(3), 1 + rnd.randrange(4)), rnd.choice(["s", "t", None])): float(b) for _ in range(changed)}
+        truth |= held
+        folder = path / f"batch={b}"
+        folder.mkdir(parents=True)
+        table = pa.table({"start": pa.array([k[0] for k in held], pa.timestamp("us", "UTC")), "station": pa.array([k[1] for k in held], pa.string()), "val": list(held.values())})
+        pq.write_table(table, folder / "part-0.parquet")
+        (folder / "_SUCCESS").touch()
+    return truth
+
+
+KEYS = ("start", "station")
+
+
+def newest(spark, path):
+    got = jobs.latest(spark, str(path), KEYS).collect()
+    assert len(got) == len({(r.start, r.station) for r in got})
+    return {(r.start, r.station): r.val for r in got}
+
+
+def folders_read(spark, path):
+    return {f.rsplit("/", 1)[0] for f in jobs.latest(spark, str(path), KEYS).inputFiles()}
+
+
+def test_reading_stays_bounded_over_many_batches(spark, tmp_path):
+    truth = {}
+    for first in range(0, 1000, 200):
+        truth |= batch_folders(tmp_path / "f", range(first, first + 200))
+        snapshots.fold(spark, str(tmp_path / "f"), KEYS, F.date_trunc("month", "start"), below=first + 195)
+        assert newest(spark, tmp_path / "f") == truth
+        assert len(folders_read(spark, tmp_path / "f")) <= 3 + 5
+    left = [p.name for p in (tmp_path / "f").glob("batch=*")]
+    assert len(left) <= 205 and snapshots.manifest(spark, str(tmp_path / "f"))["upto"] == 994
+    again = snapshots.fold(spark, str(tmp_path / "f"), KEYS, F.date_trunc("month", "start"))
+    assert again["upto"] == 999 and newest(spark, tmp_path / "f") == truth
+    assert snapshots.fold(spark, str(tmp_path / "f"), KEYS, F.date_trunc("month", "start")) == again
+
+
+def test_killed_fold_leaves_a_readable_table(spark, tmp_path, monkeypatch):
+    path, month = tmp_path / "f", F.date_trunc("month", "start")
+    truth = batch_folders(path, range(4))
+    snapshots.fold(spark, str(path), KEYS, month)
+    truth |= batch_folders(path, range(4, 9))
+    held = jobs.latest(spark, str(path), KEYS)
+
+    def killed(*a):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.folders, "write_whole", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            snapshots.fold(spark, str(path), KEYS, month)
+    assert newest(spark, path) == truth
+    (path / "batch=9").mkdir()  # begun and not finished: read by nobody
+    snapshots.fold(spark, str(path), KEYS, month)
+    assert newest(spark, path) == truth
+    assert {(r.start, r.station): r.val for r in held.collect()} == truth  # a reader of the version before goes on
+
+
+def test_only_touched_periods_are_rewritten(spark, tmp_path):
+    ddl, month = "start timestamp, station string, val double", F.date_trunc("month", "start")
+    put = lambda b, *r: spark.createDataFrame(list(r), ddl).write.parquet(str(tmp_path / f"batch={b}"))
+    t = lambda m: dt.datetime(2024, m, 2)
+    put(0, (t(1), "s", 1.0), (t(2), "s", 1.0), (None, "s", 1.0))
+    snapshots.fold(spark, str(tmp_path), KEYS, month)
+    put(1, (t(2), "s", 2.0))
+    assert snapshots.fold(spark, str(tmp_path), KEYS, month)["periods"] == {"2024-01-01": 1, "2024-02-01": 2, "none": 1}
+    assert newest(spark, tmp_path) == {(t(1), "s"): 1.0, (t(2), "s"): 2.0, (None, "s"): 1.0}
+
+
+def test_stream_folds_while_it_runs(spark, feed):
+    src, batch, tmp = feed
+    means = jobs.window_means(jobs.sensor_readings(jobs.read_feed(spark, src, batch.schema, 1), ("temp_f",)).withWatermark("timestamp", "2 hours"), "1 hour")
+    keys = ["start", *jobs.SERIES]
+    jobs.update_to(means, f"{tmp}/folded", f"{tmp}/c6", keys, F.date_trunc("day", "start"), fold_every=2).awaitTermination()
+    jobs.update_to(means, f"{tmp}/plain", f"{tmp}/c7").awaitTermination()
+    read = lambda p: {tuple(r[k] for k in keys): (r["n"], r["val"]) for r in jobs.latest(spark, f"{tmp}/{p}", keys).collect()}
+    assert read("folded") == read("plain") and snapshots.manifest(spark, f"{tmp}/folded")["upto"] >= 1
 
 
 def test_refit_touched(spark, rows):

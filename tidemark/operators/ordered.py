@@ -57,6 +57,20 @@ def previous_value(
     )
 
 
+def newest_before(
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: str, value: str, out: str
+) -> DataFrame:
+    """The greatest value of all earlier rows of the series, NULL for its first row; as ``previous_value`` otherwise."""
+    keyed = df.withColumn("_chunk", chunk).withColumn("_key", _chunk_key(keys, "_chunk")).drop("_chunk")
+    tops = keyed.groupBy("_key").agg(F.max(value).alias("_top"))
+    series = F.struct(*[F.col(f"_key.{k}") for k in keys])
+    across = Window.partitionBy(series).orderBy("_key._chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("_key", F.max("_top").over(across).alias("_carried"))
+    inside = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = keyed.withColumn("_inside", F.max(value).over(inside)).join(carried, "_key")
+    return joined.withColumn(out, F.greatest("_inside", "_carried")).drop("_key", "_inside", "_carried")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins_per_octave: int = 1024
 ) -> DataFrame:

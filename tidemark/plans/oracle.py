@@ -603,5 +603,26 @@ def oracle_sql() -> dict[str, str]:
     q["stream_dq"] = _sql("SELECT r.waterbody, r.station, count(*) AS n FROM readings r JOIN stations s ON s.waterbody = r.waterbody AND s.station = r.station WHERE s.WBID IS NULL GROUP BY 1, 2")
     q["stream_steps"] = _sql("""SELECT waterbody, station, count(*) AS n FROM (SELECT waterbody, station, timestamp AS t,
       lag(timestamp) OVER (PARTITION BY waterbody, station ORDER BY event_id DESC) AS p FROM readings) WHERE t <= p GROUP BY 1, 2""")
+    q["stream_gaps"] = _sql(f"""SELECT waterbody, station, {stamp('gap_start', 'gap_start')}, {stamp('first', 'gap_end')}, {r6('(epoch_us(first) - epoch_us(gap_start)) / CAST(1000000 AS DOUBLE)', 'seconds')} FROM (
+      SELECT *, lag(last) OVER (PARTITION BY waterbody, station ORDER BY first) AS gap_start FROM (
+        SELECT waterbody, station, min(timestamp) AS first, max(timestamp) AS last FROM (
+          SELECT *, sum(CASE WHEN timestamp > p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY waterbody, station ORDER BY timestamp) AS run FROM (
+            SELECT *, lag(timestamp) OVER (PARTITION BY waterbody, station ORDER BY timestamp) AS p FROM readings))
+        GROUP BY waterbody, station, run)
+      WHERE last + INTERVAL 6 HOUR <= (SELECT max(timestamp) FROM readings) - INTERVAL 1 HOUR) WHERE gap_start IS NOT NULL""")
+    arriving = """SELECT *, (a - min(a) OVER ()) * 4 // (max(a) OVER () - min(a) OVER () + 1) AS part FROM (
+      SELECT *, epoch_us(timestamp) + CAST({0} + after AS BIGINT) * 60000000 AS a FROM (SELECT *, unnest({1}) AS after FROM readings))"""
+    sent = arriving.format("CASE WHEN event_id % 10 = 0 THEN 720 ELSE 0 END", "CASE WHEN event_id % 7 = 0 THEN [0, 5] ELSE [0] END")
+    q["stream_late"] = _sql(f"""SELECT waterbody, station, variable, kind, count(*) AS n FROM (
+      SELECT *, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY waterbody, station, variable, timestamp, late ORDER BY part) > 1 THEN 'repeated' ELSE 'kept' END AS kind FROM (
+        SELECT r.*, variable, coalesce(timestamp < before - INTERVAL 1 HOUR, FALSE) AS late FROM ({sent}) r
+        JOIN (SELECT part, lag(newest) OVER (ORDER BY part) AS before FROM (
+          SELECT part, max(max(timestamp)) OVER (ORDER BY part) AS newest FROM ({sent}) GROUP BY part)) USING (part), (VALUES ('temp_f'), ('sal_ppt')) AS v(variable)))
+      GROUP BY ALL""")
+    sent = arriving.format("CASE WHEN event_id % 10 = 0 THEN 720 WHEN event_id % 3 = 0 THEN 30 ELSE 0 END", "[0]")
+    q["stream_late_steps"] = _sql(f"""SELECT waterbody, station, {stamp('timestamp', 'timestamp')}, {stamp('previous', 'previous')} FROM (
+      SELECT *, lag(timestamp) OVER w AS previous, max(timestamp) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ({sent}) WINDOW w AS (PARTITION BY waterbody, station ORDER BY a))
+      WHERE timestamp <= previous AND timestamp < newest - INTERVAL 1 HOUR""")
+    q["stream_snapshot"] = q["stream_window_mean"]
     q["stream_rain_month"] = _sql(f"SELECT station, name, {day('date', 'date')}, {r6('precip_inches', 'precip_inches')} FROM rain_months")
     return q

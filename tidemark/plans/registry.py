@@ -921,6 +921,23 @@ def _finished(q) -> None:
     q.awaitTermination()
 
 
+def _arriving(spark, d, name, delay_minutes, job, copies=lambda k: F.array(F.lit(0)), parts=4) -> str:
+    """Readings in order of arrival, in parts: each part is put into the feed, then the job runs till it is used up.
+
+    The delay of a reading and the minutes after which copies of it arrive follow from its number.
+    """
+    out = scratch_dir(spark, name)
+    sent = w.readings(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    sent = sent.withColumn("_after", F.explode(copies(F.col("event_id"))))
+    sent = saved(sent.withColumn("arrival", F.unix_micros("timestamp") + (delay_minutes(F.col("event_id")) + F.col("_after")).cast("long") * 60_000_000), f"{name}-sent")
+    lo, hi = sent.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.expr(f"((arrival - {lo}) * {parts}) div {hi - lo + 1}")
+    for i in range(parts):
+        sent.filter(part == i).drop("_after").write.mode("append").parquet(f"{out}/feed")
+        _finished(job(jobs.read_feed(spark, f"{out}/feed", sent.drop("_after").schema), out))
+    return out
+
+
 @query
 def stream_dedupe(spark, d):
     out = scratch_dir(spark, "dedupe")
@@ -974,6 +991,52 @@ def stream_steps(spark, d):
     return jobs.step_violations(spark, out).groupBy("waterbody", "station").agg(F.count("*").alias("n"))
 
 
+@query
+def stream_gaps(spark, d):
+    """Silences of six hours and more; readings arrive up to 49 minutes late, in four batches."""
+    def job(feed, out):
+        found = jobs.stretches(feed.withWatermark("timestamp", "1 hour"), "6 hours")
+        return jobs.append_to(found, f"{out}/rows", f"{out}/checkpoint")
+
+    out = _arriving(spark, d, "gaps", lambda k: k % 50, job)
+    return jobs.gaps(spark.read.parquet(f"{out}/rows"))
+
+
+@query
+def stream_late(spark, d):
+    """What becomes of every arriving reading: each seventh arrives twice, each tenth half a day late."""
+    def job(feed, out):
+        return jobs.sorted_out_to(jobs.sensor_readings(feed), f"{out}/sorted", f"{out}/checkpoint")
+
+    again = lambda k: F.when(k % 7 == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
+    out = _arriving(spark, d, "late", lambda k: F.when(k % 10 == 0, 720).otherwise(0), job, again)
+    return jobs.sorted_out(spark, f"{out}/sorted").groupBy("waterbody", "station", "variable", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_late_steps(spark, d):
+    """Backward steps of more than an hour, in order of arrival; each third reading arrives half an hour late, each tenth half a day."""
+    delay = lambda k: F.when(k % 10 == 0, 720).when(k % 3 == 0, 30).otherwise(0)
+    out = _arriving(
+        spark, d, "late-steps", delay,
+        lambda feed, out: jobs.check_steps(feed, "arrival", f"{out}/steps", f"{out}/checkpoint", 86_400_000_000, "1 hour"),
+    )
+    return jobs.step_violations(spark, f"{out}/steps").select("waterbody", "station", "timestamp", "previous")
+
+
+@query
+def stream_snapshot(spark, d):
+    """``stream_window_mean`` over four batches, folded after every second one."""
+    keys = ["start", *jobs.SERIES]
+
+    def job(feed, out):
+        means = jobs.window_means(jobs.sensor_readings(feed, ("temp_f",)).withWatermark("timestamp", "1 hour"))
+        return jobs.update_to(means, f"{out}/rows", f"{out}/checkpoint", keys, F.date_trunc("week", "start"), fold_every=2)
+
+    out = _arriving(spark, d, "snapshot", lambda k: k % 50, job)
+    return jobs.latest(spark, f"{out}/rows", keys)
+
+
 @query
 def stream_rain_month(spark, d):
     out = scratch_dir(spark, "rain")
@@ -983,5 +1046,5 @@ def stream_rain_month(spark, d):
         F.concat(F.lit("G"), F.substring(p, 1, 1)).alias("station"), p.alias("name"), F.to_date("o_orderdate").alias("date"),
         (F.col("o_totalprice") / F.lit(100000.0)).alias("precip_inches"),
     )
-    _finished(jobs.update_to(jobs.monthly_rain(daily), f"{out}/rows", f"{out}/checkpoint"))
-    return jobs.latest(spark, f"{out}/rows", ["station", "name", "date"])
+    _finished(jobs.rain_months_to(daily, f"{out}/rows", f"{out}/checkpoint"))
+    return jobs.rain_months(spark, f"{out}/rows")

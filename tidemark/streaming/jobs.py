@@ -2,27 +2,32 @@
 
 Counts, means and variances are kept incrementally by the stateful aggregate;
 intervals are arithmetic on the aggregated row. Results that change over time
-leave in update mode as one folder per micro-batch, written idempotently, and
-``latest`` reads back the newest row per key.
+leave in update mode as one folder per micro-batch, written idempotently and
+folded into a snapshot now and then; ``latest`` reads back the newest row per key.
+
+Jobs run until the input is used up, or by the trigger given to them, such as
+``processingTime="1 minute"``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.functions import dates
 from tidemark.functions.student import t_bounds
 from tidemark.functions.values import present
 from tidemark.operators.criteria import with_criterion
-from tidemark.operators.rain import month_total
+from tidemark.operators.rain import monthly_totals
 from tidemark.operators.joins import join_on, with_station_info
-from tidemark.operators.ordered import previous_value
+from tidemark.operators.ordered import newest_before, previous_value
 from tidemark.operators.trend import with_trend
+from tidemark.sources import folders
+from tidemark.streaming import snapshots
 
 SERIES = ("waterbody", "station", "variable")
 
@@ -79,82 +84,160 @@ def unknown_stations(readings: DataFrame, stations: DataFrame) -> DataFrame:
     return join_on(readings, stations.select("waterbody", "station"), ["waterbody", "station"], "left_anti")
 
 
-def monthly_rain(daily: DataFrame) -> DataFrame:
-    """Running monthly totals per gauge.
+def stretches(readings: DataFrame, silence: str = "1 hour") -> DataFrame:
+    """Stretches of readings per station without a silence of the given length; needs a watermark.
 
-    No watermark: a late day must still reach its month, and the state is one
-    row per gauge and month.
+    The state is one row per open stretch. A stretch leaves once the watermark has
+    passed its last reading by the silence: that is the moment the station counts
+    as silent. Readings late within the watermark lengthen or unite stretches.
     """
-    return daily.groupBy("station", "name", dates.month_floor(F.col("date")).alias("date")).agg(
-        month_total().alias("precip_inches")
-    )
+    by = F.session_window("timestamp", silence)
+    grouped = readings.groupBy(by.alias("w"), "waterbody", "station")
+    return grouped.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("n")).drop("w")
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished rows as parquet, exactly once, until the input is used up."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def gaps(finished: DataFrame) -> DataFrame:
+    """Silences between finished stretches: station, last reading before, first reading after, seconds."""
+    keys = ("waterbody", "station")
+    after = previous_value(finished, keys, F.date_trunc("month", "first"), "first", "last", "gap_start")
+    seconds = (F.unix_micros("first") - F.unix_micros("gap_start")) / F.lit(1e6)
+    return after.filter("gap_start IS NOT NULL").select(*keys, "gap_start", F.col("first").alias("gap_end"), seconds.alias("seconds"))
+
+
+def _started(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
+def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append finished rows as parquet, exactly once."""
+    return _started(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, trigger)
 
-def update_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's changed rows to its own folder; a repeated batch overwrites itself."""
+
+def update_to(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = (), period: Column | None = None, fold_every: int = 0, **trigger
+) -> StreamingQuery:
+    """Write each micro-batch's changed rows to its own folder; a repeated batch overwrites itself.
+
+    With ``fold_every`` the folders of earlier batches are folded after so many
+    batches: ``keys`` name a row, ``period`` says from them which part of the
+    snapshot it belongs to.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if fold_every and batch_id and batch_id % fold_every == 0:
+            snapshots.fold(batch.sparkSession, path, keys, period, below=batch_id)
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    return _started(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
 
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest row per key of an ``update_to`` folder."""
-    df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in keys and c != "batch"]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """The newest row per key of an ``update_to`` folder: its snapshot and the batches since."""
+    return snapshots.newest_rows(spark, path, keys)
 
 
-def check_steps(stream: DataFrame, order: str, path: str, checkpoint: str, chunk_rows: int = 100_000) -> StreamingQuery:
+def sorted_out_to(
+    readings: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", keys: Sequence[str] = (*SERIES, "timestamp"), **trigger
+) -> StreamingQuery:
+    """Every arriving reading under ``path/rows`` as kept, repeated or late (column ``kind``), so that none is lost unseen.
+
+    Late is what lies further than ``delay`` before the newest reading of earlier
+    batches; repeated what has the keys of a kept one. The keys remembered are those
+    within the delay. Each batch reads the state of the one before and writes rows
+    and state to folders of its own number: a repeated batch overwrites itself.
+    """
+
+    reach = F.expr(f"INTERVAL {delay}")
+
+    def newest_of(rows: DataFrame) -> Column:
+        return F.timestamp_micros(F.lit(rows.agg(F.max(F.unix_micros("_at"))).first()[0]).cast("long"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, seen = batch.sparkSession, f"{path}/seen"
+        before = spark.read.schema(state).parquet(f"{seen}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], state)
+        late = F.coalesce(F.col("timestamp") < newest_of(before) - reach, F.lit(False))
+        rows = batch.withColumn("_late", late)
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_late").orderBy(F.lit(0))))
+        rows = join_on(rows, before.select(*keys, F.lit(True).alias("_known")), keys, "left")
+        kind = F.when(F.col("_late"), "late").when(F.col("_known") | (F.col("_nth") > 1), "repeated").otherwise("kept")
+        out = rows.withColumn("kind", kind).drop("_late", "_nth", "_known")
+        out.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows/batch={batch_id}")
+        written = spark.read.schema(out.schema).parquet(f"{path}/rows/batch={batch_id}")
+        held = written.filter("kind = 'kept'").select(*keys, F.col("timestamp").alias("_at")).unionByName(before)
+        # the newest reading lies within the delay itself, so the clock stays with the keys
+        held.filter(F.col("_at") >= newest_of(held) - reach).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        folders.remove(spark, f"{seen}/batch={batch_id - 2}")
+
+    state = T.StructType([*[readings.schema[k] for k in keys], T.StructField("_at", T.TimestampType())])
+    return _started(readings.writeStream.outputMode("append").foreachBatch(step), checkpoint, trigger)
+
+
+def sorted_out(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of ``sorted_out_to`` with their kind."""
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+def rain_months_to(daily: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Monthly totals per gauge; a batch rewrites the months its days fall into and no others.
+
+    Each batch leaves its own sums under ``path/parts`` by month and batch; the
+    totals of its months are then summed from the parts of those months alone and
+    replace them under ``path/months``. A repeated batch replaces its parts, so the
+    totals stay the same. Days may arrive at any time; there is no state to keep.
+    """
+    by_month = {"partitionOverwriteMode": "dynamic"}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        sums = monthly_totals(batch).withColumns({"month": F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")), "batch": F.lit(batch_id).cast("long")})
+        sums.write.mode("overwrite").options(**by_month).partitionBy("month", "batch").parquet(f"{path}/parts")
+        parts = spark.read.schema(sums.schema).parquet(f"{path}/parts")
+        months = [r["month"] for r in parts.filter(F.col("batch") == batch_id).select("month").distinct().collect()]
+        if months:
+            touched = parts.filter(F.col("month").isin(months)).groupBy("station", "name", "date", "month").agg(F.sum("precip_inches").alias("precip_inches"))
+            touched.repartition("month").write.mode("overwrite").options(**by_month).partitionBy("month").parquet(f"{path}/months")
+
+    return _started(daily.writeStream.outputMode("append").foreachBatch(write), checkpoint, trigger)
+
+
+def rain_months(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that ``rain_months_to`` keeps."""
+    return spark.read.parquet(f"{path}/months").select("station", "name", "date", "precip_inches")
+
+
+def check_steps(
+    stream: DataFrame, order: str, path: str, checkpoint: str, chunk_rows: int = 100_000, tolerance: str | None = None, **trigger
+) -> StreamingQuery:
     """Record every reading that is not later than the one before it, across micro-batches.
 
-    Each batch is checked together with the last reading per station of the
-    batch before. Violations and last readings go to folders named by batch, so
-    a repeated batch overwrites its own output.
+    With a ``tolerance`` a reading counts only if it also lies further than that
+    before the newest one so far, so what is merely late within a watermark is no
+    backward step. Each batch is checked together with the last reading per station
+    of the batch before. Violations and last readings go to folders named by batch,
+    so a repeated batch overwrites its own output; older last readings are removed.
     """
     keys = ("waterbody", "station")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*keys, order, "timestamp")
+        rows = batch.select(*keys, order, "timestamp", F.lit(None).cast("timestamp").alias("newest"))
         if batch_id > 0:
-            rows = spark.read.parquet(f"{path}/last/batch={batch_id - 1}").unionByName(rows)
+            rows = spark.read.schema(rows.schema).parquet(f"{path}/last/batch={batch_id - 1}").unionByName(rows)
         chunk = F.floor(F.col(order) / F.lit(chunk_rows))
         stepped = previous_value(rows, keys, chunk, order, "timestamp", "previous")
         bad = stepped.filter(F.col("timestamp") <= F.col("previous"))
+        rows = rows.withColumn("newest", F.greatest("timestamp", "newest"))
+        if tolerance is not None:
+            far = newest_before(rows, keys, chunk, order, "newest", "_newest").filter(F.col("timestamp") < F.col("_newest") - F.expr(f"INTERVAL {tolerance}"))
+            bad = join_on(bad, far.select(*keys, order), [*keys, order], "left_semi")
         bad.select(*keys, order, "previous", "timestamp").write.mode("overwrite").parquet(
             f"{path}/violations/batch={batch_id}"
         )
-        lasts = rows.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("timestamp", order).alias("timestamp"))
+        lasts = rows.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("timestamp", order).alias("timestamp"), F.max("newest").alias("newest"))
         lasts.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+        folders.remove(spark, f"{path}/last/batch={batch_id - 2}")
 
-    return (
-        stream.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(step)
-        .start()
-    )
+    return _started(stream.writeStream.outputMode("append").foreachBatch(step), checkpoint, trigger)
 
 
 def step_violations(spark: SparkSession, path: str) -> DataFrame:
