@@ -33,11 +33,29 @@ def test_running_sum_and_previous_against_brute_force(spark):
         last[k] = v
 
 
-@pytest.mark.parametrize("bins", [1, 8, 1024])
-def test_exact_quantiles_against_numpy(spark, bins):
+def test_images_are_the_bits_of_doubles(spark):
+    rnd = random.Random(6)
+    vs = [0.0, -0.0, float("inf"), -float("inf"), 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]
+    for e in range(-1074, 1024):
+        x = 2.0**e
+        vs += [x, float(np.nextafter(x, 0)), float(np.nextafter(x, np.inf)), -x * (1 + rnd.random())]
+    df = spark.createDataFrame([(v,) for v in vs], "v double").select("v", ordered.order_image(F.col("v")).alias("i"))
+    got = df.select("v", "i", ordered.double_of_image(F.col("i")).alias("b")).collect()
+    for v, i, b in got:
+        bits = int(np.float64(abs(v)).view(np.int64))
+        assert i == (-bits if v < 0 else bits) and b == v, v
+    order = sorted(got, key=lambda r: r["i"])
+    assert [r["v"] for r in order] == sorted(vs)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1 << 16])
+def test_exact_quantiles_against_numpy(spark, few, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW", few)
     data, df = skewed(spark)
+    data = data + [("a", 0, v) for v in (-1e300, -0.5, -0.5, 0.0, 5e-324)]
+    df = df.unionByName(spark.createDataFrame(data[-5:], df.schema)).unionByName(spark.createDataFrame([("a", 0, None), ("a", 0, float("nan")), ("gone", 0, None)], df.schema))
     probs = (0.0, 0.25, 0.5, 0.9, 1.0)
-    out = ordered.exact_quantiles(df, ["k"], "v", probs, bins).collect()
+    out = ordered.exact_quantiles(df, ["k"], "v", probs).collect()
     assert {r["k"] for r in out} == {"hot", "a", "b", None}
     for r in out:
         vs = [v for k, _, v in data if k == r["k"]]
@@ -45,6 +63,23 @@ def test_exact_quantiles_against_numpy(spark, bins):
         assert [r[f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(vs, probs).tolist())
 
 
+def test_a_million_values_in_one_bin(spark, monkeypatch):
+    """All values share their upper 32 bits; still no bin that is ordered holds more than FEW of them."""
+    n, step = 1_000_000, 2.0**-52
+    df = spark.range(n).select(F.lit("g").alias("k"), (F.lit(1.0) + F.pmod(F.col("id") * 7919, F.lit(n)) * F.lit(step)).alias("v"))
+    left = []
+
+    def seen(images, keys, probs, bins=ordered._bins_of_ranks):
+        target, bits = bins(images, keys, probs)
+        left.append((target.agg(F.max("_c")).first()[0], bits))
+        return target, bits
+
+    monkeypatch.setattr(ordered, "_bins_of_ranks", seen)
+    r = ordered.exact_quantiles(df, ["k"], "v", (0.0, 0.5, 1.0)).first()
+    assert (r["n"], r["q0"], r["q2"]) == (n, 1.0, 1.0 + (n - 1) * step) and 0 < r["q1"] - 1.0 - (n / 2 - 0.5) * step <= step
+    assert left[0][0] <= ordered.FEW and left[0][1] == 16
+
+
 def test_quantile_reference_values(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 10.0)], "k string, v double")
     r = ordered.exact_quantiles(df, ["k"], "v", (0.25, 0.5, 0.75)).first()

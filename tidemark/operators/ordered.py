@@ -71,60 +71,92 @@ def newest_before(
     return joined.withColumn(out, F.greatest("_inside", "_carried")).drop("_key", "_inside", "_carried")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins_per_octave: int = 1024
-) -> DataFrame:
+#: Bits of a digit of the radix selection, and rows of a bin that are ordered as they are: no more than a digit has values.
+DIGIT, FEW = 16, 1 << 16
+_FRACTION = 1 << 52
+
+
+def order_image(v: Column) -> Column:
+    """The bits of a double as a whole number in the order of the doubles; NULL for NaN. Both zeros are 0, a negative is minus its opposite."""
+    a = F.abs(v)
+    scaled = lambda e: a * F.pow(F.lit(2.0), -e)
+    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022))  # the logarithm may be off by one next to a power of two
+    e = F.when(scaled(guess) >= 2, guess + 1).when((scaled(guess) < 1) & (guess > -1022), guess - 1).otherwise(guess)
+    bits = F.when(a == float("inf"), F.lit(2047 * _FRACTION)).otherwise((e + 1022) * F.lit(_FRACTION) + (scaled(e) * F.lit(float(_FRACTION))).cast("long"))
+    return F.when(v > 0, bits).when(v < 0, -bits).when(v == 0, F.lit(0).cast("long"))
+
+
+def double_of_image(image: Column) -> Column:
+    """The double of an ``order_image``."""
+    m = F.abs(image)
+    k, f = F.shiftright(m, 52), m % F.lit(_FRACTION)
+    whole = ((f + F.lit(_FRACTION)).cast("double") / F.lit(float(_FRACTION))) * F.pow(F.lit(2.0), k - 1023)
+    size = F.when(k == 0, f.cast("double") * F.lit(5e-324)).when(k == 2047, F.lit(float("inf"))).otherwise(whole)
+    return F.when(image < 0, -size).otherwise(size)
+
+
+def _bins_of_ranks(images: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> tuple[DataFrame, int]:
+    """The bins of images that hold the wanted ranks, and how many low bits of an image a bin leaves open.
+
+    A digit per round: the rows of the bins still wanted are counted by their next
+    digit, which combines before the shuffle, so a window holds one row per value of
+    a digit. Rounds end when no wanted bin has more than FEW rows, at the latest
+    when every bin is one image.
+    """
+    bits, target = 64, None
+    while True:
+        bits -= DIGIT
+        digit = F.shiftright("_image", bits)
+        if target is None:
+            binned = images.withColumns({"_bin": digit, "_from": F.lit(0).cast("long"), "_start": F.lit(0).cast("long")})
+        else:
+            upper = target.select(*keys, F.col("_bin").alias("_from"), F.col("_below").alias("_start"))
+            binned = join_on(images.withColumn("_from", F.shiftright("_image", bits + DIGIT)), upper, [*keys, "_from"], "inner").withColumn("_bin", digit)
+        counts = binned.groupBy(*keys, "_from", "_start", "_bin").agg(F.count("*").alias("_c"))
+        upto = Window.partitionBy(*keys, "_from").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("_below", F.col("_start") + F.sum("_c").over(upto) - F.col("_c"))
+        if target is None:
+            ranked = ranked.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+            at = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probs])
+            # both neighbours of each quantile, as 0-based ranks
+            ranked = ranked.withColumn("_wanted", F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(F.floor(p), F.ceil(p))))))
+        else:
+            ranked = join_on(ranked, target.select(*keys, F.col("_bin").alias("_from"), "n", "_wanted"), [*keys, "_from"], "inner")
+        inside = F.filter("_wanted", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))
+        target = saved(ranked.withColumn("_wanted", inside).filter(F.size("_wanted") > 0).drop("_from", "_start"), "quantile-bins")
+        if bits == 0 or (target.agg(F.max("_c")).first()[0] or 0) <= FEW:
+            return target, bits
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group; NULL and NaN don't count.
 
-    Values are counted per signed logarithmic bin first (bounded state, combined before
-    the shuffle). Only the bins that hold a wanted rank are then looked into, so
-    no task ever sees a whole group. Columns: the keys, ``n`` and ``q0`` … in
-    the order of ``probs``.
+    Radix selection on the bits of the doubles: only bins that hold a wanted rank
+    are looked into (``_bins_of_ranks``), so no task holds a group's values, however
+    close together they lie. Columns: the keys, ``n`` and ``q0`` … in the order of
+    ``probs``.
     """
-    rows = df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
-    # beyond every exponent of a double: bins of positive values stay above zero, those of negative ones below
-    above = F.floor(F.log2(F.abs("_v")) * F.lit(float(bins_per_octave))) + F.lit(1100 * bins_per_octave)
-    binned = rows.withColumn("_bin", F.when(F.col("_v") > 0, above).when(F.col("_v") < 0, -above).otherwise(F.lit(0)))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    whole = Window.partitionBy(*keys)
-    ranked = counts.select(
-        *keys,
-        "_bin",
-        F.sum("_c").over(whole).alias("n"),
-        (F.sum("_c").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_below"),
-        "_c",
-    )
-    at = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probs])
-    # both neighbours of each quantile, as 0-based ranks
-    wanted = F.array_distinct(
-        F.flatten(F.transform(at, lambda p: F.array(F.floor(p), F.ceil(p)))),
-    )
-    target = ranked.withColumn("_wanted", wanted).withColumn(
-        "_wanted",
-        F.filter("_wanted", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c"))),
-    ).filter(F.size("_wanted") > 0)
-    wanted_bins = saved(target.select(*keys, "_bin", "n", "_below", "_wanted"), "quantile-bins")
-    inside = join_on(binned, wanted_bins, [*keys, "_bin"], "inner")
-    values = inside.groupBy(*keys, "_bin", "n", "_below", "_wanted", "_v").agg(F.count("*").alias("_m"))
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("_upto", F.sum("_m").over(in_bin) + F.col("_below"))
-    found = placed.select(
-        *keys,
-        "n",
-        "_v",
-        F.explode(
-            F.filter("_wanted", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")))
-        ).alias("_rank"),
-    )
+    image = order_image(F.col("_v"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    images = saved(rows.select(*keys, image.alias("_image")), "images")
+    target, bits = _bins_of_ranks(images, keys, probs)
+    if bits == 0:
+        found = target.select(*keys, "n", F.col("_bin").alias("_image"), F.explode("_wanted").alias("_rank"))
+    else:
+        inside = join_on(images.withColumn("_bin", F.shiftright("_image", bits)), target, [*keys, "_bin"], "inner")
+        values = inside.groupBy(*keys, "_bin", "n", "_below", "_wanted", "_image").agg(F.count("*").alias("_m"))
+        in_bin = Window.partitionBy(*keys, "_bin").orderBy("_image").rowsBetween(Window.unboundedPreceding, 0)
+        placed = values.withColumn("_upto", F.sum("_m").over(in_bin) + F.col("_below"))
+        here = F.filter("_wanted", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")))
+        found = placed.select(*keys, "n", "_image", F.explode(here).alias("_rank"))
     # at most two values per quantile and group are left
     per_group = found.groupBy(*keys, "n").agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
+        F.map_from_entries(F.collect_list(F.struct("_rank", double_of_image(F.col("_image")).alias("_v")))).alias("_at")
     )
 
     def interpolated(p: float) -> Column:
         pos = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.element_at("_at", F.floor(pos)), F.element_at("_at", F.ceil(pos))
-        return lo + (hi - lo) * (pos - F.floor(pos))
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos)))
 
     return per_group.select(*keys, "n", *[interpolated(p).alias(f"q{i}") for i, p in enumerate(probs)])
