@@ -145,11 +145,46 @@ def test_ring_of_many_edges(spark):
     pts = [(i, rnd.uniform(0.009, 0.031), rnd.uniform(0.009, 0.031)) for i in range(200)]
     df, reg = spark.createDataFrame(pts, "p int, lon double, lat double"), regions(spark, {"round": [ring]})
     assert spatial.polygon_edges(reg).count() < 3 * n
-    assert spatial.edges_met(df, reg).count() < 50 * len(pts)
+    met = spatial.cells_met(df, reg).withColumn("_row", F.floor(F.col("_y") / F.col("_height"))).join(spatial.polygon_edges(reg), ["_pid", "_row"])
+    assert met.count() < 50 * len(pts)
     got = {r["p"] for r in spatial.locate(df, reg).filter("WBID = 'round'").collect()}
     assert got == {i for i, x, y in pts if inside(ring, x, y)}
 
 
+def star(n, cx, cy, far):
+    """A ring of n corners at changing distances."""
+    rnd = random.Random(n)
+    at = [far * (0.55 + 0.45 * rnd.random()) for _ in range(n)]
+    return [(cx + d * np.cos(2 * np.pi * i / n), cy + d * np.sin(2 * np.pi * i / n)) for i, d in enumerate(at)]
+
+
+def test_cover_follows_the_outline(spark):
+    """Twice the size: about twice the rows, where the box has four times the cells."""
+    rows = {}
+    for far in (10, 20):
+        reg = regions(spark, {"P": [star(40, 3.0, -2.0, far)]})
+        got = spatial.polygon_cells(reg).groupBy("_outline").count().collect()
+        rows[far] = {r["_outline"]: r["count"] for r in got}
+        box = (2 * far / spatial.CELL) ** 2
+        assert sum(rows[far].values()) < 0.1 * box
+    assert rows[20][True] < 2.2 * rows[10][True] and rows[20][False] < 2.4 * rows[10][False]
+
+
+def test_points_inside_meet_no_edge(spark):
+    ring = star(60, -84.0, 30.0, 6)
+    reg = regions(spark, {"P": [ring, [(-84.5, 29.5), (-83.5, 29.5), (-83.5, 30.5), (-84.5, 30.5)]], "Q": [[(-85, 29), (-80, 29), (-80, 33)]]})
+    rnd = random.Random(8)
+    pts = [(i, rnd.uniform(-91, -77), rnd.uniform(23, 37)) for i in range(3000)] + [(3000, -84.5, 30.0), (3001, -83.5, 30.5), (3002, -85.0, 29.0), (3003, -80.0, 31.0)]
+    df = spark.createDataFrame(pts, "p int, lon double, lat double")
+    hole = lambda x, y: -84.5 < x < -83.5 and 29.5 < y < 30.5
+    want = {(i, "P") for i, x, y in pts[:3000] if inside(ring, x, y) and not hole(x, y)} | {(i, "Q") for i, x, y in pts[:3000] if inside([(-85, 29), (-80, 29), (-80, 33)], x, y)}
+    want |= {(3000, "P"), (3001, "P"), (3001, "Q"), (3002, "P"), (3002, "Q"), (3003, "Q")}
+    got = {(r["p"], r["WBID"]) for r in spatial.locate(df, reg).filter("WBID IS NOT NULL").collect()}
+    assert {g for g in got if g[0] < 3000} == {x for x in want if x[0] < 3000} and {(3000, "P"), (3001, "P"), (3003, "Q")} <= got
+    met = spatial.cells_met(df, reg).groupBy("_outline").count().collect()
+    assert {r["_outline"]: r["count"] for r in met}[True] < 0.1 * len(pts)
+
+
 def test_resolve_multiple(spark, rows):
     df = spark.createDataFrame(
         [("a", "1", "X", "X"), ("a", "1", "Y", "X"), ("b", "1", "X", "Z"), ("b", "1", "Y", "Z"), ("c", "1", None, "Q"), ("d", "1", "W", "Q"), ("e", "1", None, "Q"), ("e", "1", None, "Q")],

@@ -1,8 +1,10 @@
 """Points in polygons by grid-cell equi-joins and edge crossings; no geometry library.
 
 Only distinct coordinates are tested, so many rows at one place cost one test.
-Each polygon is spread over the grid cells of its bounding box; a point meets only
-the polygons in its cell. The edges of a polygon lie in rows as high as its mean
+Each polygon is covered by a quadtree: the smallest cells where its outline
+passes, and ever larger ones where it lies whole inside. Rows per polygon follow its
+outline, not its box, and a point in an inner cell is a hit without a look at any
+edge. Points in cells of the outline are tested against edges. The edges of a polygon lie in rows as high as its mean
 edge: an edge passes two or three of them on average, so the rows stay linear in
 the edges, and a point meets about twice the edges that a line through it crosses,
 however many edges a ring has. Crossings are counted by a grouped
@@ -44,24 +46,8 @@ def _row_height(rings: Column) -> Column:
     return F.when(mean > 0, mean).otherwise(F.lit(1.0))
 
 
-def polygon_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
-    """One row per polygon and grid cell of its bounding box."""
-    cols = F.sequence(_cell(F.col("xmin"), size), _cell(F.col("xmax"), size))
-    rows = F.sequence(_cell(F.col("ymin"), size), _cell(F.col("ymax"), size))
-    return (
-        _identified(regions)
-        .dropDuplicates(["_pid"])
-        .select(
-            "_pid", "xmin", "ymin", "xmax", "ymax", _row_height(F.col("rings")).alias("_height"),
-            F.explode(cols).alias("_gx"), rows.alias("_rows"),
-        )
-        .withColumn("_gy", F.explode("_rows"))
-        .drop("_rows")
-    )
-
-
-def polygon_edges(regions: DataFrame) -> DataFrame:
-    """One row per polygon edge and edge row (``_row``) it passes."""
+def _edges(regions: DataFrame) -> DataFrame:
+    """One row per polygon edge: ``_pid``, row height, ends."""
     rings = (
         _identified(regions)
         .dropDuplicates(["_pid"])
@@ -72,7 +58,7 @@ def polygon_edges(regions: DataFrame) -> DataFrame:
         "_height",
         F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1) as a"), F.expr("slice(r, 2, size(r) - 1) as b"))).alias("e"),
     )
-    xy = ends.select(
+    return ends.select(
         "_pid",
         "_height",
         F.col("e.a.x").alias("x1"),
@@ -80,30 +66,69 @@ def polygon_edges(regions: DataFrame) -> DataFrame:
         F.col("e.b.x").alias("x2"),
         F.col("e.b.y").alias("y2"),
     )
+
+
+def polygon_edges(regions: DataFrame) -> DataFrame:
+    """One row per polygon edge and edge row (``_row``) it passes."""
     lo, hi = (F.floor(y / F.col("_height")) for y in (F.least("y1", "y2"), F.greatest("y1", "y2")))
-    return xy.withColumn("_row", F.explode(F.sequence(lo, hi))).drop("_height")
+    return _edges(regions).withColumn("_row", F.explode(F.sequence(lo, hi)))
 
 
-def edges_met(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
-    """Distinct coordinates (``_x``, ``_y``) with the edges that a point test has to look at."""
-    x, y = F.col("_x"), F.col("_y")
-    coords = (
-        points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
-        .filter("_x IS NOT NULL AND _y IS NOT NULL")
-        .distinct()
-        .withColumns({"_gx": _cell(x, size), "_gy": _cell(y, size)})
+def outline_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
+    """Smallest cells that a polygon's outline passes (``_pid``, ``_gx``, ``_gy``), with its row height.
+
+    An edge is cut by the rows of cells; in each it passes those between its ends
+    there. A millionth of a cell is added on every side for rounding: a cell too many
+    costs a test, one too few would be wrong.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    spare = F.lit(size * 1e-6)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    rows = _edges(regions).withColumn("_gy", F.explode(F.sequence(_cell(low - spare, size), _cell(high + spare, size))))
+
+    def at(y: Column) -> Column:
+        return F.when(y1 == y2, x1).otherwise(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+
+    bottom = F.greatest(low, F.col("_gy") * F.lit(size) - spare)
+    top = F.least(high, (F.col("_gy") + 1) * F.lit(size) + spare)
+    a, b = at(bottom), F.when(y1 == y2, x2).otherwise(at(top))
+    left = F.greatest(F.least(a, b), F.least(x1, x2)) - spare
+    right = F.least(F.greatest(a, b), F.greatest(x1, x2)) + spare
+    cells = rows.select("_pid", "_height", "_gy", F.explode(F.sequence(_cell(left, size), _cell(right, size))).alias("_gx"))
+    return cells.distinct()
+
+
+def polygon_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
+    """The quadtree cover: ``_pid``, ``_level``, ``_gx``, ``_gy``, ``_height``, ``_outline``; a cell of level k is 2**k small cells wide.
+
+    A cell with outline inside is parted in four until it is a smallest one. What
+    holds none is whole inside or whole outside, which its centre tells. The largest
+    cells are those of which the polygon's box meets at most two a side, so the
+    outline passes all of them that the polygon touches.
+    """
+    outline = outline_cells(regions, size)
+    widest = Window.partitionBy("_pid")
+    spread = F.greatest(*[F.max(c).over(widest) - F.min(c).over(widest) for c in ("_gx", "_gy")])
+    known = outline.withColumn("_top", F.ceil(F.log2(spread + 1)).cast("int"))
+    up = lambda c: F.expr(f"shiftright({c}, _level)")
+    parted = known.withColumn("_level", F.explode(F.sequence(F.lit(0), "_top"))).select("_pid", "_height", "_level", up("_gx").alias("_gx"), up("_gy").alias("_gy")).distinct()
+    halves = F.array(F.lit(0), F.lit(1))
+    quarters = parted.filter("_level > 0").withColumn("_i", F.explode(halves)).withColumn("_j", F.explode(halves)).select(
+        "_pid", "_height", (F.col("_level") - 1).alias("_level"), (F.col("_gx") * 2 + F.col("_i")).alias("_gx"), (F.col("_gy") * 2 + F.col("_j")).alias("_gy")
     )
-    near = coords.join(polygon_cells(regions, size), ["_gx", "_gy"]).filter(
-        x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
+    keys = ["_pid", "_level", "_gx", "_gy"]
+    clear = quarters.join(parted.select(*keys), keys, "left_anti")
+    centre = lambda c: (F.col(c) + 0.5) * F.pow(F.lit(2.0), "_level") * F.lit(size)
+    inner = _contained(clear.withColumns({"_x": centre("_gx"), "_y": centre("_gy")}), regions, [*keys, "_height"])
+    return outline.select("_pid", F.lit(0).alias("_level"), "_gx", "_gy", "_height", F.lit(True).alias("_outline")).unionByName(
+        inner.select(*keys, "_height", F.lit(False).alias("_outline"))
     )
-    at = near.select("_x", "_y", "_pid", F.floor(y / F.col("_height")).alias("_row"))
-    return at.join(polygon_edges(regions), ["_pid", "_row"])
 
 
-def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
-    """Distinct (lon, lat, _pid) pairs of coordinates and the polygons that contain them."""
+def _contained(places: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of places (``_pid``, ``_height``, ``_x``, ``_y``), one per keys, those that lie inside their polygon or on its outline."""
     x, y = F.col("_x"), F.col("_y")
-    met = edges_met(points, regions, lon, lat, size)
+    met = places.withColumn("_row", F.floor(y / F.col("_height"))).join(polygon_edges(regions).drop("_height"), ["_pid", "_row"])
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
     on_edge = (
@@ -111,11 +136,34 @@ def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: st
         & x.between(F.least(x1, x2), F.greatest(x1, x2))
         & y.between(F.least(y1, y2), F.greatest(y1, y2))
     )
-    counted = met.groupBy("_x", "_y", "_pid").agg(
-        F.count(F.when(crosses, 1)).alias("_crossings"), F.count(F.when(on_edge, 1)).alias("_touches")
+    counted = met.groupBy(*keys).agg(F.count(F.when(crosses, 1)).alias("_crossings"), F.count(F.when(on_edge, 1)).alias("_touches"))
+    return counted.filter((F.col("_crossings") % 2 == 1) | (F.col("_touches") > 0)).drop("_crossings", "_touches")
+
+
+def cells_met(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
+    """Distinct coordinates (``_x``, ``_y``) with the cells of polygons that they lie in."""
+    cells = polygon_cells(regions, size)
+    levels = cells.select(F.collect_set("_level")).scalar()
+    coords = (
+        points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
+        .filter("_x IS NOT NULL AND _y IS NOT NULL")
+        .distinct()
+        .withColumn("_level", F.explode(levels))
+        .withColumns({f"_g{c}": F.expr(f"shiftright({_small(c, size)}, _level)") for c in ("x", "y")})
     )
-    hit = (F.col("_crossings") % 2 == 1) | (F.col("_touches") > 0)
-    return counted.filter(hit).select(F.col("_x").alias(lon), F.col("_y").alias(lat), "_pid")
+    return coords.join(cells, ["_level", "_gx", "_gy"])
+
+
+def _small(c: str, size: float) -> str:
+    return f"floor(_{c} / {size!r}D)"
+
+
+def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
+    """Distinct (lon, lat, _pid) pairs of coordinates and the polygons that contain them."""
+    met = cells_met(points, regions, lon, lat, size)
+    inner = met.filter(~F.col("_outline")).select("_x", "_y", "_pid")
+    tested = _contained(met.filter("_outline").select("_x", "_y", "_pid", "_height"), regions, ["_x", "_y", "_pid"])
+    return inner.unionByName(tested).select(F.col("_x").alias(lon), F.col("_y").alias(lat), "_pid")
 
 
 def locate(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
