@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
-from tidemark.operators import checks, continuous, rain
+from tidemark.operators import checks, continuous, moments, rain, trend
 from tidemark.streaming import jobs, snapshots
 
 D = dt.date
@@ -313,10 +314,49 @@ def test_stream_folds_while_it_runs(spark, feed):
     assert read("folded") == read("plain") and snapshots.manifest(spark, f"{tmp}/folded")["upto"] >= 1
 
 
-def test_refit_touched(spark, rows):
-    daily = spark.createDataFrame([("w", s, D(2020, 1, d), float(d)) for s in "ab" for d in (1, 2)], "waterbody string, station string, date date, val double")
-    out = jobs.refit_touched(daily, daily.filter("station = 'a'"), ("waterbody", "station"))
-    assert rows(out, "station", "trend") == [("a", 1.0), ("a", 2.0)]
+@pytest.mark.parametrize("method", ["complete", "recent", "shortest"])
+def test_moments_equal_the_refit(spark, method):
+    rnd = random.Random(3)
+    keys, day0 = ("waterbody", "station"), D(2001, 1, 17)
+    data = [("w", s, day0 + dt.timedelta(days=rnd.randrange(span)), rnd.gauss(1e6, 3)) for s, n, span in (("a", 900, 5000), ("b", 40, 60), (None, 200, 1500), ("one", 1, 1)) for _ in range(n)]
+    data = [*{r[:3]: r for r in data}.values(), ("w", "flat", D(2002, 2, 2), 5.0), ("w", "gone", D(2001, 5, 5), None), ("w", "gone", D(2001, 5, 6), None)]
+    daily = spark.createDataFrame(data, "waterbody string, station string, date date, val double")
+    other = spark.createDataFrame([("w", "a", D(2003, 3, 9), D(2006, 8, 21)), ("w", "b", D(2020, 1, 1), D(2020, 1, 9))], "waterbody string, station string, lo date, hi date")
+    asked = {"method": method, "years_back": 2, "other_span": other if method == "shortest" else None}
+    table = moments.month_moments(daily, keys)
+    got = moments.with_fits(daily, moments.fits(table, daily, keys, **asked), keys)
+    show = lambda df: {(r.station, r.date): r.trend for r in df.collect()}
+    a, b = show(got), show(trend.with_trend(daily, keys, **asked))
+    assert a.keys() == b.keys() and {k for k in a if a[k] is None} == {k for k in b if b[k] is None}
+    assert sum(v is not None for v in a.values()) > (100 if method != "complete" else 1000)
+    assert all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a if a[k] is not None)
+
+
+def test_refit_reads_moments_and_border_months_only(spark, tmp_path):
+    rnd = random.Random(4)
+    t = dt.datetime(2020, 1, 10)
+    rows = [("w", s, "temp_f", t + dt.timedelta(hours=6 * i), rnd.gauss(70, 4)) for s in "ab" for i in range(4000)]
+    parts = [rows[:2500] + rows[4000:6000], rows[2500:3000] + rows[6000:], rows[3000:4000]]
+    run = lambda stream: jobs.moments_to(stream, f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
+    arrivals(spark, tmp_path, parts, READING, run)
+    frame = spark.createDataFrame(rows, READING)
+    daily = frame.groupBy(*jobs.SERIES, F.to_date("timestamp").alias("date")).agg(F.avg("val").alias("val"))
+    for method in ("complete", "recent"):
+        lines = jobs.refit_touched(spark, f"{tmp_path}/t", frame.filter("station = 'a'"), method=method, years_back=1)
+        assert [r.station for r in lines.collect()] == ["a"]
+        got = {r.date: r.trend for r in moments.with_fits(daily.filter("station = 'a'"), lines, jobs.SERIES).collect()}
+        want = {r.date: r.trend for r in trend.with_trend(daily.filter("station = 'a'"), jobs.SERIES, method, 1).collect()}
+        assert {d for d in got if got[d] is None} == {d for d in want if want[d] is None}
+        assert all(got[d] == pytest.approx(want[d], rel=1e-9) for d in got if got[d] is not None)
+    before = lines.first()
+    # with the daily rows of all months but the first of the range gone, the fit is the same
+    last = max(got)
+    border = f"{last.replace(year=last.year - 1):%Y-%m}"
+    for folder in (tmp_path / "t" / "daily").glob("month=*"):
+        if folder.name != f"month={border}":
+            shutil.rmtree(folder)
+    again = jobs.refit_touched(spark, f"{tmp_path}/t", frame.filter("station = 'a'"), method="recent", years_back=1).first()
+    assert again.n == before.n and again.slope == pytest.approx(before.slope, rel=1e-9) and again.n == sum(v is not None for v in got.values())
 
 
 def test_continuous_batch(spark, rows):

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_on
+from tidemark.session import saved
 
 CELL = 0.05  # degrees
 
@@ -142,7 +143,7 @@ def _contained(places: DataFrame, regions: DataFrame, keys: Sequence[str]) -> Da
 
 def cells_met(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
     """Distinct coordinates (``_x``, ``_y``) with the cells of polygons that they lie in."""
-    cells = polygon_cells(regions, size)
+    cells = saved(polygon_cells(regions, size), "cover")
     levels = cells.select(F.collect_set("_level")).scalar()
     coords = (
         points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))

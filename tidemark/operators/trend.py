@@ -70,6 +70,22 @@ def span(series: DataFrame, keys: Sequence[str], date: str = "date") -> DataFram
     return series.groupBy(*keys).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
 
 
+def fit_range(spans: DataFrame, keys: Sequence[str], method: str, years_back: int = 9, other_span: DataFrame | None = None) -> DataFrame:
+    """Spans (``lo``, ``hi``) with the range that a method fits (``_lo``, ``_hi``): NULL where there is none."""
+    if method == "recent":
+        since = F.add_months("hi", -12 * years_back)
+        return spans.withColumns({"_lo": F.when(since >= F.col("lo"), since), "_hi": F.col("hi")})
+    if method == "shortest" and other_span is not None:
+        o = other_span.select(*keys, F.col("lo").alias("_olo"), F.col("hi").alias("_ohi"))
+        shorter = F.datediff("_ohi", "_olo") < F.datediff("hi", "lo")
+        return join_on(spans, o, keys, "left").withColumns({
+            "_lo": F.when(shorter, F.col("_olo")).otherwise(F.col("lo")), "_hi": F.when(shorter, F.col("_ohi")).otherwise(F.col("hi")),
+        }).drop("_olo", "_ohi")
+    if method in ("complete", "shortest"):
+        return spans.withColumns({"_lo": F.col("lo"), "_hi": F.col("hi")})
+    raise ValueError("method must be 'complete', 'recent' or 'shortest'")
+
+
 def trend_coefficients(rows: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
     """Slope, intercept, mean and count per series: partially aggregated, so a series may be any size."""
     return rows.groupBy(*keys).agg(
@@ -96,25 +112,14 @@ def with_row_trend(
     saved and joined back, so no series is gathered in one task and readings
     are shuffled only if there are too many series to broadcast.
     """
-    if method == "recent":
-        since = F.add_months("hi", -12 * years_back)
-        fit_range = span(rows, keys, date).select(*keys, F.when(since >= F.col("lo"), since).alias("_lo"), F.col("hi").alias("_hi"))
-    elif method == "shortest" and other_span is not None:
-        o = other_span.select(*keys, F.col("lo").alias("_olo"), F.col("hi").alias("_ohi"))
-        shorter = F.datediff("_ohi", "_olo") < F.datediff("hi", "lo")
-        fit_range = join_on(span(rows, keys, date), o, keys, "left").select(
-            *keys,
-            F.when(shorter, F.col("_olo")).otherwise(F.col("lo")).alias("_lo"),
-            F.when(shorter, F.col("_ohi")).otherwise(F.col("hi")).alias("_hi"),
-        )
-    elif method in ("complete", "shortest"):
-        fit_range = None
+    if method in ("complete", "shortest") and (method == "complete" or other_span is None):
+        reach = None
     else:
-        raise ValueError("method must be 'complete', 'recent' or 'shortest'")
-    if fit_range is None:
+        reach = fit_range(span(rows, keys, date), keys, method, years_back, other_span).drop("lo", "hi")
+    if reach is None:
         tagged, inside = rows, F.lit(True)
     else:
-        tagged = join_on(rows, saved(fit_range, "fit-range"), keys, "left")
+        tagged = join_on(rows, saved(reach, "fit-range"), keys, "left")
         inside = F.coalesce(F.col(date).between(F.col("_lo"), F.col("_hi")), F.lit(False))
     tagged = tagged.withColumns({"_x": x, "_in": inside})
     yi, xi = F.when(F.col("_in"), F.col(val)), F.when(F.col("_in"), F.col("_x"))

@@ -416,6 +416,10 @@ def oracle_sql() -> dict[str, str]:
         "waterbody, station",
         _trend(rows, "waterbody, station", f"CASE WHEN {shorter} THEN olo ELSE min(date) OVER w END", f"CASE WHEN {shorter} THEN ohi ELSE max(date) OVER w END"),
     )
+    q["moments_complete"], q["moments_recent"] = q["trend_complete"], q["trend_recent"]
+    near = f"SELECT * FROM ({_area_daily('station', 'temp')}) LEFT JOIN ({other}) USING (waterbody, station)"
+    ends = (f"CASE WHEN {shorter} THEN {o} ELSE {m}(date) OVER w END" for o, m in (("olo", "min"), ("ohi", "max")))
+    q["moments_shortest"] = trend_out("waterbody, station", _trend(near, "waterbody, station", *ends))
     rain_span = f"SELECT waterbody, min(date) AS olo, max(date) AS ohi FROM ({RAIN_REGION}) GROUP BY 1"
     rows = f"SELECT * FROM ({_rows('region', 'temp', 'surf')}) LEFT JOIN ({rain_span}) USING (waterbody)"
     q["trend_shortest_region"] = trend_out(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark import schema as S
 from tidemark.functions import dates, text, values
 from tidemark.functions.labels import parameter_label
-from tidemark.operators import checks, choices, clean, continuous, criteria, filters, joins, periods
+from tidemark.operators import checks, choices, clean, continuous, criteria, filters, joins, moments, periods
 from tidemark.operators import rain, reshape, series, spatial, summary, trend
 from tidemark.plans import build, queries
 from tidemark.plans import workload as w
@@ -252,6 +252,34 @@ def trend_shortest_region(spark, d):
     return out.select("waterbody", "date", "val", "trend")
 
 
+def _moment_trend(spark, d, parameter, by, method, years=9):
+    """A daily series whose trend is read off its monthly moments."""
+    keys = ("WBID",) if by == "region" else ("waterbody", "station")
+    daily = _area_series(spark, d, by, parameter, "none").select(*keys, "date", "val")
+    lines = moments.fits(moments.month_moments(daily, keys), daily, keys, method, years)
+    return moments.with_fits(daily, lines, keys)
+
+
+@query
+def moments_complete(spark, d):
+    return _moment_trend(spark, d, "temp", "region", "complete")
+
+
+@query
+def moments_recent(spark, d):
+    return _moment_trend(spark, d, "temp", "station", "recent", 3)
+
+
+@query
+def moments_shortest(spark, d):
+    """Stations' daily means, fitted inside the shorter of their own range and that of their bottom readings."""
+    keys = ("waterbody", "station")
+    daily = _area_series(spark, d, "station", "temp", "none").select(*keys, "date", "val")
+    other = trend.span(_side(spark, d, "station", "temp_bott", "none"), keys)
+    lines = moments.fits(moments.month_moments(daily, keys), daily, keys, "shortest", other_span=other)
+    return moments.with_fits(daily, lines, keys)
+
+
 @query
 def selected_station(spark, d):
     return queries.selected(_side(spark, d, "station", "temp_surf", "year"), "NATION_15_0")

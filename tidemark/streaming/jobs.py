@@ -22,10 +22,10 @@ from tidemark.functions import dates
 from tidemark.functions.student import t_bounds
 from tidemark.functions.values import present
 from tidemark.operators.criteria import with_criterion
+from tidemark.operators import moments
 from tidemark.operators.rain import monthly_totals
 from tidemark.operators.joins import join_on, with_station_info
 from tidemark.operators.ordered import newest_before, previous_value
-from tidemark.operators.trend import with_trend
 from tidemark.sources import folders
 from tidemark.streaming import snapshots
 
@@ -177,6 +177,20 @@ def sorted_out(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
+def _replace_months(df: DataFrame, path: str) -> None:
+    """Overwrite the months that df holds and no others."""
+    df.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def _parts_of_months(sums: DataFrame, path: str, batch_id: int) -> tuple[DataFrame, list[str]]:
+    """Put a batch's sums under ``path/parts`` by month and batch; the parts of its months from all batches, and the months."""
+    sums = sums.withColumn("batch", F.lit(batch_id).cast("long"))
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{path}/parts")
+    parts = sums.sparkSession.read.schema(sums.schema).parquet(f"{path}/parts")
+    months = [r["month"] for r in parts.filter(F.col("batch") == batch_id).select("month").distinct().collect()]
+    return parts.filter(F.col("month").isin(months)), months
+
+
 def rain_months_to(daily: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Monthly totals per gauge; a batch rewrites the months its days fall into and no others.
 
@@ -185,17 +199,10 @@ def rain_months_to(daily: DataFrame, path: str, checkpoint: str, **trigger) -> S
     replace them under ``path/months``. A repeated batch replaces its parts, so the
     totals stay the same. Days may arrive at any time; there is no state to keep.
     """
-    by_month = {"partitionOverwriteMode": "dynamic"}
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sums = monthly_totals(batch).withColumns({"month": F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")), "batch": F.lit(batch_id).cast("long")})
-        sums.write.mode("overwrite").options(**by_month).partitionBy("month", "batch").parquet(f"{path}/parts")
-        parts = spark.read.schema(sums.schema).parquet(f"{path}/parts")
-        months = [r["month"] for r in parts.filter(F.col("batch") == batch_id).select("month").distinct().collect()]
+        parts, months = _parts_of_months(monthly_totals(batch).withColumn("month", moments.month_of(F.col("date"))), path, batch_id)
         if months:
-            touched = parts.filter(F.col("month").isin(months)).groupBy("station", "name", "date", "month").agg(F.sum("precip_inches").alias("precip_inches"))
-            touched.repartition("month").write.mode("overwrite").options(**by_month).partitionBy("month").parquet(f"{path}/months")
+            _replace_months(parts.groupBy("station", "name", "date", "month").agg(F.sum("precip_inches").alias("precip_inches")), f"{path}/months")
 
     return _started(daily.writeStream.outputMode("append").foreachBatch(write), checkpoint, trigger)
 
@@ -244,12 +251,35 @@ def step_violations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/violations").drop("batch")
 
 
-def refit_touched(daily: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Trends again for the series that received data: trends are not incremental.
+def moments_to(readings: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = SERIES, **trigger) -> StreamingQuery:
+    """Daily means under ``path/daily`` and their regression moments under ``path/moments``, by month.
 
-    Meant for ``foreachBatch``: ``daily`` is the stored daily table, ``changed``
-    the batch, and only the touched series are read.
+    A batch leaves its sums per series and day under ``path/parts``; the days and
+    moments of the months it falls into are put together from the parts of those
+    months and replace them. A repeated batch replaces its parts.
     """
-    touched = changed.select(*keys).distinct()
-    return with_trend(join_on(daily, touched, keys, "left_semi"), keys)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(*keys, F.to_date("timestamp").alias("date")).agg(F.sum("val").alias("total"), F.count("val").alias("n"))
+        parts, months = _parts_of_months(sums.withColumn("month", moments.month_of(F.col("date"))), path, batch_id)
+        if not months:
+            return
+        days = parts.groupBy(*keys, "date", "month").agg((F.sum("total") / F.sum("n")).alias("val"), F.sum("n").alias("n"))
+        _replace_months(days, f"{path}/daily")
+        kept = batch.sparkSession.read.schema(days.schema).parquet(f"{path}/daily").filter(F.col("month").isin(months))
+        _replace_months(moments.month_moments(kept, keys), f"{path}/moments")
+
+    return _started(readings.writeStream.outputMode("append").foreachBatch(write), checkpoint, trigger)
+
+
+def refit_touched(
+    spark: SparkSession, path: str, changed: DataFrame, keys: Sequence[str] = SERIES, method: str = "complete", years_back: int = 9, other_span: DataFrame | None = None
+) -> DataFrame:
+    """Lines of the series that received data, off the tables that ``moments_to`` keeps.
+
+    Meant for ``foreachBatch``: ``changed`` is the batch. Whole months come from
+    their moments; days are read only of months that the range cuts.
+    """
+    touched = changed.select(*keys).distinct()
+    held = join_on(spark.read.parquet(f"{path}/moments"), touched, keys, "left_semi")
+    return moments.fits(held, spark.read.parquet(f"{path}/daily"), keys, method, years_back, other_span)
