@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, whole_row, with_missing
+from tidemark.llm.common import drop, save, whole_row, with_missing
 from tidemark.llm.components import components
 from tidemark.llm.hashing import U, mix, shingles, signed, texts_of, word_hashes
 from tidemark.llm.superminhash import bands, signatures
@@ -19,20 +19,27 @@ ROWS, BANDS = 6, 54
 DOCS, HELD = 1024, 1 << 19
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 MEMBERS = 512
+#: A sketch is one bit a slot of the signature. Sets at similarity 0.8 differ in more than this share of bits, which is
+#: expected of sets at 0.56, less than once in 10**9.
+APART = 0.22
+SKETCH = [f"k{i}" for i in range(-(-ROWS * BANDS // 64))]
 
 
 def _sign(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), *[(k, pa.int64()) for k in SKETCH]])
 
     def flush(ids, sets):
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # small sets take more steps: let them walk together
         owner = np.repeat(order, [len(sets[i]) for i in order])
         sig = signatures(np.concatenate([sets[i] for i in order]), owner, len(sets), ROWS * BANDS)
         keys = signed(bands(sig, ROWS))
+        bits = np.zeros((len(sets), 64 * len(SKETCH)), np.uint8)
+        bits[:, : sig.shape[1]] = (mix(sig) & U(1)).astype(np.uint8)
+        sketch = np.packbits(bits, axis=1).view(np.int64)
         rows = []
         for i, s in enumerate(sets):
             s1, s2 = (int(np.add.reduce(mix(s ^ U(c)), dtype=U).astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            rows.append((ids[i], len(s), s1, s2, keys[i] if len(s) else []))
+            rows.append((ids[i], len(s), s1, s2, keys[i] if len(s) else [], *sketch[i]))
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
@@ -92,13 +99,54 @@ def _across(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with their verdict on the full sets."""
+    """The pairs that are linked by their full sets."""
     left, right = (sets.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(right, "b").join(left, "a")
     na, nb = F.size("ha"), F.size("hb")
     shared = F.size(F.array_intersect("ha", "hb"))
-    close = F.when(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent, shared * 100 >= (na + nb - shared) * percent)
-    return both.select("a", "b", F.coalesce(close, F.lit(False)).alias("linked"))
+    return both.where(shared * 100 >= (na + nb - shared) * percent).select("a", "b")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes allow the similarity and whose sketches are near."""
+    def named(x: str) -> DataFrame:
+        return sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(k).alias(f"{k}{x}") for k in SKETCH]).hint("merge")
+
+    both = pairs.join(named("b"), "b").join(named("a"), "a")
+    apart = sum((F.bit_count(F.col(f"{k}a").bitwiseXOR(F.col(f"{k}b"))) for k in SKETCH), F.lit(0))
+    return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= int(APART * ROWS * BANDS))).select("a", "b")
+
+
+def _near_others(percent: int):
+    """Members that look like one of another component in one block pair of a bucket, by sizes and sketches."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["id", "side"], kind="stable").drop_duplicates("id")
+        n, comp, side = p.n.to_numpy(), p.comp.to_numpy(), p.side.to_numpy()
+        sketch = p[SKETCH].to_numpy(np.int64).view(np.uint64)
+        hit = np.zeros(len(p), bool)
+        for i in range(len(p)):
+            apart = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1)
+            near = (apart <= int(APART * ROWS * BANDS)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (comp != comp[i])
+            hit[i] = (near & ((side[i] == 2) | (side != side[i]))).any()
+        return pd.DataFrame({"key": p["key"][hit], "id": p["id"][hit], "comp": comp[hit]}).astype("int64")
+
+    return run
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets (key, id, ...) once for every pair of blocks of their bucket (lo, hi) that they belong to."""
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = members.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1)
+    return dealt.withColumns({"lo": F.least("own", "o"), "hi": F.greatest("own", "o"), "side": side}).drop("own", "o", "size")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Saved full sets of the wanted ids. Texts are dealt by id whatever their number, so that the plan is one at every size."""
+    texts = docs.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi")
+    return save(texts.mapInArrow(_sets(shingle), "id long, h array<long>").dropDuplicates(["id"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -111,11 +159,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     1. Documents with equal sets form a class by a 128-bit hash of the set; only
        each class's smallest doc_id goes on.
-    2. Buckets of equal bands name their smallest member leader; every member is
-       verified against its leaders on the full sets, and links are united.
-    3. Buckets that then hold several components are compared exactly, block by
-       block, between members of different components; no bucket is capped, no
-       pair inside a component is needed, and only links that unite leave a task.
+    2. Buckets of equal bands name their smallest member leader; every member that
+       sizes and sketches don't rule out is verified against its leaders on the full
+       sets, and links are united.
+    3. Buckets that then hold several components are looked through by sketches,
+       block by block, for members that may have a link to another component; these
+       are compared on their full sets. No bucket is capped, no pair inside a
+       component is needed, and only links that unite leave a task.
 
     Defined results: null or blank texts have an empty set and link with nothing;
     fewer words than the shingle's length are one shingle; rows that repeat a
@@ -123,41 +173,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     component and are kept; other columns are ignored.
     """
     docs = with_missing(docs, doc_id="long", text="string")
-    signed_docs = save(docs.mapInArrow(_sign(shingle), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "signatures")
+    sketch = ", ".join(f"{k} long" for k in SKETCH)
+    signed_docs = save(docs.mapInArrow(_sign(shingle), f"doc_id long, n long, s1 long, s2 long, bands array<long>, {sketch}"), "signatures")
     some = signed_docs.where("n > 0 and doc_id is not null")
     classes = save(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
+    first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n").hint("merge")
+    reps = some.join(first, ["doc_id", "s1", "s2", "n"], "left_semi")
+    sketches = reps.select(F.col("doc_id").alias("id"), "n", *SKETCH)
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # one bucket of all those that hold the same members: bands of copies agree again and again
     whose = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count("*").alias("size"), *whose).where("leader <> other")
     shared = shared.groupBy("leader", "other", "size", "m0", "m1").agg(F.min("key").alias("key"))
-    members = save(keyed.join(shared.select("key", "leader", "size"), "key"), "buckets")
+    members = save(keyed.join(shared.select("key", "leader", "size").hint("merge"), "key"), "buckets")
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = members.select("id").distinct()
-    sets = save(
-        docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, h array<long>").dropDuplicates(["id"]),
-        "sets",
-    )
-    done = save(_verified(pairs, sets, percent), "verified")
-    comps = components(done.where("linked").select("a", "b"))
+    likely = save(_likely(pairs, sketches.dropDuplicates(["id"]), percent), "likely")
+    sets = _sets_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle)
+    done = save(_verified(likely, sets, percent), "verified")
+    drop(sets, likely)
+    comps = components(done)
+    # a bucket of two is settled by its leader
     placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = placed.join(mixed, "key").join(sets, "id").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", "id", "comp", "h", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"),
-        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"),
-    )
+    sketched = placed.join(sketches.dropDuplicates(["id"]).hint("merge"), "id")
+    kinds = "key long, id long, comp long"
+    near = save(_in_blocks(sketched, mixed).groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
+    sets = _sets_of(docs, near.select("id").distinct(), shingle)
+    dealt = _in_blocks(near, near.groupBy("key").agg(F.count("*").alias("size"))).join(sets, "id")
     across = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_across(percent), "a long, b long"), "across")
-    comps = components(done.where("linked").select("a", "b").unionByName(across))
-    known = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (
+    drop(members, sets, near, comps)
+    comps = components(done.unionByName(across))
+    known = classes.join(comps.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = (
         signed_docs.select("doc_id", "n", "s1", "s2")
-        .join(known, ["s1", "s2", "n"], "left")
+        .join(known.hint("merge"), ["s1", "s2", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    found = save(out, "groups")
+    drop(signed_docs, classes, done, across, comps)
+    return found
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -165,8 +220,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     Of rows that repeat a kept doc_id one stays; rows without doc_id all stay.
     """
-    found = save(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = near_duplicates(docs, shingle, percent)
+    out = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         return out
     nth = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("nth")
