@@ -53,6 +53,7 @@ def _sets(text, k):
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(spark, docs, texts, k, monkeypatch):
     monkeypatch.setattr(near_dup, "MEMBERS", 8)
+    monkeypatch.setattr(near_dup, "SKETCHED", 16)
     sets = {}
     for i, t in texts:
         sets[i] = _sets(t, k)

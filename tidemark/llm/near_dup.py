@@ -17,8 +17,8 @@ from tidemark.llm.superminhash import bands, signatures
 ROWS, BANDS = 6, 54
 #: Documents and shingles signed together.
 DOCS, HELD = 1024, 1 << 19
-#: Members of a bucket compared in one task; larger buckets are compared block by block.
-MEMBERS = 512
+#: Members of a bucket compared in one task, on full sets and on sketches; larger buckets are compared block by block.
+MEMBERS, SKETCHED = 512, 4096
 #: A sketch is one bit a slot of the signature. Sets at similarity 0.8 differ in more than this share of bits, which is
 #: expected of sets at 0.56, less than once in 10**9.
 APART = 0.22
@@ -125,18 +125,21 @@ def _near_others(percent: int):
         n, comp, side = p.n.to_numpy(), p.comp.to_numpy(), p.side.to_numpy()
         sketch = p[SKETCH].to_numpy(np.int64).view(np.uint64)
         hit = np.zeros(len(p), bool)
-        for i in range(len(p)):
+        kinds, where = np.unique(comp, return_inverse=True)
+        for i in np.flatnonzero(where != np.bincount(where).argmax()):  # one of two different components isn't the commonest
             apart = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1)
-            near = (apart <= int(APART * ROWS * BANDS)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (comp != comp[i])
-            hit[i] = (near & ((side[i] == 2) | (side != side[i]))).any()
+            near = (apart <= int(APART * ROWS * BANDS)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (where != where[i])
+            near &= (side[i] == 2) | (side != side[i])
+            hit |= near
+            hit[i] |= near.any()
         return pd.DataFrame({"key": p["key"][hit], "id": p["id"][hit], "comp": comp[hit]}).astype("int64")
 
     return run
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _in_blocks(members: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
     """Members of buckets (key, id, ...) once for every pair of blocks of their bucket (lo, hi) that they belong to."""
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    blocks = F.ceil(F.col("size") / width).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1)
@@ -197,9 +200,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
     sketched = placed.join(sketches.dropDuplicates(["id"]).hint("merge"), "id")
     kinds = "key long, id long, comp long"
-    near = save(_in_blocks(sketched, mixed).groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
+    near = save(_in_blocks(sketched, mixed, SKETCHED).groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
     sets = _sets_of(docs, near.select("id").distinct(), shingle)
-    dealt = _in_blocks(near, near.groupBy("key").agg(F.count("*").alias("size"))).join(sets, "id")
+    dealt = _in_blocks(near, near.groupBy("key").agg(F.count("*").alias("size")), MEMBERS).join(sets, "id")
     across = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_across(percent), "a long, b long"), "across")
     drop(members, sets, near, comps)
     comps = components(done.unionByName(across))
