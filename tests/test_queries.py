@@ -84,3 +84,25 @@ def test_shortest_trend_between_two_areas(spark, rows):
         a.withColumn("lovl", a.val), b, crit, "station", "shortest", pairs=queries.area_pairs(spark, [("A_1", "B_2")])
     )
     assert rows(daily, "date", "trend") == got
+
+
+def test_series_come_in_date_order(spark):
+    """All rows of the result, not of a partition: areas one after the other, each by date."""
+    days = [D(2020, 1, 1) + dt.timedelta(days=(i * 37) % 90) for i in range(300)]
+    rows = [("physical", "c", f"w{i % 3}", str(i % 5), d, "temp", "surf", "f", float(i), None) for i, d in enumerate(days)]
+    samples = spark.createDataFrame(
+        rows, "type string, county string, waterbody string, station string, date date, parameter string, location string, units string, val double, notes string"
+    ).repartition(7)
+    areas = [(f"w{i % 3}", str(i % 5), f"R{i % 2}") for i in range(15)]
+    stations = spark.createDataFrame(areas, "waterbody string, station string, WBID string")
+    criteria = spark.createDataFrame([(*a, "temp", 1.0) for a in areas], "waterbody string, station string, WBID string, parameter string, value double")
+    for by, keys in (("station", ("waterbody", "station")), ("region", ("WBID",))):
+        got = [tuple(r[c] for c in (*keys, "date")) for r in queries.area_series(samples, stations, criteria, by, "temp", "surf", show_trend="complete").collect()]
+        assert got == sorted(got) and len(got) > 100
+    side = queries.comparison_side(samples, stations, "station", "temp_surf")
+    got = [(r.waterbody, r.station, r.date) for r in queries.comparison_series(side, side, criteria, "station", "shortest").collect()]
+    assert got == sorted(got) and len(got) == 300
+    wide = spark.createDataFrame([("w", str(i % 4), dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 53) % 400), float(i)) for i in range(400)], "waterbody string, station string, timestamp timestamp, temp_f double").repartition(5)
+    for period, at in (("none", "timestamp"), ("day", "date")):
+        got = [(r.station, r[at]) for r in queries.sensor_series(wide, "temp", period, show_trend=True).collect()]
+        assert got == sorted(got)

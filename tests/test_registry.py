@@ -14,7 +14,6 @@ from tidemark.plans.registry import QUERIES
 pytestmark = pytest.mark.skipif(not Path(SMOKE_DIR).exists(), reason="test tables are not there")
 
 SQL = own_sql()
-ROWS_ONLY = {"synthetic_noisy"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == ROWS_ONLY and set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_points_hold_all_queries():
@@ -35,10 +34,5 @@ def test_same_rows(spark, con, name):
     assert difference(spark, con, SMOKE_DIR, QUERIES[name], SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows(spark, name):
-    assert QUERIES[name](spark, SMOKE_DIR).count() > 0
-
-
 def test_entry(spark):
     assert entry(spark).columns[:2] == ["WBID", "WATERBODY_NAME"] and entry(spark).count() > 0

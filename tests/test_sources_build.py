@@ -2,14 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks, rain
 from tidemark.plans import build
-from tidemark.sources import generated, polygons, rain_payloads, sheets, tables
+from tidemark.sources import polygons, rain_payloads, sheets, tables
 
 D = dt.date
 
@@ -138,22 +137,31 @@ def test_box_plot(spark):
     assert [x["precip_inches"] for x in rain.rain_outliers(df).collect()] == [100.0]
 
 
-def plan(spark, sd):
-    return spark.createDataFrame([("a", D(2024, 1, 1), D(2024, 2, 29), 70.0, 20.0, sd)], "k string, start date, end date, base double, amplitude double, noise_sd double")
-
-
-def test_series_peaks_at_its_hour(spark):
-    s = generated.hourly_series(plan(spark, 0.0), ["k"], noise_sd=False, peak_hour=16)
-    assert s.count() == 60 * 24
-    top = s.groupBy(F.hour("timestamp").alias("h")).agg(F.max("value").alias("v")).orderBy(F.desc("v")).first()
-    assert top["h"] == 16 and math.isclose(top["v"], 90.0)
-
-
-def test_noise_is_repeatable_and_normal(spark):
-    noisy = generated.hourly_series(plan(spark, 3.0), ["k"])
-    again = generated.hourly_series(plan(spark, 3.0), ["k"])
-    assert noisy.exceptAll(again).count() == 0
-    quiet = generated.hourly_series(plan(spark, 0.0), ["k"]).withColumnRenamed("value", "base")
-    assert quiet.agg(F.max("base")).first()[0] <= 90.0
-    gap = noisy.join(quiet, ["k", "timestamp"]).agg(F.stddev(F.col("value") - F.col("base"))).first()[0]
-    assert 2.0 < gap < 8.0  # noise of 3 and a walk of 0.1 a step
+def test_sheets_of_many_files_in_two_orders(spark, tmp_path, rows):
+    a, b = "a,b,c", "c,a,b"
+    for i in range(60):
+        body = f'{i},"x, ""{i}""",\n\n' if i % 2 else f',{i},"x, ""{i}"""\n.,NA,z{i}\n'
+        (tmp_path / f"f{i}.csv").write_text(f"{a if i % 2 else b}\n{body}")
+    df = sheets.read_text_sheet(spark, str(tmp_path), ("a", "c"))
+    assert rows(df, "a", "b", "c") == sorted(
+        [(str(i), f'x, "{i}"', None) for i in range(60)] + [(None, f"z{i}", None) for i in range(0, 60, 2)], key=lambda t: tuple((v is not None, str(v)) for v in t)
+    )
+    plan = lambda d: len(d._jdf.queryExecution().analyzed().toString().splitlines())
+    before = plan(df)
+    for i in range(60, 120):
+        (tmp_path / f"f{i}.csv").write_text(f"{a}\n1,2,3\n")
+    more = sheets.read_text_sheet(spark, str(tmp_path))
+    assert plan(more) == before and more.count() == df.count() + 60
+    (tmp_path / "wide.csv").write_text(f"{a}\n1,2,3,4\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sheets.read_text_sheet(spark, str(tmp_path)).collect()
+    (tmp_path / "wide.csv").write_text("a,b,d\n1,2,3\n")
+    with pytest.raises(ValueError, match="different headings"):
+        sheets.read_text_sheet(spark, str(tmp_path))
+
+
+def test_sheets_need_their_headings(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("County,Water Body,Station Number\nBay,Deer,1\n")
+    for read in (sheets.read_field_sheet, sheets.read_lab_sheet):
+        with pytest.raises(ValueError, match="missing columns"):
+            read(spark, str(tmp_path / "f.csv"))

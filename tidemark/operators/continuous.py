@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, text
+from tidemark.functions import dates, text, values
 from tidemark.functions.student import t_bounds
 from tidemark.operators.filters import valid
 from tidemark.operators.joins import with_station_info
@@ -75,3 +77,24 @@ def continuous_trend(
     rows = valid(between_times(continuous_long(wide, parameter), start, end))
     x = F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(1000.0)
     return with_row_trend(rows, SERIES, x, date="timestamp")
+
+
+def daily_wave(ts: Column, peak_hour: float) -> Column:
+    """A sine of one day that is 1 at ``peak_hour``."""
+    return F.cos((F.hour(ts) - F.lit(float(peak_hour))) * F.lit(math.pi / 12))
+
+
+def daily_cycle(wide: DataFrame, parameter: str, peak_hour: float = 16) -> DataFrame:
+    """The daily cycle of each station: level and amplitude of the wave that fits its readings best, and the spread around it.
+
+    One grouped aggregate of regression sums, combined before the shuffle.
+    """
+    rows = valid(continuous_long(wide, parameter)).withColumn("_wave", daily_wave(F.col("timestamp"), peak_hour))
+    fit = rows.groupBy(*SERIES).agg(
+        F.count("val").alias("n"),
+        F.regr_intercept("val", "_wave").alias("level"),
+        F.regr_slope("val", "_wave").alias("amplitude"),
+        (F.regr_syy("val", "_wave") - F.regr_sxy("val", "_wave") * F.regr_slope("val", "_wave")).alias("_left"),
+    )
+    left = values.clamp_zero(F.col("_left"))
+    return fit.withColumn("spread", F.when(F.col("n") > 2, F.sqrt(left / (F.col("n") - 2)))).drop("_left")

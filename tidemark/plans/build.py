@@ -46,12 +46,13 @@ def build_criteria(wide: DataFrame) -> DataFrame:
     return reshape.criteria_long(clean.clean_criteria(wide)).select(*[f.name for f in S.CRITERIA.fields])
 
 
-def build_all(spark: SparkSession, sources: dict[str, str], folder: str) -> dict[str, str]:
+def build_all(spark: SparkSession, sources: dict[str, str], folder: str, lines: bool = False) -> dict[str, str]:
     """Read every source, write every table and return the paths.
 
     ``sources`` names the paths ``field``, ``lab``, ``exclusions``,
     ``stations``, ``polygons``, ``rain`` and ``criteria``. Later tables read
-    earlier ones back from storage, so nothing is computed twice.
+    earlier ones back from storage, so nothing is computed twice. With ``lines``
+    polygons and rain payloads are one a line, otherwise one a file.
     """
     paths = {}
 
@@ -59,8 +60,8 @@ def build_all(spark: SparkSession, sources: dict[str, str], folder: str) -> dict
         paths[name] = tables.save_table(df, folder, name)
         return tables.load_table(spark, folder, name)
 
-    everywhere = polygons.read_geojson(spark, sources["polygons"])
-    save("rain", build_rain(rain_payloads.read_rain_payloads(spark, sources["rain"])))
+    everywhere = polygons.read_geojson(spark, sources["polygons"], lines=lines)
+    save("rain", build_rain(rain_payloads.read_rain_payloads(spark, sources["rain"], multi_line=not lines)))
     gauge_points = spark.createDataFrame(
         [(lon, lat) for _, lat, lon in S.RAIN_STATION_COORDS], "lon double, lat double"
     )

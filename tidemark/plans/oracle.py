@@ -312,6 +312,51 @@ def _box(daily: str) -> str:
       quantile_cont(precip_inches, 0.75) AS q3 FROM ({daily}) WHERE precip_inches > 0 GROUP BY station"""
 
 
+def _full_samples() -> str:
+    """The tidy build over the whole sheets of the workload."""
+    k = "(l_orderkey + l_linenumber)"
+    cells = []
+    for i, name in enumerate(w.FIELD_COLUMNS.values()):
+        p, loc, u = name.split("_")
+        cells.append(f"""SELECT 'physical' AS type, county, 'Red Fish Creek ' || waterbody AS waterbody, station,
+        CASE WHEN {k} % 31 <> 0 THEN CAST(l_shipdate AS DATE) END AS date, '{p}' AS parameter, '{loc}' AS location, '{u}' AS units, l_quantity + {i} AS val,
+        CAST(NULL AS VARCHAR) AS notes FROM lineitem JOIN places ON l_suppkey = s_suppkey WHERE ({k} + {i}) % 9 <> 0""")
+    field = " UNION ALL ".join(cells).replace("county, 'Red", "CASE county WHEN 'okaloosa' THEN 'Okaloosa' ELSE county END AS county, 'Red")
+    v = "CAST(value AS VARCHAR)"
+    scrub = lambda c: _number(f"regexp_replace({_tokens(c)}, '{S.LAB_JUNK}', '', 'g')")
+    raw = f"""SELECT county, waterbody, station, CASE WHEN event_id % 31 <> 0 THEN CAST(ts AS DATE) END AS date, event_id AS k, value, {_dirty_number('event_id', v)} AS tp_text,
+      {_dirty_number('(event_id + 1)', 'CAST(value + 1 AS VARCHAR)')} AS chl_text,
+      CASE event_id % 5 WHEN 0 THEN 'Bottom, "soft" (' || {v} || ')' WHEN 1 THEN 'Weeds, "dense"' WHEN 2 THEN 'S' WHEN 3 THEN 'Not Reported' END AS note
+      FROM events JOIN places ON user_id % (SELECT count(*) FROM supplier) = s_suppkey"""
+    lab = f"""SELECT county, waterbody, station, date, {scrub('tp_text')} / 1000 AS tp, value / 1000 AS tn, {scrub('chl_text')} AS chluncorr, value + 2 AS chlcorr, value + 3 AS color,
+      {_depth('CASE WHEN k % 3 = 0 THEN value END', 'note')} AS secchi, CASE WHEN k % 4 = 0 THEN CAST(0.5 AS DOUBLE) ELSE value / 1000 END AS cond,
+      CASE WHEN regexp_matches(note, 'Weeds|Bottom') THEN 'on bottom' END AS notes FROM ({raw})"""
+    long = " UNION ".join(
+        f"""SELECT 'discrete' AS type, county, 'GAP ' || waterbody AS waterbody, station, date, '{p}' AS parameter, 'surf' AS location,
+        '{u}' AS units, {p} AS val, {'notes' if p == 'secchi' else 'CAST(NULL AS VARCHAR) AS notes'} FROM ({lab}) WHERE {p} IS NOT NULL"""
+        for p, u in (("tp", "mgl"), ("tn", "mgl"), ("chluncorr", "ugl"), ("chlcorr", "ugl"), ("secchi", "ft"), ("color", "ptco"), ("cond", "mscm"))
+    )
+    return f"""SELECT type, county, waterbody, parameter, location, units, count(*) AS n, {r6('sum(val)', 'total')}, count(notes) AS n_notes, count(date) AS n_dates,
+      {day('min(date)', 'first')}, {day('max(date)', 'last')} FROM ({field} UNION ALL ({long})) GROUP BY 1, 2, 3, 4, 5, 6"""
+
+
+def _built_tables() -> str:
+    """The saved tables of the workload's whole build."""
+    points = " UNION ALL ".join(f"SELECT '{s}' AS station, '{S.RAIN_STATIONS[s]}' AS name, CAST({lon} AS DOUBLE) AS lon, CAST({lat} AS DOUBLE) AS lat" for s, lat, lon in S.RAIN_STATION_COORDS)
+    crossing = "(y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1"
+    nice = f"replace(replace(replace({_words('nm')}, 'lower', 'Lower'), 'upper', 'Upper'), 'middle', 'Middle')"
+    names = "CASE CAST(substr(station, 2, 1) AS INT) % 3 " + " ".join(f"WHEN {i} THEN '{{{i}}}'" for i in range(3)) + " END"
+    ids = list(S.RAIN_STATIONS)
+    station, name = names.format(*ids), names.format(*[S.RAIN_STATIONS[i] for i in ids])
+    resolved = f"""SELECT waterbody, station, lon, WBID, CASE WHEN listed_id = 'R1' THEN 'P1' ELSE 'P2' END AS orig, WATERBODY_NAME AS nm,
+      count(*) OVER (PARTITION BY waterbody, station) AS n FROM located"""
+    in_gauge = f"SELECT g.station, id, count(*) FILTER ({crossing}) AS c FROM ({points}) g, edges GROUP BY g.station, id HAVING c % 2 = 1"
+    return f"""SELECT 'stations' AS tab, waterbody || '_' || station AS a, WBID AS b, CASE WHEN nm IS NOT NULL THEN {nice} END AS c, {r6('lon', 'v')} FROM ({resolved}) WHERE NOT (n > 1 AND WBID <> orig)
+      UNION ALL SELECT 'regions', id, {nice}, NULL, round(min(x1) + 1e-9, 6) + 0.0 FROM edges WHERE id IN (SELECT id FROM hits) GROUP BY id, nm
+      UNION ALL SELECT 'gauges', g.station, g.name, id, round(lon + 1e-9, 6) + 0.0 FROM ({points}) g LEFT JOIN ({in_gauge}) h ON h.station = g.station
+      UNION ALL SELECT 'rain', {station}, {name}, strftime(date, '%Y-%m-%d'), round(sum(precip_inches) + 1e-9, 6) + 0.0 FROM rain_months GROUP BY 1, 2, 3, 4"""
+
+
 def _build_samples() -> str:
     """The tidy build over the raw sheets of the workload, written as SQL."""
     ok, surf = "l_orderkey % 50 <> 0", "l_linestatus = 'O'"
@@ -420,6 +465,19 @@ def oracle_sql() -> dict[str, str]:
     near = f"SELECT * FROM ({_area_daily('station', 'temp')}) LEFT JOIN ({other}) USING (waterbody, station)"
     ends = (f"CASE WHEN {shorter} THEN {o} ELSE {m}(date) OVER w END" for o, m in (("olo", "min"), ("ohi", "max")))
     q["moments_shortest"] = trend_out("waterbody, station", _trend(near, "waterbody, station", *ends))
+    four = "waterbody, station, other_waterbody, other_station"
+    ends = [f"CASE WHEN {shorter} THEN {o} ELSE {m}(date) OVER w END" for o, m in (("olo", "min"), ("ohi", "max"))]
+
+    def paired(pairs: str, spans: str) -> str:
+        rows = f"""SELECT r.waterbody, r.station, other_waterbody, other_station, r.date, r.val, olo, ohi FROM ({_rows('station', 'temp', 'surf')}) r JOIN ({pairs}) USING (waterbody, station)
+          LEFT JOIN ({spans}) s ON s.waterbody = other_waterbody AND s.station = other_station"""
+        return trend_out(four, _trend(rows, four, *ends))
+
+    following = "SELECT a.waterbody, a.station, b.waterbody AS other_waterbody, b.station AS other_station FROM stations a JOIN stations b ON CAST(b.station AS BIGINT) = CAST(a.station AS BIGINT) + 1"
+    q["pair_stations"] = paired(following, other)
+    gauge = "SELECT a.waterbody, a.station, g.name AS other_waterbody, g.station AS other_station FROM stations a JOIN gauges g ON g.station = 'G' || CAST(CAST(a.station AS BIGINT) % 7 AS VARCHAR)"
+    rained = "SELECT name AS waterbody, station, min(date) AS olo, max(date) AS ohi FROM rain_months WHERE date BETWEEN DATE '1994-07-01' AND DATE '1995-12-31' GROUP BY 1, 2"
+    q["pair_station_gauge"] = paired(gauge, rained)
     rain_span = f"SELECT waterbody, min(date) AS olo, max(date) AS ohi FROM ({RAIN_REGION}) GROUP BY 1"
     rows = f"SELECT * FROM ({_rows('region', 'temp', 'surf')}) LEFT JOIN ({rain_span}) USING (waterbody)"
     q["trend_shortest_region"] = trend_out(
@@ -505,6 +563,7 @@ def oracle_sql() -> dict[str, str]:
       WHERE parameter = 'temp' GROUP BY 1""")
     q["build_samples"] = _sql(_build_samples())
     q["sheets_to_samples"] = q["build_samples"]
+    q["full_sheets"], q["built_tables"] = _sql(_full_samples()), _sql(_built_tables())
     q["station_sheet"] = _sql(f"SELECT waterbody, station, name, WBID AS WBIDorig, {r6('lon', 'lon')}, {r6('lat', 'lat')} FROM stations")
     q["criteria_sheet"] = _sql(f"SELECT waterbody, station, WBID, parameter, {r6('value', 'value')} FROM criteria")
     q["criteria_long"] = _sql(f"SELECT waterbody, station, WBID, parameter, {r6('value', 'value')} FROM criteria")
@@ -568,6 +627,11 @@ def oracle_sql() -> dict[str, str]:
       {r6('round(max(m) OVER (), 2)', 'scale_max')}, 'F' AS unit FROM (SELECT waterbody, station, avg(temp_f) AS m FROM readings GROUP BY 1, 2)""")
     daily = "SELECT waterbody, station, CAST(timestamp AS DATE) AS date, avg(temp_f) AS val FROM readings GROUP BY 1, 2, 3"
     q["cont_day_trend"] = trend_out("waterbody, station", _trend(daily, "waterbody, station"))
+    wave = "cos((hour(timestamp) - 16) * pi() / 12)"
+    left = f"greatest(regr_syy(temp_f, {wave}) - regr_sxy(temp_f, {wave}) * regr_slope(temp_f, {wave}), 0)"
+    q["cont_cycle"] = _sql(f"""SELECT waterbody, station, 'temp_f' AS variable, count(temp_f) AS n, {r6(f'regr_intercept(temp_f, {wave})', 'level')},
+      {r6(f'regr_slope(temp_f, {wave})', 'amplitude')}, CASE WHEN count(temp_f) > 2 THEN round(sqrt({left} / (count(temp_f) - 2)) + 1e-9, 6) + 0.0 END AS spread
+      FROM readings WHERE temp_f IS NOT NULL GROUP BY 1, 2""")
     for p in ("day", "week", "month", "quarter", "year"):
         q[f"cont_{p}"] = _cont(p)
     x = "(epoch_us(timestamp) / CAST(1000 AS DOUBLE))"
@@ -587,10 +651,6 @@ def oracle_sql() -> dict[str, str]:
       JOIN ({figures.format(cubed, _box(cubed))}) b ON b.station = d.station WHERE d.precip_inches < wl OR d.precip_inches > wh""")
 
     q["station_grid"] = _sql("SELECT DISTINCT waterbody, station, type FROM stations, (VALUES ('temp_f'), ('sal_ppt')) AS v(type)")
-    plan = """SELECT waterbody, station, type, CAST(station AS BIGINT) % 4 AS more, CASE type WHEN 'temp_f' THEN 70 ELSE 20 END AS base,
-      CASE type WHEN 'temp_f' THEN 20 ELSE 5 END AS amplitude FROM stations, (VALUES ('temp_f'), ('sal_ppt')) AS v(type)"""
-    q["synthetic_series"] = _sql(f"""SELECT waterbody, station, type, {stamp('t', 'timestamp')}, {r6('base + amplitude * sin((hour(t) - 16) * pi() / 12 + pi() / 2)', 'value')} FROM (
-      SELECT *, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-02 23:00:00' + to_days(CAST(more AS INT)), INTERVAL 1 HOUR)) AS t FROM ({plan}))""")
     q["running_totals"] = _sql(f"""SELECT station, {day('date', 'date')}, {r6('inches', 'inches')}, {r6('sum(inches) OVER (PARTITION BY station ORDER BY date)', 'so_far')}
       FROM (SELECT station, date, sum(precip_inches) AS inches FROM rain_daily GROUP BY 1, 2)""")
 

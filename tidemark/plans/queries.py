@@ -35,7 +35,7 @@ def area_series(
     samples: DataFrame, stations: DataFrame, criteria: DataFrame, by: str, parameter: str, location: str,
     start: Day | None = None, end: Day | None = None, show_trend: str = "none", years_back: int = 9,
 ) -> DataFrame:
-    """Daily series per area with the fitted trend and the criterion, where there is just one."""
+    """Daily series per area, in date order, with the fitted trend and the criterion, where there is just one."""
     if by == "region":
         keys = ("WBID",)
         daily = series.region_daily(samples, stations, parameter, location, start, end)
@@ -45,7 +45,7 @@ def area_series(
     if show_trend != "none":
         daily = trend.with_trend(daily, keys, show_trend, years_back)
     tagged = daily.withColumn("parameter", F.lit(parameter))
-    return crit.with_criterion(tagged, criteria, by)
+    return crit.with_criterion(tagged, criteria, by).orderBy(*keys, "date")
 
 
 def area_gauge(
@@ -110,7 +110,7 @@ def comparison_series(
     side: DataFrame, other: DataFrame, criteria: DataFrame, by: str, show_trend: str = "none", years_back: int = 9,
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """A comparison side with its trend and criterion.
+    """A comparison side with its trend and criterion, each area's rows in date order.
 
     ``other`` is the opposite side; the ``shortest`` trend is fitted inside the
     shorter of both ranges, area by area. Without ``pairs`` an area meets the
@@ -137,7 +137,7 @@ def comparison_series(
         else:
             out = trend.with_row_trend(out, keys, days(F.col("date")), show_trend, years_back, spans)
     # an empty side shows no criterion by itself: there are no rows to attach it to
-    return crit.with_criterion(out, criteria, by, ("waterbody",) if by == "region" else area)
+    return crit.with_criterion(out, criteria, by, ("waterbody",) if by == "region" else area).orderBy(*keys, "date")
 
 
 def export_rows(samples: DataFrame, waterbodies, parameters, start: Day, end: Day) -> DataFrame:
@@ -158,10 +158,12 @@ def sensor_series(
     wide: DataFrame, parameter: str, period: str = "none", start: str | None = None, end: str | None = None,
     show_trend: bool = False,
 ) -> DataFrame:
-    """Continuous readings of every station, raw or per period, with an optional trend."""
+    """Continuous readings of every station, raw or per period, in order of time, with an optional trend."""
     if period == "none":
         if show_trend:
-            return cont.continuous_trend(wide, parameter, start, end)
-        return filters.valid(cont.between_times(cont.continuous_long(wide, parameter), start, end))
+            out = cont.continuous_trend(wide, parameter, start, end)
+        else:
+            out = filters.valid(cont.between_times(cont.continuous_long(wide, parameter), start, end))
+        return out.orderBy(*cont.SERIES, "timestamp")
     out = cont.continuous_period(wide, parameter, period, start, end)
-    return trend.with_trend(out, cont.SERIES) if show_trend else out
+    return (trend.with_trend(out, cont.SERIES) if show_trend else out).orderBy(*cont.SERIES, "date")

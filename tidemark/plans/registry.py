@@ -20,7 +20,7 @@ from tidemark.operators import rain, reshape, series, spatial, summary, trend
 from tidemark.plans import build, queries
 from tidemark.plans import workload as w
 from tidemark.session import saved, scratch_dir
-from tidemark.sources import export, generated, polygons, rain_payloads, sheets, tables
+from tidemark.sources import export, polygons, rain_payloads, sheets, tables
 from tidemark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ def compare_station_rain(spark, d):
 
 @query
 def region_daily(spark, d):
-    return series.region_daily(w.samples(spark, d, ["temp"]), w.stations(spark, d), "temp", "surf", START, END).orderBy("date")
+    return series.region_daily(w.samples(spark, d, ["temp"]), w.stations(spark, d), "temp", "surf", START, END).orderBy("WBID", "date")
 
 
 @query
@@ -244,6 +244,37 @@ def trend_shortest(spark, d):
     return out.select("waterbody", "station", "date", "val", "trend")
 
 
+def _pairs(spark, d, other):
+    """Each listed station with the area that ``other`` names by waterbody and station."""
+    st = w.stations(spark, d).select("waterbody", "station")
+    return other(st).select(*queries.PAIR)
+
+
+@query
+def pair_stations(spark, d):
+    """Two chosen stations: each with the one of the next number, fitted inside the shorter of both ranges."""
+    def following(st):
+        nxt = st.select(F.col("waterbody").alias("other_waterbody"), F.col("station").alias("other_station"))
+        return st.join(nxt, F.col("station").cast("long") + 1 == F.col("other_station").cast("long"))
+
+    sides = [_side(spark, d, "station", c, "none") for c in ("temp_surf", "temp_bott")]
+    out = queries.comparison_series(*sides, w.criteria(spark, d), "station", "shortest", pairs=_pairs(spark, d, following))
+    return out.select(*queries.PAIR, "date", "val", "trend")
+
+
+@query
+def pair_station_gauge(spark, d):
+    """A station and a gauge, the station's readings of one and a half years against the rain of a gauge."""
+    def gauge(st):
+        named = w.gauges(spark, d).select(F.col("name").alias("other_waterbody"), F.col("station").alias("other_station"))
+        return st.join(named, F.concat(F.lit("G"), (F.col("station").cast("long") % 7).cast("string")) == F.col("other_station"))
+
+    side = _side(spark, d, "station", "temp_surf", "none")
+    rained = _side(spark, d, "station", "rain", "none", "1994-07-01", "1995-12-31")
+    out = queries.comparison_series(side, rained, w.criteria(spark, d), "station", "shortest", pairs=_pairs(spark, d, gauge))
+    return out.select(*queries.PAIR, "date", "val", "trend")
+
+
 @query
 def trend_shortest_region(spark, d):
     side = _side(spark, d, "region", "temp_surf", "none")
@@ -554,6 +585,28 @@ def _as_sheet(df, spark, name, empty="NA"):
     return path
 
 
+def _as_two_files(df, spark, name, empty="NA"):
+    """A sheet in files of two orders of columns, cells quoted where they hold commas or quotes."""
+    path = scratch_dir(spark, name)
+    half = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns[2:7]]), F.lit(2)) == 0
+    for part, rows, columns in (("a", half, df.columns), ("b", ~half, df.columns[::-1])):
+        df.filter(rows).select(*[F.col(f"`{c}`") for c in columns]).write.options(header=True, nullValue=empty, escape='"').csv(f"{path}/{part}")
+    return f"{path}/*"
+
+
+@query
+def full_sheets(spark, d):
+    """``build_samples`` from whole sheets: every measured column, two orders of headings, remarks with commas, four spellings of dates."""
+    out = build.build_samples(
+        sheets.read_field_sheet(spark, _as_two_files(w.full_field(spark, d), spark, "full-field")),
+        sheets.read_lab_sheet(spark, _as_two_files(w.full_lab(spark, d), spark, "full-lab", ".")),
+    )
+    return out.groupBy("type", "county", "waterbody", "parameter", "location", "units").agg(
+        F.count("*").alias("n"), F.sum("val").alias("total"), F.count("notes").alias("n_notes"), F.count("date").alias("n_dates"),
+        F.min("date").alias("first"), F.max("date").alias("last"),
+    )
+
+
 @query
 def sheets_to_samples(spark, d):
     """``build_samples`` from CSV sheets on storage."""
@@ -688,6 +741,47 @@ def json_rain(spark, d):
     return rain.rain_monthly(daily, {"G1": "first", "G2": "second", "G3": "third", "G4": "fourth"})
 
 
+@query
+def built_tables(spark, d):
+    """Stations, regions, gauges and rain as ``build_all`` saves them from sheets, polygons and payloads."""
+    st = w.stations(spark, d)
+    sheet = st.withColumn("WBIDorig", F.when(F.col("WBID") == "R1", "P1").otherwise("P2"))
+    stations = sheet.select(*[F.col(new).alias(old) for old, new in S.STATION_RENAMES.items()])
+    criteria_wide = w.criteria_wide(spark, d).select(*[F.col(new).alias(old) for old, new in S.CRITERIA_RENAMES.items()])
+    lake = st.filter("WBID IS NULL").select("waterbody", "station")
+    shapes, payloads = scratch_dir(spark, "shapes"), scratch_dir(spark, "payloads")
+    points = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    feature = F.format_string(
+        '{"type":"Feature","properties":%s,"geometry":{"type":"Polygon","coordinates":%s}}', F.to_json(F.struct("WBID", "WATERBODY_NAME")), F.to_json(points)
+    )
+    w.polygons(spark).select(feature).write.text(shapes)
+    row = F.struct(
+        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit("PRCP").alias("datatype"),
+        F.concat(F.lit("GHCND:"), F.element_at(F.array(*[F.lit(x) for x in S.RAIN_STATIONS]), (F.substring("station", 2, 1).cast("int") % 3 + 1))).alias("station"),
+        F.col("precip_inches").alias("value"),
+    )
+    w.rain_daily(spark, d).select(F.to_json(F.struct(F.array(row).alias("results")))).write.text(payloads)
+    folder = scratch_dir(spark, "built")
+    build.build_all(spark, {
+        "field": _as_sheet(w.raw_field(spark, d), spark, "field"), "lab": _as_sheet(w.raw_lab(spark, d), spark, "lab", "."),
+        "exclusions": _as_sheet(lake, spark, "gone"), "stations": _as_sheet(stations, spark, "stations"), "polygons": shapes, "rain": payloads,
+        "criteria": _as_sheet(criteria_wide, spark, "criteria", "."),
+    }, folder, lines=True)
+    t = tables.load_tables(spark, folder, ("stations", "regions", "gauges", "rain"))
+    none = F.lit(None).cast("string")
+    parts = (
+        ("stations", "stations", F.concat_ws("_", "waterbody", "station"), F.col("WBID"), F.col("WATERBODY_NAME"), F.col("lon")),
+        ("regions", "regions", F.col("WBID"), F.col("WATERBODY_NAME"), none, F.col("xmin")),
+        ("gauges", "gauges", F.col("station"), F.col("name"), F.col("WBID"), F.col("lon")),
+        ("rain", "rain", F.col("station"), F.col("name"), F.date_format("date", "yyyy-MM-dd"), F.col("precip_inches")),
+    )
+    out = None
+    for table, name, a, b, c, v in parts:
+        rows = t[table].select(F.lit(name).alias("tab"), a.alias("a"), b.alias("b"), c.alias("c"), v.cast("double").alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- data quality ----------------------------------------------------------------------------------
 
 
@@ -844,6 +938,12 @@ def cont_day_trend(spark, d):
     return out.select("waterbody", "station", "date", "val", "trend")
 
 
+@query
+def cont_cycle(spark, d):
+    """The daily cycle of each sensor, its wave highest at four in the afternoon."""
+    return continuous.daily_cycle(w.readings(spark, d), "temp")
+
+
 def _cont(spark, d, period):
     return continuous.continuous_period(w.readings(spark, d), "temp", period)
 
@@ -890,19 +990,7 @@ def rain_outliers(spark, d):
     return rain.rain_outliers(spread)
 
 
-# --- generated series ------------------------------------------------------------------------------
-
-
-def _series_plan(spark, d):
-    grid = joins.station_grid(w.stations(spark, d), ("temp_f", "sal_ppt"))
-    key = F.col("station").cast("long")
-    return grid.withColumns({
-        "start": F.to_date(F.lit("2024-01-01")),
-        "end": F.date_add(F.to_date(F.lit("2024-01-02")), (key % 4).cast("int")),
-        "base": F.when(F.col("type") == "temp_f", 70.0).otherwise(20.0),
-        "amplitude": F.when(F.col("type") == "temp_f", 20.0).otherwise(5.0),
-        "noise_sd": F.lit(3.0),
-    })
+# --- grids and running figures ---------------------------------------------------------------------
 
 
 @query
@@ -910,18 +998,6 @@ def station_grid(spark, d):
     return joins.station_grid(w.stations(spark, d), ("temp_f", "sal_ppt"))
 
 
-@query
-def synthetic_series(spark, d):
-    return generated.hourly_series(_series_plan(spark, d), ["waterbody", "station", "type"], noise_sd=False)
-
-
-@query
-def synthetic_noisy(spark, d):
-    noisy = generated.hourly_series(_series_plan(spark, d), ["waterbody", "station", "type"])
-    wide = reshape.to_wide(noisy, ["waterbody", "station", "timestamp"], "type", "value", ["temp_f", "sal_ppt"])
-    return wide.withColumn("sal_ppt", values.clamp_zero(F.col("sal_ppt")))
-
-
 @query
 def running_totals(spark, d):
     """Cumulative rain per gauge over its days."""

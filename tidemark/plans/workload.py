@@ -278,6 +278,56 @@ def raw_lab(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Headings of all measured columns of the field sheet: parameter, location and units after cleaning.
+FIELD_COLUMNS = {
+    "Temperature Surface (F)": "temp_surf_f", "Temperature Bottom (F)": "temp_bott_f",
+    "Dissolved Oxygen (%) Surface (% Sat)": "dosat_surf_psat", "Dissolved Oxygen (%) Bottom (% Sat)": "dosat_bott_psat",
+    "Dissolved Oxygen Surface (mg/L)": "do_surf_mgl", "Dissolved Oxygen Bottom (mg/L)": "do_bott_mgl",
+    "Specific Conductivity (mS/cm) Surface": "cond_surf_mscm", "Specific Conductivity (mS/cm) Bottom": "cond_bott_mscm",
+    "Salinity Surface (ppt)": "sal_surf_ppt", "Salinity Bottom (ppt)": "sal_bott_ppt", "pH Surface": "ph_surf_su", "pH Bottom": "ph_bott_su",
+    "Turbidity Surface (NTU)": "turb_surf_ntu", "Turbidity Bottom (NTU)": "turb_bott_ntu", "Depth Surface (ft)": "depth_surf_ft", "Depth Bottom (ft)": "depth_bott_ft",
+}
+
+
+def _mixed_date(k, at):
+    """A date in one of four spellings."""
+    spelled = ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d")
+    out = F.date_format(at, "MMMM d, yyyy")
+    for i, pattern in enumerate(spelled):
+        out = F.when(k % 4 == i, F.date_format(at, pattern)).otherwise(out)
+    return out
+
+
+def full_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as the whole field sheet: all 16 measured columns, dates in four spellings, some missing."""
+    line = table(spark, folder, "lineitem").join(_keys(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    cells = [F.when((k + i) % 9 != 0, (F.col("l_quantity") + i).cast("string")).alias(h) for i, h in enumerate(FIELD_COLUMNS)]
+    return line.select(
+        F.col("county").alias("County"), F.concat(F.lit("Redfish creek "), F.col("waterbody")).alias("Water Body"),
+        F.col("station").alias("Station Number"), F.when(k % 31 != 0, _mixed_date(k, F.col("l_shipdate"))).alias("Date (Month/Day/Year)"),
+        F.month("l_shipdate").cast("string").alias("Month"), F.dayofmonth("l_shipdate").cast("string").alias("Day"),
+        F.year("l_shipdate").cast("string").alias("Year"), F.lit("1200").alias("Time (24hr)"), *cells,
+    )
+
+
+def full_lab(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the whole laboratory sheet: all 8 measured columns, remarks with commas and quotes, dates in four spellings."""
+    k, v = F.col("event_id"), F.col("value").cast("string")
+    note = (
+        F.when(k % 5 == 0, F.concat(F.lit('Bottom, "soft" ('), v, F.lit(")")))
+        .when(k % 5 == 1, 'Weeds, "dense"').when(k % 5 == 2, "S").when(k % 5 == 3, "Not Reported")
+    )
+    return _events(spark, folder).select(
+        F.col("county").alias("County"), F.concat(F.lit("GAP "), F.col("waterbody")).alias("Lake"), F.when(k % 31 != 0, _mixed_date(k, F.col("ts"))).alias("Date"),
+        F.month("ts").cast("string").alias("Month"), F.dayofmonth("ts").cast("string").alias("Day"), F.year("ts").cast("string").alias("Year"),
+        F.col("station").alias("Station"), dirty_number(k, v).alias("TP (µg/L)"), v.alias("TN (µg/L)"),
+        dirty_number(k + 1, (F.col("value") + 1).cast("string")).alias("CHL (µg/L) uncorrected"), (F.col("value") + 2).cast("string").alias("CHL (µg/L) corrected"),
+        F.when(k % 3 == 0, v).alias("Secchi (ft)"), note.alias("Secchi 2"), (F.col("value") + 3).cast("string").alias("Color (Pt-Co units)"),
+        v.alias("Cond (µS/cm)"), F.when(k % 4 == 0, "0.5").alias("Cond (mS/cm)"), F.lit(None).cast("string").alias("1"),
+    )
+
+
 def dirty_number(k, v):
     """Numeric text with the sheets' junk spread over it."""
     r = k % 7

@@ -49,6 +49,8 @@ TABLES = {
 NULL_TOKENS = ("NA", "", ".")
 
 FIELD_IDS = ("county", "waterbody", "station", "date")
+FIELD_HEADINGS = ("County", "Water Body", "Station Number", "Date (Month/Day/Year)")
+LAB_HEADINGS = ("County", "Lake", "Date", "Station", "Secchi (ft)", "Secchi 2", "TP (µg/L)", "TN (µg/L)", "Cond (µS/cm)", "Cond (mS/cm)")
 
 FIELD_RENAMES = {
     "water_body": "waterbody",

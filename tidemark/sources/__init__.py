@@ -1 +1 @@
-"""Readers and writers: sheets, polygons, rain payloads, saved tables, exports, generated series."""
+"""Readers and writers: sheets, polygons, rain payloads, saved tables and exports."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions.values import null_tokens, to_number
+from tidemark.session import saved
+
+#: How cells are written: quotes inside a cell are doubled, a row of another width fails.
+CSV = {"escape": '"', "mode": "FAILFAST"}
 
 
 def read_text_sheet(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -20,11 +25,9 @@ def read_text_sheet(spark: SparkSession, path: str, columns: Iterable[str] | Non
     The files of a folder are put together by heading, whatever their order;
     files with different headings fail.
     """
-    reader = spark.read.options(header=True, inferSchema=False, escape='"', mode="FAILFAST")
-    df = reader.csv(path)
-    files = sorted(df.inputFiles())
-    if len(files) > 1:
-        df = reduce(lambda a, b: a.unionByName(b), [reader.csv(f) for f in files])
+    df = spark.read.options(header=True, inferSchema=False, **CSV).csv(path)
+    if len(df.inputFiles()) > 1:
+        df = _many_files(spark, path)
     missing = sorted(set(columns or ()) - set(df.columns))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
@@ -33,14 +36,44 @@ def read_text_sheet(spark: SparkSession, path: str, columns: Iterable[str] | Non
     return raw.select(*[null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(df.columns)])
 
 
+def _many_files(spark: SparkSession, path: str) -> DataFrame:
+    """All files in one scan of lines, each line met with the heading of its file.
+
+    The heading is the first line of a file's first block. The plan holds a cell
+    per column and order of headings, however many files there are.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
+    lines = read.filter("trim(value) <> ''")
+    tops = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "nth").alias("heading"))
+    headings = saved(tops, "headings")
+    orders = {r["heading"]: next(csv.reader([r["heading"]])) for r in headings.select("heading").distinct().collect()}
+    names = max(orders.values())
+    for found in orders.values():
+        if sorted(found) != sorted(names):
+            raise ValueError(f"{path}: files with different headings {sorted(set(found) ^ set(names))}")
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {**CSV})
+    rows = lines.join(headings, "file").filter("value <> heading").select("heading", cells.alias("cells"))
+    at = {h: {n: i for i, n in enumerate(found)} for h, found in orders.items()}
+
+    def cell(name: str) -> Column:
+        by_order = defaultdict(list)
+        for h, places in at.items():
+            by_order[places[name]].append(h)
+        if len(by_order) == 1:
+            return F.col(f"cells.c{at[h][name]}")
+        return F.coalesce(*[F.when(F.col("heading").isin(held), F.col(f"cells.c{i}")) for i, held in by_order.items()])
+
+    return rows.select(*[cell(n).alias(f"c{i}") for i, n in enumerate(names)]).toDF(*names)
+
+
 def read_field_sheet(spark: SparkSession, path: str) -> DataFrame:
     """The wide sheet of field readings."""
-    return read_text_sheet(spark, path)
+    return read_text_sheet(spark, path, S.FIELD_HEADINGS)
 
 
 def read_lab_sheet(spark: SparkSession, path: str) -> DataFrame:
     """The wide sheet of laboratory results; numbers may carry remarks."""
-    return read_text_sheet(spark, path)
+    return read_text_sheet(spark, path, S.LAB_HEADINGS)
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
