@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import checks, rain
 from tidemark.plans import build
-from tidemark.sources import polygons, rain_payloads, sheets, tables
+from tidemark.sources import polygons, rain_payloads, sheets, tables, versions
 
 D = dt.date
 
@@ -165,3 +165,38 @@ def test_sheets_need_their_headings(spark, tmp_path):
     for read in (sheets.read_field_sheet, sheets.read_lab_sheet):
         with pytest.raises(ValueError, match="missing columns"):
             read(spark, str(tmp_path / "f.csv"))
+
+
+def test_a_failed_build_leaves_the_version_before(spark, sources, tmp_path, rows):
+    folder, names = str(tmp_path / "model"), ("samples", "stations", "rain")
+    show = lambda t: {n: rows(t[n]) for n in names}
+    with pytest.raises(FileNotFoundError):
+        versions.current(spark, folder)
+    build.build_version(spark, sources, folder)
+    first = versions.current(spark, folder)
+    reader = tables.load_tables(spark, first, names)
+    before = show(reader)
+    with pytest.raises(Exception, match="(?i)station"):  # tables before the station list are written by then
+        build.build_version(spark, {**sources, "stations": sources["lab"]}, folder)
+    assert versions.current(spark, folder) == first and show(tables.load_tables(spark, versions.current(spark, folder), names)) == before
+    with open(sources["exclusions"], "a") as f:
+        f.write("Deer,2\n")
+    build.build_version(spark, sources, folder)
+    second = versions.current(spark, folder)
+    after = show(tables.load_tables(spark, second, names))
+    assert second != first and after["rain"] == before["rain"] and len(after["samples"]) < len(before["samples"])
+    assert show(reader) == before  # a reader across a rebuild stays with its version
+    build.build_version(spark, sources, folder)
+    assert sorted(p.name for p in (tmp_path / "model" / "versions").iterdir()) == [second.rsplit("/", 1)[1], versions.current(spark, folder).rsplit("/", 1)[1]]
+
+
+def test_checks_of_rows_ride_on_the_build(spark, sources, tmp_path):
+    found = {}
+    build.build_all(spark, sources, str(tmp_path / "tables"), found=found)
+    t = tables.load_tables(spark, str(tmp_path / "tables"), ("samples", "rain"))
+    bad = {"sample dates": checks.sample_dates_outside(t["samples"]).agg(F.sum("n")).first()[0] or 0, "sample locations": 0,
+           "rain values": checks.negative_rain(t["rain"]).count(), "rain dates": checks.rain_dates_outside(t["rain"]).agg(F.sum("n")).first()[0] or 0}
+    assert found == bad
+    rows = spark.createDataFrame([(D(1980, 1, 1), "surf", 1.0), (None, "deep", 2.0), (D(2020, 1, 1), None, -1.0), (D(2020, 1, 1), "bott", float("nan"))], "date date, location string, precip_inches double")
+    got = rows.agg(*[c.alias(n) for m in checks.row_metrics().values() for n, c in m.items()]).first().asDict()
+    assert got == {"sample dates": 2, "sample locations": 2, "rain values": 2, "rain dates": 2}

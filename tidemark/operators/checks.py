@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
+from tidemark.functions.labels import parameter_label
 from tidemark.functions.text import build_key
+from tidemark.functions.values import present
 from tidemark.operators.filters import Day
 from tidemark.operators.joins import join_on
 from tidemark.operators.ordered import previous_value
@@ -71,12 +73,36 @@ def waterbody_mismatch(samples: DataFrame, expected: Sequence[str] = S.WATERBODI
     return set_mismatch(samples.filter("waterbody IS NOT NULL"), "waterbody", expected)
 
 
-def dates_outside(df: DataFrame, first: Day, last: Day | None = None) -> DataFrame:
-    """Dates (with their number of rows) before ``first`` or after ``last`` (default today); a missing date is one too."""
+def _outside(first: Day, last: Day | None = None) -> Column:
     d = F.col("date")
     end = F.current_date() if last is None else F.lit(str(last)).cast("date")
-    bad = df.filter(d.isNull() | (d < F.lit(str(first)).cast("date")) | (d > end))
-    return bad.groupBy("date").agg(F.count("*").alias("n"))
+    return d.isNull() | (d < F.lit(str(first)).cast("date")) | (d > end)
+
+
+def _bad_rain() -> Column:
+    v = F.col("precip_inches")
+    return v.isNull() | F.isnan(v) | (v < 0)
+
+
+def _bad_location() -> Column:
+    loc = F.col("location")
+    return loc.isNull() | ~loc.isin(*[c for c, _ in S.LOCATIONS])
+
+
+def row_metrics(first_sample: Day = S.FIRST_SAMPLE_DATE, first_rain: Day = S.FIRST_RAIN_DATE, last: Day | None = None) -> dict[str, dict[str, Column]]:
+    """Per table the checks that look at one row at a time, as counts of bad rows: metrics for ``observe`` while the table is written."""
+    def count(bad: Column) -> Column:
+        return F.count(F.when(bad, 1))
+
+    return {
+        "samples": {"sample dates": count(_outside(first_sample, last)), "sample locations": count(_bad_location())},
+        "rain": {"rain values": count(_bad_rain()), "rain dates": count(_outside(first_rain, last))},
+    }
+
+
+def dates_outside(df: DataFrame, first: Day, last: Day | None = None) -> DataFrame:
+    """Dates (with their number of rows) before ``first`` or after ``last`` (default today); a missing date is one too."""
+    return df.filter(_outside(first, last)).groupBy("date").agg(F.count("*").alias("n"))
 
 
 def sample_dates_outside(samples: DataFrame, first: Day = S.FIRST_SAMPLE_DATE, last: Day | None = None) -> DataFrame:
@@ -105,8 +131,7 @@ def parameters_without_entry(samples: DataFrame, catalogue: DataFrame) -> DataFr
 
 def negative_rain(rain: DataFrame) -> DataFrame:
     """Rain below zero or missing; zero is fine."""
-    v = F.col("precip_inches")
-    return rain.filter(v.isNull() | F.isnan(v) | (v < 0))
+    return rain.filter(_bad_rain())
 
 
 def unknown_gauges(rain: DataFrame, gauges: DataFrame) -> DataFrame:
@@ -146,9 +171,7 @@ def station_region_problems(
 
 def bad_locations(samples: DataFrame) -> DataFrame:
     """Locations other than surface and bottom (missing included) with their number of rows."""
-    loc = F.col("location")
-    bad = samples.filter(loc.isNull() | ~loc.isin(*[c for c, _ in S.LOCATIONS]))
-    return bad.groupBy("location").agg(F.count("*").alias("n"))
+    return samples.filter(_bad_location()).groupBy("location").agg(F.count("*").alias("n"))
 
 
 def without_region_share(samples: DataFrame, stations: DataFrame) -> DataFrame:
@@ -161,17 +184,32 @@ def without_region_share(samples: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-def sample_profile(samples: DataFrame) -> DataFrame:
-    """The distinct places, parameters and locations of the readings with their number of rows and dates.
+def sample_profile(samples: DataFrame, first: Day = S.FIRST_SAMPLE_DATE, last: Day | None = None) -> DataFrame:
+    """The distinct places, parameters, units and locations of the readings, with their rows, valid rows and the days outside [first, last].
 
     Every check of distinct values gives the same violations on the profile, which
-    is counted in one pass over the readings and as small as a catalogue.
+    is counted in one pass over the readings and as small as a catalogue; the days
+    are bounded by the calendar.
     """
-    return samples.groupBy("type", "county", *_STATION, "parameter", "location").agg(
-        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    outside = _outside(first, last)
+    return samples.groupBy("type", "county", *_STATION, "parameter", "units", "location").agg(
+        F.count("*").alias("n"),
+        F.count(F.when(present(F.col("val")), 1)).alias("n_valid"),
+        F.collect_set(F.when(outside, F.struct("date"))).alias("days_outside"),
     )
 
 
+def profile_dates_outside(profile: DataFrame) -> DataFrame:
+    """The distinct days of ``sample_dates_outside``, off the profile."""
+    return profile.select(F.explode("days_outside").alias("day")).select("day.date").distinct()
+
+
+def profile_labels(profile: DataFrame) -> DataFrame:
+    """Parameters that have valid readings and a label, off the profile."""
+    label = parameter_label(F.col("parameter"), F.col("units"))
+    return profile.filter((F.col("n_valid") > 0) & label.isNotNull()).select("parameter").distinct()
+
+
 def audit(checks: Mapping[str, DataFrame]) -> DataFrame:
     """One row per check: its name, the number of violations, and whether it passed."""
     out = None

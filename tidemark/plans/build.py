@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions.text import capitalise
-from tidemark.operators import clean, rain, reshape, spatial, summary
-from tidemark.sources import polygons, rain_payloads, sheets, tables
+from tidemark.operators import checks, clean, rain, reshape, spatial, summary
+from tidemark.sources import polygons, rain_payloads, sheets, tables, versions
 
 
 def build_samples(field: DataFrame, lab: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
@@ -46,18 +46,25 @@ def build_criteria(wide: DataFrame) -> DataFrame:
     return reshape.criteria_long(clean.clean_criteria(wide)).select(*[f.name for f in S.CRITERIA.fields])
 
 
-def build_all(spark: SparkSession, sources: dict[str, str], folder: str, lines: bool = False) -> dict[str, str]:
+def build_all(spark: SparkSession, sources: dict[str, str], folder: str, lines: bool = False, found: dict[str, int] | None = None) -> dict[str, str]:
     """Read every source, write every table and return the paths.
 
     ``sources`` names the paths ``field``, ``lab``, ``exclusions``,
     ``stations``, ``polygons``, ``rain`` and ``criteria``. Later tables read
     earlier ones back from storage, so nothing is computed twice. With ``lines``
-    polygons and rain payloads are one a line, otherwise one a file.
+    polygons and rain payloads are one a line, otherwise one a file. Checks that
+    look at one row at a time ride on the pass that writes a table; ``found`` takes
+    their numbers of bad rows.
     """
-    paths = {}
+    paths, metrics = {}, checks.row_metrics()
 
     def save(name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(name)
+        if name in metrics:
+            df = df.observe(seen, *[c.alias(check) for check, c in metrics[name].items()])
         paths[name] = tables.save_table(df, folder, name)
+        if name in metrics and found is not None:
+            found.update(seen.get)
         return tables.load_table(spark, folder, name)
 
     everywhere = polygons.read_geojson(spark, sources["polygons"], lines=lines)
@@ -81,3 +88,8 @@ def build_all(spark: SparkSession, sources: dict[str, str], folder: str, lines:
     save("catalogue", summary.catalogue(samples))
     save("criteria", build_criteria(sheets.read_criteria_sheet(spark, sources["criteria"])))
     return paths
+
+
+def build_version(spark: SparkSession, sources: dict[str, str], folder: str, lines: bool = False, keep: int = 2) -> dict[str, str]:
+    """``build_all`` as a new version of the folder: readers of ``versions.current`` see all its tables or none."""
+    return versions.publish(spark, folder, lambda at: build_all(spark, sources, at, lines), keep)

@@ -893,8 +893,8 @@ def dq_without_region(spark, d):
 def dq_audit(spark, d):
     """All 17 checks; those of distinct values read one saved profile of the samples."""
     s, st, listed, regions = w.samples(spark, d), w.stations(spark, d), _listed(spark, d), w.regions(spark, d)
-    p = saved(checks.sample_profile(s), "sample-profile")
-    labels = summary.catalogue(s).filter("label IS NOT NULL")
+    p = saved(checks.sample_profile(s, "1995-06-01", "2023-12-31"), "sample-profile")
+    labels = checks.profile_labels(p)
     bottom = p.withColumn("location", F.when(F.col("location") == "bott", "bottom").otherwise(F.col("location")))
     return checks.audit({
         "physical stations": checks.unknown_physical_stations(p, listed),
@@ -902,7 +902,7 @@ def dq_audit(spark, d):
         "continuous stations": dq_continuous_stations(spark, d),
         "time steps": dq_time_steps(spark, d),
         "counties": checks.county_mismatch(p, ("C0", "C1", "C2", "C9")),
-        "sample dates": dq_dates(spark, d),
+        "sample dates": checks.profile_dates_outside(p),
         "station box": checks.stations_outside_box(st, w.BOX),
         "station criteria": checks.stations_without_criteria(p, w.criteria(spark, d).filter("parameter = 'chl'")),
         "criteria regions": dq_criteria_regions(spark, d),
