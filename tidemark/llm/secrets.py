@@ -77,7 +77,9 @@ def grammars(docs: DataFrame) -> dict[str, Automaton]:
 
     The whole table is scanned; EXAMPLES distinct strings of each kind, those of
     the smallest hash, reach the driver, and their automata are at most as large
-    as their prefix tree. Kinds without examples have none.
+    as their prefix tree. Of a string its first 256 characters are taken, and an
+    automaton is fitted on the first 64 symbols: these bound the training sample,
+    candidates are scored whole. Kinds without examples have none.
     """
     found = save(with_missing(docs, text="string").mapInArrow(_examples, "kind string, hash long, value string").distinct(), "examples")
     out = {}
@@ -103,6 +105,8 @@ def find(text: str, automata: dict[str, Automaton]) -> tuple[list[tuple[int, int
 def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, base (spans of the base patterns), added (spans that the grammars add, with their margin).
 
+    Candidates for added spans are the strings that hold a digit and a letter; others
+    can't be told from words and numbers by their form.
     Spans are in code points, end exclusive. Null texts are empty; empty texts
     have no spans; repeated rows are scanned each; other columns are ignored.
     """
