@@ -19,9 +19,9 @@ SPACE = "▁"
 #: A space begins a unit; no piece but runs of spaces has one elsewhere, so units are cut independently.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Texts longer than this many characters are giant; characters per chunk; chunks combined in one task.
-GIANT, CHUNK, GROUP = 32_768, 8_192, 32
-#: Chunks that a task looks at together: numpy's cost per step is shared by them.
-TOGETHER = 16
+GIANT, CHUNK, GROUP = 32_768, 2_048, 32
+#: Chunks that a task looks at together: numpy's cost per step is shared by them. Chunks dealt to a task.
+TOGETHER, DEALT = 64, 256
 #: Distinct units kept per Python worker.
 KEPT_UNITS = 300_000
 NEVER = -np.inf
@@ -72,6 +72,34 @@ def _walk(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: list[int],
     return out[::-1], end
 
 
+def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Ids of the path of every row that ends at its end, all rows walked back together."""
+    rows, at = np.arange(len(ends)), ends.astype(np.int64)
+    steps = []
+    while True:
+        n = back[rows, at].astype(np.int64)
+        going = n > 0
+        rows, at = rows[going], (at - n)[going]
+        if not len(rows):
+            break
+        steps.append((rows, at, found[rows, at, n[going] - 1]))
+    if not steps:
+        return [b""] * len(ends)
+    row, begin, piece = (np.concatenate(x) for x in zip(*steps))
+    order = np.lexsort((begin, row))
+    row, begin, piece = row[order], begin[order], piece[order]
+    lone = piece < 0
+    ids = np.where(lone, 0, pieces.ids[np.maximum(piece, 0)]).astype("<u4")
+    if lone.any():  # characters that are no piece, by their bytes
+        spelled = [pieces.byte_ids[list(chr(c).encode())] for c in chars[row[lone], begin[lone]]]
+        width = np.ones(len(row), np.int64)
+        width[lone] = [len(x) for x in spelled]
+        ids, row = np.repeat(ids, width), np.repeat(row, width)
+        ids[np.repeat(lone, width)] = np.concatenate(spelled)
+    raw, cut = ids.tobytes(), 4 * np.searchsorted(row, np.arange(len(ends) + 1))
+    return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 def _ids_of(walk: list[tuple[int, list[int]]]) -> bytes:
     return np.array([i for _, x in walk for i in x], "<u4").tobytes()
 
@@ -107,9 +135,9 @@ class Encoder(dict):
             chars, lengths = matrix([marked[i] for i in at])
             found, s = arcs(self.pieces, chars, self.pieces.scores, None)
             best, back = best_paths(s)
-            for row, i in enumerate(at):
-                walk, _ = _walk(self.pieces, found[row], chars[row], back[row].tolist(), int(lengths[row]))
-                self[new[i]] = _ids_of(walk), float(best[row, lengths[row]])
+            scores = best[np.arange(len(at)), lengths].tolist()
+            for i, ids, score in zip(at.tolist(), _walked(self.pieces, found, chars, back, lengths), scores):
+                self[new[i]] = ids, score
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
         cut = [self.units(t) for t in texts]
@@ -303,7 +331,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     plain = d.where(size <= GIANT).mapInArrow(short, "doc_id long, text string, ids binary, score double")
     giants = save(d.where(size > GIANT).withColumn("doc", F.monotonically_increasing_id()), "giants")
-    chunks = save(_split(giants).repartition("doc", "chunk"), "chunks")
+    # dealt by their number, as a chunk costs the same whatever its bytes
+    held = giants.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = _split(giants).repartition(held // (CHUNK * DEALT) + 1, "doc", "chunk")
     matrices = save(chunks.mapInArrow(_transfer(path), "doc long, chunk long, m binary"), "matrices")
     before = _prefixes(matrices)
     traced = save(chunks.join(before, ["doc", "chunk"]).mapInArrow(_trace(path), _TRACE), "traces")
