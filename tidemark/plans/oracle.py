@@ -62,6 +62,8 @@ VIEWS = {
       CAST(o_orderdate AS DATE) AS date, o_totalprice / CAST(100000 AS DOUBLE) AS precip_inches FROM orders""",
     "rain_months": """SELECT station, name, CAST(date_trunc('month', date) AS DATE) AS date, sum(precip_inches) AS precip_inches
     FROM rain_daily GROUP BY ALL""",
+    "rain_gaps": """SELECT 'G' || substr(o_orderpriority, 1, 1) AS station, o_orderpriority AS name, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
+      CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN CAST('nan' AS DOUBLE) ELSE o_totalprice / CAST(100000 AS DOUBLE) END AS precip_inches FROM orders""",
     "gauge_ids": """SELECT DISTINCT 'G' || substr(o_orderpriority, 1, 1) AS station, o_orderpriority AS name,
       CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) < 5 THEN
         'R' || CAST(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS VARCHAR) END AS WBID FROM orders""",
@@ -646,6 +648,16 @@ def oracle_sql() -> dict[str, str]:
     plain = "SELECT station, date, precip_inches FROM rain_daily"
     q["rain_distribution"] = _sql(f"""SELECT station, n, {r6('q1', 'q25')}, {r6('q2', 'median')}, {r6('q3', 'q75')}, {r6('wl', 'whisker_low')}, {r6('wh', 'whisker_high')},
       outside AS n_outliers FROM ({figures.format(plain, _box(plain))})""")
+    q["rain_gaps_parts"] = _sql(f"""SELECT station, year(date) AS year, month(date) AS month, {r6('coalesce(sum(CASE WHEN NOT isnan(precip_inches) THEN precip_inches END), 0)', 'monthly_total')},
+      {day("date_trunc('month', min(date))", 'date')} FROM rain_gaps GROUP BY 1, 2, 3""")
+    whole = "SELECT station, date, precip_inches FROM rain_gaps WHERE NOT isnan(precip_inches)"
+    q["rain_gaps_distribution"] = _sql(f"""SELECT station, n, {r6('q1', 'q25')}, {r6('q2', 'median')}, {r6('q3', 'q75')}, {r6('wl', 'whisker_low')}, {r6('wh', 'whisker_high')},
+      outside AS n_outliers FROM ({figures.format(whole, _box(whole))})""")
+    q["dq_rain_gaps"] = _sql(f"""SELECT {day('date', 'date')}, count(*) AS n, nullif(count(*) FILTER (precip_inches IS NULL OR isnan(precip_inches) OR precip_inches < 0), 0) AS n_bad FROM rain_gaps
+      WHERE date IS NULL OR date < DATE '1995-03-01' OR date > DATE '2001-05-31' GROUP BY date""")
+    q["dq_missing_dates"] = _sql(f"""SELECT {day('d', 'date')}, count(*) AS n FROM (SELECT CASE WHEN day(date) <> 29 THEN date END AS d FROM samples WHERE parameter = 'temp')
+      WHERE d IS NULL OR d < DATE '1995-06-01' OR d > DATE '1998-01-31' GROUP BY d""")
+    q["dates_spelled"] = _sql(f"SELECT p_partkey AS key, CASE WHEN p_partkey % 14 < {len(w.DATE_SPELLINGS)} THEN strftime(DATE '1999-01-01' + CAST(p_partkey % 20000 AS INT), '%Y-%m-%d') END AS date FROM part")
     cubed = "SELECT station, date, pow(precip_inches, 3) AS precip_inches FROM rain_daily"
     q["rain_outliers"] = _sql(f"""SELECT d.station, {day('d.date', 'date')}, {r6('d.precip_inches', 'precip_inches')} FROM ({cubed}) d
       JOIN ({figures.format(cubed, _box(cubed))}) b ON b.station = d.station WHERE d.precip_inches < wl OR d.precip_inches > wh""")

@@ -140,6 +140,17 @@ def rain_month_parts(spark, d):
     return rain.monthly_by_part(w.rain_daily(spark, d))
 
 
+@query
+def rain_gaps_parts(spark, d):
+    """Monthly totals of rain with missing values and dates."""
+    return rain.monthly_by_part(w.rain_gaps(spark, d))
+
+
+@query
+def rain_gaps_distribution(spark, d):
+    return rain.rain_distribution(w.rain_gaps(spark, d))
+
+
 @query
 def rain_by_choice(spark, d):
     return filters.gauge_or_region(joins.with_gauge(w.rain_monthly(spark, d), w.gauges(spark, d)), "R1")
@@ -858,6 +869,26 @@ def dq_rain_dates(spark, d):
     return checks.rain_dates_outside(w.rain_monthly(spark, d), "1995-03-01", "2001-05-31")
 
 
+@query
+def dq_rain_gaps(spark, d):
+    """Days outside the range with their rows, the missing day among them, and how many values are bad on each."""
+    gaps = w.rain_gaps(spark, d)
+    outside = checks.rain_dates_outside(gaps, "1995-03-01", "2001-05-31")
+    bad = checks.negative_rain(gaps).groupBy("date").agg(F.count("*").alias("n_bad"))
+    return joins.join_on(outside, bad, ["date"], "left")
+
+
+@query
+def dq_missing_dates(spark, d):
+    s = w.samples(spark, d, ["temp"]).withColumn("date", F.when(F.dayofmonth("date") != 29, F.col("date")))
+    return checks.sample_dates_outside(s, "1995-06-01", "1998-01-31")
+
+
+@query
+def dates_spelled(spark, d):
+    return w.spelled_dates(spark, d).select("key", dates.parse_mdy(F.col("day")).alias("date"))
+
+
 @query
 def dq_rain_gauges(spark, d):
     return checks.unknown_gauges(w.rain_monthly(spark, d), w.gauges(spark, d).filter("WBID IS NOT NULL"))

@@ -171,6 +171,32 @@ def rain_daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rain_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily rain with missing values of both kinds and missing dates."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    value = F.when(k % 13 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / F.lit(100000.0))
+    return table(spark, folder, "orders").select(
+        F.concat(F.lit("G"), F.substring(p, 1, 1)).alias("station"), p.alias("name"),
+        F.when(k % 17 != 0, F.to_date("o_orderdate")).alias("date"), F.when(k % 11 != 0, value).alias("precip_inches"),
+    )
+
+
+DATE_SPELLINGS = (
+    "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "M.d.yyyy", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "M/d/yy", "M-d-yy", "M.d.yy",
+)
+
+
+def spelled_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """A day per part, written in every spelling in turn, some in small letters, and some that is no date."""
+    k = F.col("p_partkey")
+    at = F.date_add(F.to_date(F.lit("1999-01-01")), (k % 20000).cast("int"))
+    text = F.lit("soon")
+    for i, pattern in enumerate(DATE_SPELLINGS):
+        written = F.date_format(at, pattern)
+        text = F.when(k % 14 == i, F.when(k % 3 == 0, F.lower(written)).otherwise(written)).otherwise(text)
+    return table(spark, folder, "part").select(k.alias("key"), F.when(k % 14 != 13, text).alias("day"))
+
+
 def rain_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return rain_ops.monthly_totals(rain_daily(spark, folder))
 
