@@ -145,6 +145,20 @@ def test_huge_and_tiny_vectors(spark):
     assert got == {1: (3, 1), 3: (3, 1), 4: (3, 1), 5: (3, 1), 2: (2, 2), 6: (2, 2), 7: (2, 2), 8: (0, 8)}
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    from tidemark.llm import packing
+
+    names = ("_row", "_run", "_nth", "_before", "_rank", "row", "rank", "n", "sequence_id", "offset")
+    rows = spark.createDataFrame([(i, 1 + (i * 7) % 40) for i in range(300)], "k long, length long").withColumns({c: F.col("k") * 2 for c in names})
+    got = packing.pack(rows.repartition(4), 64).collect()
+    assert sorted(r.k for r in got) == list(range(300)) and all(r[c] == 2 * r.k for r in got for c in names[:-2])
+    held = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 64 and len(held) <= -(-sum(r.length for r in got) // 64) + 2
+
+
 def test_pipeline_on_odd_rows(spark):
     """Nulls, empty and repeated rows, and columns that clash with names of the stages' own."""
     import corpus_pipeline

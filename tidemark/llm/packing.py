@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidemark.llm.byte_bpe import ByteBPE
-from tidemark.llm.common import save, with_missing
+from tidemark.llm.common import save, whole_row, with_missing
 
 #: Rows numbered together within one length.
 RUN = 16384
@@ -115,7 +115,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     empty table gives an empty result; input columns sequence_id and offset are
     replaced.
     """
-    rows = save(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    riding = whole_row(pieces.drop("sequence_id", "offset"))
+    rows = save(pieces.select(riding, "length", F.monotonically_increasing_id().alias("_row")), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= n <= size for n in histogram):
         raise ValueError("lengths must be 1 to size")
@@ -127,21 +128,18 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     per_run = rows.groupBy("length", "_run").agg(F.count("*").alias("n"))
     before = per_run.select("length", "_run", (F.sum("n").over(W.partitionBy("length").orderBy("_run")) - F.col("n")).alias("_before"))
     numbered = rows.withColumn("_nth", F.row_number().over(W.partitionBy("length", "_run").orderBy("_row"))).join(before, ["length", "_run"])
-    ranked = numbered.withColumn("_rank", F.col("_before") + F.col("_nth") - 1).drop("_run", "_nth", "_before", "_row")
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = T.StructType([*[f for f in ranked.schema if f.name in columns], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    ranked = ranked.select(*[f"`{f.name}`" for f in schema if f.name in columns], "_rank")
+    ranked = numbered.select("row", "length", (F.col("_before") + F.col("_nth") - 1).alias("rank"))
+    schema = T.StructType([ranked.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
         for b in batches:
-            n, rank = (np.asarray(b.column(c).cast(pa.int64())) for c in ("length", "_rank"))
+            n, rank = (np.asarray(b.column(c).cast(pa.int64())) for c in ("length", "rank"))
             at = np.searchsorted(key, n * (1 << 50) + rank, side="right") - 1
             k = rank - rank_from[at]
             got = [pa.array(first[at] + k // times[at]), pa.array(offset[at] + k % times[at] * n)]
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *got], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *got], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
 
 
 def placements(docs: DataFrame, size: int = 1024) -> DataFrame:

@@ -315,7 +315,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     the scores before it, traces its own part, and the parts that fit are joined.
 
     Null texts are empty and have no ids; repeated rows are encoded each; rows
-    without doc_id stay; other columns are ignored.
+    without doc_id stay; other columns are ignored. A literal mark (U+2581) in a text
+    is encoded like a space, as the vocabulary knows no other, and read back as one.
     """
     path = path or model_file()
     d = with_missing(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
