@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licenses
+from tidemark.llm import licenses, warc
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -88,6 +88,38 @@ SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
 FROM embeddings JOIN (SELECT id, min(root) AS c FROM reach GROUP BY 1) ON id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) ON a = vec_id
 """
 
+_HEADERS = ("content-type", "date", "etag", "expires", "last-modified")
+_OWN = dict(zip(_HEADERS, ("ct", "dt", "et", "ex", "lm")))
+
+
+def _written(pick) -> str:
+    return "concat_ws(';', " + ", ".join(f"'{h}=' || {pick(c)}" for h, c in _OWN.items()) + ")"
+
+
+_REVISITS = f"""
+WITH page AS (SELECT *, '"' || length(coalesce(html, ''))::VARCHAR || '"' AS tag, 'day ' || (page_id % 28)::VARCHAR AS day FROM pages),
+capture AS (SELECT page_id * 2 AS id, url, page_id * 2 AS time, 200 AS status, coalesce(html, '') AS body, 'text/html' AS ct, page_id::VARCHAR AS dt,
+    CASE WHEN page_id % 2 = 1 THEN 'W/' ELSE '' END || tag AS et, NULL AS ex, day AS lm FROM page
+  UNION ALL SELECT page_id * 2 + 1, regexp_replace(url, '^http://', 'https://'), page_id * 2 + 385, 304, '', CASE WHEN page_id % 16 <> 5 THEN 'text/plain' END,
+    CASE WHEN page_id % 16 = 5 OR page_id % 15 <> 7 THEN 'later' END, CASE WHEN page_id % 16 = 5 THEN '"old"' WHEN page_id % 15 <> 7 THEN tag END,
+    CASE WHEN page_id % 16 <> 5 AND page_id % 15 <> 7 THEN day END, CASE WHEN page_id % 16 <> 5 AND page_id % 15 = 7 THEN day END FROM page),
+cut AS (SELECT *, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '(?i)^https?://', '') AS rest FROM capture),
+keyed AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\\.', '')
+    || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+  list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '{warc.NOISE}'))) AS args FROM cut),
+named AS (SELECT *, place || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS key FROM keyed),
+met AS (SELECT *, CASE WHEN status = 304 AND key <> '' THEN last_value(CASE WHEN status = 200 THEN id END IGNORE NULLS) OVER (
+  PARTITION BY key ORDER BY time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS earlier FROM named),
+judged AS (SELECT m, o, CASE WHEN m.status = 200 THEN 'response' WHEN o.id IS NULL THEN 'orphan'
+  WHEN CASE WHEN m.et IS NOT NULL AND o.et IS NOT NULL THEN replace(m.et, 'W/', '') = replace(o.et, 'W/', '') ELSE coalesce(m.lm = o.lm, FALSE) END THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM met m LEFT JOIN named o ON o.id = m.earlier)
+SELECT m.id AS capture_id, m.key AS key, outcome, CASE WHEN outcome = 'resolved' THEN o.id END AS source_id,
+  CASE WHEN outcome = 'resolved' THEN {_written(lambda c: "o.ct" if c == "ct" else f"coalesce(m.{c}, o.{c})")} ELSE {_written(lambda c: f"m.{c}")} END AS headers,
+  sha256(CASE WHEN outcome = 'resolved' THEN o.body ELSE m.body END) AS body_sha256, length(CASE WHEN outcome = 'resolved' THEN o.body ELSE m.body END) AS body_length
+FROM judged
+"""
+
 SQL = {
+    "op3_revisits": _REVISITS,
     "op4_near_duplicates": _NEAR_TEXTS, "op7_near_vectors": _NEAR_VECTORS, "op11_license_scan": _LICENSES, "op12_hard_negatives": _NEGATIVES, "op13_lexical_search": _SEARCH,
 }
