@@ -48,35 +48,28 @@ def _row_height(rings: Column) -> Column:
 
 
 def _edges(regions: DataFrame) -> DataFrame:
-    """One row per polygon edge: ``_pid``, row height, ends."""
-    rings = (
-        _identified(regions)
-        .dropDuplicates(["_pid"])
-        .select("_pid", _row_height(F.col("rings")).alias("_height"), F.explode("rings").alias("r"))
-    )
-    ends = rings.select(
-        "_pid",
-        "_height",
-        F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1) as a"), F.expr("slice(r, 2, size(r) - 1) as b"))).alias("e"),
-    )
-    return ends.select(
-        "_pid",
-        "_height",
-        F.col("e.a.x").alias("x1"),
-        F.col("e.a.y").alias("y1"),
-        F.col("e.b.x").alias("x2"),
-        F.col("e.b.y").alias("y2"),
+    """One row per polygon edge: ``_pid``, row height, the longer side of the polygon's box, ends."""
+    kept = ("_pid", "_height", "_wide")
+    rings = _identified(regions).dropDuplicates(["_pid"]).select(
+        "_pid", _row_height(F.col("rings")).alias("_height"), F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("_wide"),
+        F.explode("rings").alias("r"),
     )
+    ends = rings.select(*kept, F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1) as a"), F.expr("slice(r, 2, size(r) - 1) as b"))).alias("e"))
+    return ends.selectExpr(*kept, "e.a.x AS x1", "e.a.y AS y1", "e.b.x AS x2", "e.b.y AS y2")
+
+
+def _by_row(edges: DataFrame) -> DataFrame:
+    lo, hi = (F.floor(y / F.col("_height")) for y in (F.least("y1", "y2"), F.greatest("y1", "y2")))
+    return edges.withColumn("_row", F.explode(F.sequence(lo, hi)))
 
 
 def polygon_edges(regions: DataFrame) -> DataFrame:
     """One row per polygon edge and edge row (``_row``) it passes."""
-    lo, hi = (F.floor(y / F.col("_height")) for y in (F.least("y1", "y2"), F.greatest("y1", "y2")))
-    return _edges(regions).withColumn("_row", F.explode(F.sequence(lo, hi)))
+    return _by_row(_edges(regions))
 
 
-def outline_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
-    """Smallest cells that a polygon's outline passes (``_pid``, ``_gx``, ``_gy``), with its row height.
+def _outline(edges: DataFrame, size: float) -> DataFrame:
+    """Smallest cells that a polygon's outline passes, once for every edge that does (``_pid``, ``_height``, ``_wide``, ``_gx``, ``_gy``).
 
     An edge is cut by the rows of cells; in each it passes those between its ends
     there. A millionth of a cell is added on every side for rounding: a cell too many
@@ -85,7 +78,7 @@ def outline_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     spare = F.lit(size * 1e-6)
     low, high = F.least(y1, y2), F.greatest(y1, y2)
-    rows = _edges(regions).withColumn("_gy", F.explode(F.sequence(_cell(low - spare, size), _cell(high + spare, size))))
+    rows = edges.withColumn("_gy", F.explode(F.sequence(_cell(low - spare, size), _cell(high + spare, size))))
 
     def at(y: Column) -> Column:
         return F.when(y1 == y2, x1).otherwise(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
@@ -95,8 +88,7 @@ def outline_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
     a, b = at(bottom), F.when(y1 == y2, x2).otherwise(at(top))
     left = F.greatest(F.least(a, b), F.least(x1, x2)) - spare
     right = F.least(F.greatest(a, b), F.greatest(x1, x2)) + spare
-    cells = rows.select("_pid", "_height", "_gy", F.explode(F.sequence(_cell(left, size), _cell(right, size))).alias("_gx"))
-    return cells.distinct()
+    return rows.select("_pid", "_height", "_wide", "_gy", F.explode(F.sequence(_cell(left, size), _cell(right, size))).alias("_gx"))
 
 
 def polygon_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
@@ -107,29 +99,29 @@ def polygon_cells(regions: DataFrame, size: float = CELL) -> DataFrame:
     cells are those of which the polygon's box meets at most two a side, so the
     outline passes all of them that the polygon touches.
     """
-    outline = outline_cells(regions, size)
-    widest = Window.partitionBy("_pid")
-    spread = F.greatest(*[F.max(c).over(widest) - F.min(c).over(widest) for c in ("_gx", "_gy")])
-    known = outline.withColumn("_top", F.ceil(F.log2(spread + 1)).cast("int"))
-    up = lambda c: F.expr(f"shiftright({c}, _level)")
-    parted = known.withColumn("_level", F.explode(F.sequence(F.lit(0), "_top"))).select("_pid", "_height", "_level", up("_gx").alias("_gx"), up("_gy").alias("_gy")).distinct()
-    halves = F.array(F.lit(0), F.lit(1))
-    quarters = parted.filter("_level > 0").withColumn("_i", F.explode(halves)).withColumn("_j", F.explode(halves)).select(
-        "_pid", "_height", (F.col("_level") - 1).alias("_level"), (F.col("_gx") * 2 + F.col("_i")).alias("_gx"), (F.col("_gy") * 2 + F.col("_j")).alias("_gy")
+    return _cover(_edges(regions), size)
+
+
+def _cover(edges: DataFrame, size: float) -> DataFrame:
+    keys = ("_pid", "_height", "_level", "_gx", "_gy")
+    # a box of n cells a side meets at most n + 2 of them, and one more by rounding
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_wide") / F.lit(size) + 3)).cast("int"))
+    parted = _outline(edges, size).withColumn("_level", F.explode(levels)).selectExpr("_pid", "_height", "_level", "shiftright(_gx, _level) AS _gx", "shiftright(_gy, _level) AS _gy").distinct()
+    quarters = parted.filter("_level > 0").selectExpr("_pid", "_height", "_level - 1 AS _level", "_gx", "_gy", "explode(sequence(0, 3)) AS _q").selectExpr(
+        "_pid", "_height", "_level", "_gx * 2 + _q % 2 AS _gx", "_gy * 2 + _q div 2 AS _gy"
     )
-    keys = ["_pid", "_level", "_gx", "_gy"]
-    clear = quarters.join(parted.select(*keys), keys, "left_anti")
+    known = parted.withColumn("_outline", F.lit(True)).unionByName(quarters.withColumn("_outline", F.lit(False)))
+    cells = known.groupBy(*keys).agg(F.bool_or("_outline").alias("_outline"))
     centre = lambda c: (F.col(c) + 0.5) * F.pow(F.lit(2.0), "_level") * F.lit(size)
-    inner = _contained(clear.withColumns({"_x": centre("_gx"), "_y": centre("_gy")}), regions, [*keys, "_height"])
-    return outline.select("_pid", F.lit(0).alias("_level"), "_gx", "_gy", "_height", F.lit(True).alias("_outline")).unionByName(
-        inner.select(*keys, "_height", F.lit(False).alias("_outline"))
-    )
+    inner = _contained(cells.filter(~F.col("_outline")).withColumns({"_x": centre("_gx"), "_y": centre("_gy")}), edges, keys)
+    smallest = cells.filter("_outline AND _level = 0")
+    return smallest.unionByName(inner.withColumn("_outline", F.lit(False))).select("_pid", "_level", "_gx", "_gy", "_height", "_outline")
 
 
-def _contained(places: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _contained(places: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of places (``_pid``, ``_height``, ``_x``, ``_y``), one per keys, those that lie inside their polygon or on its outline."""
     x, y = F.col("_x"), F.col("_y")
-    met = places.withColumn("_row", F.floor(y / F.col("_height"))).join(polygon_edges(regions).drop("_height"), ["_pid", "_row"])
+    met = places.withColumn("_row", F.floor(y / F.col("_height"))).join(_by_row(edges).drop("_height", "_wide"), ["_pid", "_row"])
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
     on_edge = (
@@ -143,7 +135,11 @@ def _contained(places: DataFrame, regions: DataFrame, keys: Sequence[str]) -> Da
 
 def cells_met(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
     """Distinct coordinates (``_x``, ``_y``) with the cells of polygons that they lie in."""
-    cells = saved(polygon_cells(regions, size), "cover")
+    return _met(points, _edges(regions), lon, lat, size)
+
+
+def _met(points: DataFrame, edges: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
+    cells = saved(_cover(edges, size), "cover")
     levels = cells.select(F.collect_set("_level")).scalar()
     coords = (
         points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
@@ -161,9 +157,10 @@ def _small(c: str, size: float) -> str:
 
 def region_hits(points: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", size: float = CELL) -> DataFrame:
     """Distinct (lon, lat, _pid) pairs of coordinates and the polygons that contain them."""
-    met = cells_met(points, regions, lon, lat, size)
+    edges = saved(_edges(regions), "edges")  # the layer is read once, not for each of the three uses of its edges
+    met = _met(points, edges, lon, lat, size)
     inner = met.filter(~F.col("_outline")).select("_x", "_y", "_pid")
-    tested = _contained(met.filter("_outline").select("_x", "_y", "_pid", "_height"), regions, ["_x", "_y", "_pid"])
+    tested = _contained(met.filter("_outline").select("_x", "_y", "_pid", "_height"), edges, ["_x", "_y", "_pid"])
     return inner.unionByName(tested).select(F.col("_x").alias(lon), F.col("_y").alias(lat), "_pid")
 
 
