@@ -184,26 +184,17 @@ def without_region_share(samples: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-def sample_profile(samples: DataFrame, first: Day = S.FIRST_SAMPLE_DATE, last: Day | None = None) -> DataFrame:
-    """The distinct places, parameters, units and locations of the readings, with their rows, valid rows and the days outside [first, last].
+def sample_profile(samples: DataFrame) -> DataFrame:
+    """The distinct places, parameters, units and locations of the readings with their number of rows and of valid rows.
 
     Every check of distinct values gives the same violations on the profile, which
-    is counted in one pass over the readings and as small as a catalogue; the days
-    are bounded by the calendar.
+    is counted in one pass over the readings and as small as a catalogue.
     """
-    outside = _outside(first, last)
     return samples.groupBy("type", "county", *_STATION, "parameter", "units", "location").agg(
-        F.count("*").alias("n"),
-        F.count(F.when(present(F.col("val")), 1)).alias("n_valid"),
-        F.collect_set(F.when(outside, F.struct("date"))).alias("days_outside"),
+        F.count("*").alias("n"), F.count(F.when(present(F.col("val")), 1)).alias("n_valid")
     )
 
 
-def profile_dates_outside(profile: DataFrame) -> DataFrame:
-    """The distinct days of ``sample_dates_outside``, off the profile."""
-    return profile.select(F.explode("days_outside").alias("day")).select("day.date").distinct()
-
-
 def profile_labels(profile: DataFrame) -> DataFrame:
     """Parameters that have valid readings and a label, off the profile."""
     label = parameter_label(F.col("parameter"), F.col("units"))
