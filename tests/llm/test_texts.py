@@ -303,3 +303,31 @@ def test_pieces_against_the_library(texts):
     for t in ["the cat sat", "Hello wörld again", "some longer sentence of words"]:
         ids = np.frombuffer(encoder.encode([t])[0][0], "<u4").tolist()
         assert encoder.pieces and sum(scores[i] for i in ids) >= sum(scores[i] for i in library.encode(t)) and library.decode(ids) == t
+
+
+def test_pieces_of_chunks_whose_entries_never_meet(monkeypatch):
+    vocabulary = pieces.Pieces(["a", "b", "aaa", "ab", "bbbb", pieces.SPACE], [-1.0, -1.0, -1.5, -3.0, -2.0, -1.0], list(range(256)), list(range(6)), -20.0)
+    texts = ["a" * 300, "ab" * 150 + "é", ("abb" + pieces.SPACE) * 70, "b" * 40]
+    sizes = [300, 290, 280, 40]
+    walked = []
+    best = pieces.best_paths
+    monkeypatch.setattr(pieces, "best_paths", lambda s, start=None: walked.append((0 if start is None else len(start)) * s.shape[1]) or best(s, start))
+    got = pieces._matrices(vocabulary, texts, sizes)
+    for t, size, m in zip(texts, sizes, got):
+        s = pieces._arcs_of(vocabulary, [t], [size])[2]
+        for entry in range(pieces.LONGEST):
+            start = np.where(np.arange(pieces.LONGEST) == entry, 0.0, -np.inf)[None, :]
+            assert m[entry].tolist() == pieces._beyond(best(s, start)[0], np.array([size]))[0].tolist()
+    # entries that have met are not walked to the end
+    walked.clear()
+    pieces._matrices(vocabulary, texts[1:3] * 32, sizes[1:3] * 32)
+    assert sum(walked) < 64 * pieces.LONGEST * 300 / 2
+
+
+def test_units_that_came_again_stay_known(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_UNITS", 3)
+    encoder = pieces.Encoder(lm.model_file())
+    want = encoder.encode(["one two three four"])
+    assert encoder.encode(["two five", "one two three four"])[1] == want[0]
+    assert encoder.encode(["two"]) and set(encoder.ids) == {"two"}
+    assert [n for _, n in pieces._together([1, 2, pieces.HELD, 3, *[0] * pieces.TEXTS])] == [2, 1, pieces.TEXTS, 1]

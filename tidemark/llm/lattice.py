@@ -19,19 +19,23 @@ class Pieces:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], ids: list[int], unknown: float):
         self.pieces, self.byte_ids, self.unknown = pieces, np.array(byte_ids), unknown
         self.ids = np.array(ids)
-        keys = np.array([self._hash(p) for p in pieces], U)
+        keys = self._hashes(pieces)
         order = np.argsort(keys)
-        self._keys, self._at = keys[order], order
-        self._maybe = np.zeros(1 << _BITS, bool)
-        self._maybe[(keys >> U(64 - _BITS)).astype(np.int64)] = True
+        self._keys, self._at = np.append(keys[order], U(0)), np.append(order, -1).astype(np.int32)
+        top = (keys[order] >> U(64 - _BITS)).astype(np.int64)
+        self._first = np.full(1 << _BITS, -1, np.int32)  # of the keys with these leading bits
+        self._first[top[::-1]] = np.arange(len(top) - 1, -1, -1)
+        self._alike = int(np.bincount(top).max()) if len(top) else 0
         self.scores = np.array(scores, float)
 
     @staticmethod
-    def _hash(piece: str) -> int:
-        h = np.zeros(1, U)
-        for c in piece:
-            h = mix(h * U(BASE) + U(ord(c) + 1))
-        return int(h[0])
+    def _hashes(pieces: list[str]) -> np.ndarray:
+        chars, lengths = matrix(pieces)
+        h = np.zeros(len(pieces), U)
+        for l in range(int(lengths.max(initial=0))):
+            on = lengths > l
+            h[on] = mix(h[on] * U(BASE) + chars[on, l].astype(U) + U(1))
+        return h
 
     @classmethod
     def of_model(cls, path: str) -> Pieces:
@@ -56,13 +60,14 @@ class Pieces:
         for l in range(min(LONGEST, size)):
             w = size - l
             h = mix(h[:, :w] * U(BASE) + c[:, l:])
-            some = self._maybe[(h >> U(64 - _BITS)).astype(np.int64)] & (chars[:, l:] > 0)
-            i, j = np.nonzero(some)
-            if len(i):
-                k = h[i, j]
-                at = np.minimum(np.searchsorted(self._keys, k), len(self._keys) - 1)
-                hit = self._keys[at] == k
-                out[i[hit], j[hit], l] = self._at[at[hit]]
+            at = self._first[(h >> U(64 - _BITS)).astype(np.int64)]
+            some = np.flatnonzero((at >= 0) & (chars[:, l:] > 0))
+            k, at = h.ravel()[some], at.ravel()[some]
+            for _ in range(1, self._alike):
+                at += (self._keys[at] < k) & (at < len(self._keys) - 1)
+            hit = self._keys[at] == k
+            i, j = np.divmod(some[hit], w)
+            out[i, j, l] = self._at[at[hit]]
         return out
 
 
@@ -77,24 +82,21 @@ def matrix(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def batches_by_length(strings: list[str], cells: int = 1 << 14):
     """Index arrays of strings of like length, so that a batch's matrix has few empty cells."""
-    order = np.argsort([len(s) for s in strings], kind="stable")
-    at = 0
+    lengths = np.array([len(s) for s in strings], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    lengths, at = lengths[order], 0
     while at < len(order):
-        end, widest = at, 0
-        while end < len(order):
-            widest = max(widest, len(strings[order[end]]))
-            if end > at and widest * (end - at + 1) > cells:
-                break
-            end += 1
-        yield order[at:end]
-        at = end
+        ahead = lengths[at : at + cells]
+        n = max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), cells, "right")))
+        yield order[at : at + n]
+        at += n
 
 
 def arcs(pieces: Pieces, chars: np.ndarray, scores: np.ndarray, byte_cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pieces per arc and their scores, -inf where there is none. A character that is no piece gets the score of its
     bytes (byte_cost per byte) or the vocabulary's score of unknown characters."""
     found = pieces.find(chars)
-    s = np.where(found >= 0, scores[found], -np.inf)
+    s = np.append(scores, -np.inf)[found]
     lone = (found[:, :, 0] < 0) & (chars > 0)
     if lone.any():
         if byte_cost is None:

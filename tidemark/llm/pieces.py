@@ -8,6 +8,7 @@ from collections.abc import Container
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 GIANT, CHUNK, GROUP = 32_768, 2_048, 32
 #: Chunks that a task looks at together: numpy's cost per step is shared by them. Chunks dealt to a task.
 TOGETHER, DEALT = 64, 256
-#: Distinct units kept per Python worker.
-KEPT_UNITS = 300_000
+#: Texts and characters encoded together; distinct units kept per Python worker.
+TEXTS, HELD = 512, 1 << 19
+KEPT_UNITS = 60_000
 NEVER = -np.inf
 
 
@@ -43,13 +45,14 @@ def best_paths(s: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarr
     best = np.full((n, size + 1), NEVER)
     back = np.zeros((n, size + 1), np.int16)
     best[:, 0] = 0 if start is None else start[:, 0]
+    flat, rows = s.reshape(len(s), -1), np.arange(n)
     for i in range(1, size + 1):
         w = min(LONGEST, i)
-        ahead = np.arange(w, 0, -1)
-        arcs_here = s[:, i - ahead, ahead - 1]
+        # arcs that end at i, the longest first: from i - w, i - w + 1 and so on
+        arcs_here = flat[:, (i - w) * LONGEST + w - 1 : (i - 1) * LONGEST + 1 : LONGEST - 1]
         x = best[:, i - w : i] + (arcs_here if m == 1 else np.repeat(arcs_here, m, 0))
         k = x.argmax(1)
-        best[:, i], back[:, i] = x[np.arange(n), k], ahead[k]
+        best[:, i], back[:, i] = x[rows, k], w - k
         if start is not None and i < LONGEST:
             own = start[:, i] >= best[:, i]  # its last piece began before the string: longer than any other
             best[:, i] = np.where(own, start[:, i], best[:, i])
@@ -57,19 +60,27 @@ def best_paths(s: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarr
     return best, back
 
 
-def _ids(pieces: Pieces, found: np.ndarray, chars: np.ndarray, at: int, length: int) -> list[int]:
-    k = found[at, length - 1]
-    return [int(pieces.ids[k])] if k >= 0 else [int(pieces.byte_ids[b]) for b in chr(chars[at]).encode()]
-
-
-def _walk(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: list[int], end: int, known: Container[int] = ()) -> tuple[list[tuple[int, list[int]]], int]:
-    """(beginning, ids) of each piece of the path that ends at end, and where it begins or first meets a known cut."""
+def _walk(back: list[int], end: int, known: Container[int] = ()) -> tuple[list[int], int]:
+    """Beginnings of the pieces of the path that ends at end, last first, and where it begins or first meets a known cut."""
     out = []
     while back[end] and end not in known:
-        n = back[end]
-        end -= n
-        out.append((end, _ids(pieces, found, chars, end, n)))
-    return out[::-1], end
+        end -= back[end]
+        out.append(end)
+    return out, end
+
+
+def _ids(pieces: Pieces, found: np.ndarray, chars: np.ndarray, begins: list[int], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces that begin there, last first, the last one ending at end, and how many each has: characters that are no piece go by their bytes."""
+    begin = np.array(begins[::-1], np.int64)
+    k = found[begin, np.diff(begin, append=end) - 1]
+    ids, width = np.where(k < 0, 0, pieces.ids[np.maximum(k, 0)]).astype("<u4"), np.ones(len(k), np.int64)
+    lone = k < 0
+    if lone.any():
+        spelled = [pieces.byte_ids[list(chr(c).encode())] for c in chars[begin[lone]]]
+        width[lone] = [len(x) for x in spelled]
+        ids = np.repeat(ids, width)
+        ids[np.repeat(lone, width)] = np.concatenate(spelled)
+    return ids, width
 
 
 def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -100,18 +111,15 @@ def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarr
     return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _ids_of(walk: list[tuple[int, list[int]]]) -> bytes:
-    return np.array([i for _, x in walk for i in x], "<u4").tobytes()
-
-
-class Encoder(dict):
-    """unit -> (ids as bytes, score); units not seen before are cut together."""
+class Encoder:
+    """ids (bytes) and score of every unit seen; units not seen before are cut together."""
 
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        super().__init__()
         self.pieces = Pieces.of_model(path)
+        self.ids: dict[str, bytes] = {}
+        self.scores: dict[str, float] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -127,43 +135,56 @@ class Encoder(dict):
         return _UNIT.findall(normalized(text)) if "" in parts or SPACE in text else parts
 
     def learn(self, units: set[str]) -> None:
-        if len(self) > KEPT_UNITS:
-            self.clear()
-        new = [u for u in units if u not in self]
+        if len(self.ids) > KEPT_UNITS:  # those that came again stay: they will come again
+            again = units & self.ids.keys()
+            self.ids = {u: self.ids[u] for u in again}
+            self.scores = {u: self.scores[u] for u in again}
+        new = list(units - self.ids.keys())
         marked = [u if u[0] == SPACE else SPACE + u for u in new]
         for at in batches_by_length(marked):
             chars, lengths = matrix([marked[i] for i in at])
             found, s = arcs(self.pieces, chars, self.pieces.scores, None)
             best, back = best_paths(s)
-            scores = best[np.arange(len(at)), lengths].tolist()
-            for i, ids, score in zip(at.tolist(), _walked(self.pieces, found, chars, back, lengths), scores):
-                self[new[i]] = ids, score
+            those = [new[i] for i in at.tolist()]
+            self.ids.update(zip(those, _walked(self.pieces, found, chars, back, lengths)))
+            self.scores.update(zip(those, best[np.arange(len(at)), lengths].tolist()))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
         cut = [self.units(t) for t in texts]
-        self.learn({u for c in cut for u in c})
-        got = [[self[u] for u in c] for c in cut]
-        return [(b"".join(x for x, _ in g), float(sum(x for _, x in g))) for g in got]
+        self.learn(set().union(*cut))
+        return [(b"".join(map(self.ids.__getitem__, c)), float(sum(map(self.scores.__getitem__, c)))) for c in cut]
 
 
-def _chunks(pieces: Pieces, texts: list[str], sizes: list[int], start: np.ndarray):
-    """Best paths of chunks over the arcs that begin in their first size characters, each from its m rows of start.
+def _together(sizes: list[int]):
+    """(first, number) of runs of texts of these sizes: TEXTS texts and, but for a longer one alone, HELD characters at most."""
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (held + size > HELD or i - at == TEXTS):
+            yield at, i - at
+            at, held = i, 0
+        held += size
+    if sizes:
+        yield at, len(sizes) - at
 
-    Gives code points and pieces per chunk, and per row of start the scores of cuts at the chunk's end and beyond, and back.
-    """
+
+def _arcs_of(pieces: Pieces, texts: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, pieces and scores of chunks, over the arcs that begin in their first size characters."""
     chars, _ = matrix(texts)
     found, s = arcs(pieces, chars, pieces.scores, None)
-    sizes = np.array(sizes)
-    s[np.arange(s.shape[1])[None, :] >= sizes[:, None]] = NEVER
-    best, back = best_paths(s, start)
-    at = np.repeat(sizes, len(start) // len(texts))[:, None] + np.arange(LONGEST)[None, :]
-    beyond = np.where(at < best.shape[1], np.take_along_axis(best, np.minimum(at, best.shape[1] - 1), 1), NEVER)
-    return chars, found, beyond, back
+    s[np.arange(s.shape[1])[None, :] >= np.array(sizes)[:, None]] = NEVER
+    return chars, found, s
+
+
+def _beyond(best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Scores of cuts at the chunk's end and beyond."""
+    at = sizes[:, None] + np.arange(LONGEST)[None, :]
+    return np.where(at < best.shape[1], np.take_along_axis(best, np.minimum(at, best.shape[1] - 1), 1), NEVER)
 
 
 def _few(batches):
-    """Record batches of TOGETHER rows at most."""
+    """Record batches of TOGETHER rows at most, chunks of like size together, so that few cells of a batch are empty."""
     for b in batches:
+        b = b.take(pc.sort_indices(b.column("size")))
         for at in range(0, b.num_rows, TOGETHER):
             yield b.slice(at, TOGETHER)
 
@@ -188,15 +209,48 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
+def _matrices(pieces: Pieces, texts: list[str], sizes: list[int]) -> np.ndarray:
+    """(n, LONGEST, LONGEST): the matrix of each chunk.
+
+    Paths that enter a chunk at different places soon meet. Once the last LONGEST scores from two entries differ
+    by one number, all later ones do, so only the first entry is followed to the end; entries that have
+    not met it are followed together over four times the length, as far as the whole chunk.
+    """
+    s = _arcs_of(pieces, texts, sizes)[2]
+    sizes = np.array(sizes)
+    first = _beyond(best_paths(s)[0], sizes)
+    each = np.where(np.eye(LONGEST, dtype=bool), 0.0, NEVER)
+    out = np.empty((len(texts), LONGEST, LONGEST))
+    left, reach = np.arange(len(texts)), 4 * LONGEST
+    while len(left):
+        reach = min(reach, s.shape[1])
+        met = np.zeros(len(left), bool)
+        width = max(1, 16 * TOGETHER * LONGEST // reach)
+        for at in range(0, len(left), width):
+            some = left[at : at + width]
+            best = best_paths(s[some, :reach], np.tile(each, (len(some), 1)))[0]
+            if reach == s.shape[1]:
+                out[some] = _beyond(best, np.repeat(sizes[some], LONGEST)).reshape(-1, LONGEST, LONGEST)
+                met[at : at + width] = True
+                continue
+            last = best[:, -LONGEST:].reshape(len(some), LONGEST, LONGEST)
+            known = np.isfinite(last).all((1, 2))
+            ahead = np.where(known[:, None, None], last, 0.0)
+            ahead = ahead - ahead[:, :1]
+            same = known & (ahead == ahead[:, :, :1]).all((1, 2))
+            out[some[same]] = first[some[same], None, :] + ahead[same, :, :1]
+            met[at : at + width] = same
+        left, reach = left[~met], 4 * reach
+    return out
+
+
 def _transfer(path: str):
     """Per chunk the matrix from its first cut to the first cut at or beyond its end."""
 
     def run(batches):
         pieces = Pieces.of_model(path)
-        each = np.where(np.eye(LONGEST, dtype=bool), 0.0, NEVER)
         for b in _few(batches):
-            _, _, beyond, _ = _chunks(pieces, b.column("part").to_pylist(), b.column("size").to_pylist(), np.tile(each, (b.num_rows, 1)))
-            out = [m.tobytes() for m in beyond.reshape(-1, LONGEST, LONGEST)]
+            out = [m.tobytes() for m in _matrices(pieces, b.column("part").to_pylist(), b.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), pa.array(out, pa.binary())], names=["doc", "chunk", "m"])
 
     return run
@@ -250,20 +304,16 @@ def _ways(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: list[int],
     Paths to neighbouring ends soon meet, so the first one's ids serve all.
     """
     first = next(e for e in ends if e is not None)
-    line, entry = _walk(pieces, found, chars, back, first)
-    known = {}
-    n = 0
-    for at, ids in line:
-        known[at] = n
-        n += len(ids)
-    known[first] = n
+    line, entry = _walk(back, first)
+    ids, width = _ids(pieces, found, chars, line, first)
+    known = dict(zip([*line[::-1], first], [0, *np.cumsum(width).tolist()]))
     enters, shared, own = [], [], []
     for end in ends:
-        walk, at = ([], 0) if end is None else _walk(pieces, found, chars, back, end, known)
+        walk, at = ([], 0) if end is None else _walk(back, end, known)
         enters.append(entry if at in known else at)
         shared.append(known.get(at, 0))
-        own.append(_ids_of(walk))
-    return enters, _ids_of(line), shared, own
+        own.append(_ids(pieces, found, chars, walk, end)[0].tobytes() if walk else b"")
+    return enters, ids.tobytes(), shared, own
 
 
 _TRACE = "doc long, chunk long, enters array<int>, common binary, shared array<int>, own array<binary>, score double"
@@ -277,7 +327,9 @@ def _trace(path: str):
         for b in _few(batches):
             sizes = b.column("size").to_pylist()
             start = np.stack([np.frombuffer(x, "<f8") for x in b.column("before").to_pylist()])
-            chars, found, beyond, back = _chunks(pieces, b.column("part").to_pylist(), sizes, start)
+            chars, found, s = _arcs_of(pieces, b.column("part").to_pylist(), sizes)
+            best, back = best_paths(s, start)
+            beyond = _beyond(best, np.array(sizes))
             ends = [[size + k if v > NEVER else None for k, v in enumerate(row)] for size, row in zip(sizes, beyond)]
             ways = [_ways(pieces, found[i], chars[i], back[i].tolist(), ends[i]) for i in range(b.num_rows)]
             types = (pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -325,10 +377,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def short(batches):
         encoder = Encoder.at(path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at, n in _together(pc.utf8_length(b.column(1)).to_pylist()):
+                part = b.slice(at, n)
                 got = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "text", "ids", "score"])
+                del part, got
+            del b  # before the next one comes
 
     plain = d.where(size <= GIANT).mapInArrow(short, "doc_id long, text string, ids binary, score double")
     giants = save(d.where(size > GIANT).withColumn("doc", F.monotonically_increasing_id()), "giants")
@@ -350,8 +404,8 @@ def decode(ids, path: str | None = None):
     """Column of texts from a column of ids."""
     path = path or model_file()
 
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
         pieces = Pieces.of_model(path)
         if not hasattr(pieces, "written"):
             table = [b""] * (max(int(pieces.ids.max()), int(pieces.byte_ids.max())) + 1)
@@ -361,6 +415,7 @@ def decode(ids, path: str | None = None):
                 table[i] = bytes([byte])
             pieces.written = table
         read = pieces.written.__getitem__
-        return column.map(lambda x: b"".join(map(read, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")[1:])
+        texts = (None if x is None else b"".join(map(read, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")[1:] for x in (v.as_py() for v in column))
+        return pa.array(texts, pa.string())
 
     return run(ids)
