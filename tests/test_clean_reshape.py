@@ -91,3 +91,12 @@ def test_station_grid_and_pivot(spark, rows):
     assert grid.count() == 4
     wide = reshape.to_wide(grid.withColumn("v", F.lit(2.0)), ["waterbody", "station"], "type", "v", ["t", "s", "none"])
     assert rows(wide) == [("a", "1", 2.0, 2.0, None), ("b", "1", 2.0, 2.0, None)]
+
+
+def test_long_form_splits_names_once(spark, rows):
+    wide = spark.createDataFrame([("c", "w", "s", D(2020, 1, 2), 1.0, None, 2.0)], "county string, waterbody string, station string, date date, temp_surf_f double, ph_bott double, a_b_c_d double")
+    ids = ["county", "waterbody", "station", "date"]
+    got = reshape.to_named_parts(wide, ("parameter", "location", "units"))
+    want = reshape.split_variable(reshape.to_long(wide), ("parameter", "location", "units"))
+    assert got.columns == want.columns == [*ids, "val", "parameter", "location", "units"] and rows(got) == rows(want)
+    assert "split(" in want._jdf.queryExecution().toString() and "split(" not in reshape.field_long(wide)._jdf.queryExecution().toString()

@@ -22,9 +22,18 @@ def split_variable(df: DataFrame, into: Sequence[str], column: str = "var") -> D
     return df.withColumns({n: text.name_part(F.col(column), i) for i, n in enumerate(into)}).drop(column)
 
 
+def to_named_parts(df: DataFrame, into: Sequence[str], ids: Sequence[str] = S.FIELD_IDS) -> DataFrame:
+    """``split_variable`` of ``to_long``: names are split once per column here, not once per row."""
+    cells = []
+    for c in [c for c in df.columns if c not in ids]:
+        parts = c.split("_")
+        cells += [F.col(c), *[F.lit(parts[i] if i < len(parts) else None).cast("string") for i in range(len(into))]]
+    return df.select(*ids, F.stack(F.lit(len(cells) // (len(into) + 1)), *cells).alias("val", *into))
+
+
 def field_long(clean: DataFrame) -> DataFrame:
     """Field readings in long form."""
-    long = split_variable(to_long(clean), ("parameter", "location", "units"))
+    long = to_named_parts(clean, ("parameter", "location", "units"))
     return long.withColumn("notes", F.lit(None).cast("string"))
 
 
@@ -36,7 +45,7 @@ def lab_long(clean: DataFrame) -> DataFrame:
     de-duplication) does the work of three.
     """
     ids = [*S.FIELD_IDS, "secchi_onbott"]
-    long = split_variable(to_long(clean, ids), ("parameter", "units"))
+    long = to_named_parts(clean, ("parameter", "units"), ids)
     return long.select(
         *S.FIELD_IDS,
         "val",

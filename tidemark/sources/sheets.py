@@ -52,16 +52,19 @@ def _many_files(spark: SparkSession, path: str) -> DataFrame:
         if sorted(found) != sorted(names):
             raise ValueError(f"{path}: files with different headings {sorted(set(found) ^ set(names))}")
     cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {**CSV})
-    rows = lines.join(headings, "file").filter("value <> heading").select("heading", cells.alias("cells"))
-    at = {h: {n: i for i, n in enumerate(found)} for h, found in orders.items()}
+    kinds = list(orders)
+    # a short number per file, since every cell of every row asks for the order of its heading
+    kind = F.coalesce(*[F.when(F.col("heading") == h, F.lit(i)) for i, h in enumerate(kinds)])
+    rows = lines.join(headings.withColumn("kind", kind), "file").filter("value <> heading").select("kind", cells.alias("cells"))
+    at = {h: {n: i for i, n in enumerate(orders[heading])} for h, heading in enumerate(kinds)}
 
     def cell(name: str) -> Column:
-        by_order = defaultdict(list)
+        by_order: dict[int, list[int]] = defaultdict(list)
         for h, places in at.items():
             by_order[places[name]].append(h)
         if len(by_order) == 1:
             return F.col(f"cells.c{at[h][name]}")
-        return F.coalesce(*[F.when(F.col("heading").isin(held), F.col(f"cells.c{i}")) for i, held in by_order.items()])
+        return F.coalesce(*[F.when(F.col("kind").isin(held), F.col(f"cells.c{i}")) for i, held in by_order.items()])
 
     return rows.select(*[cell(n).alias(f"c{i}") for i, n in enumerate(names)]).toDF(*names)
 
