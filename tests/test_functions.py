@@ -150,3 +150,22 @@ def test_t_quantile_continuous_at_table_end(spark):
     got = [r[0] for r in spark.range(29, 34).select(student.t_quantile("id")).collect()]
     steps = [a - b for a, b in zip(got, got[1:])]
     assert all(s > 0 for s in steps) and all(a > b for a, b in zip(steps, steps[1:]))
+
+
+def test_dates_are_tried_where_their_separator_is(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import dates
+
+    texts = ["3/4/2021", "03-04-2021", "2021-3-4", "2021/3/4", "3.4.2021", "march 4, 2021", "Mar 4 2021", "3/4/21", "3-4-69", "0003/4/2021", "1203-4-2021", "2021.3.4", "soon", "", " 3/4/2021", "12/31/0021", None]
+    def plain(c):
+        short = F.coalesce(*[F.try_to_date(c, p) for p in ("M/d/yy", "M-d-yy", "M.d.yy")])
+        names = [F.try_to_date(F.initcap(c), p) for p in ("MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")]
+        long_years = [F.try_to_date(c, p) for p in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "M.d.yyyy", "yyyy/M/d")]
+        return F.coalesce(*long_years, *names, F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", dates.parse_mdy(F.col("t")).alias("a"), plain(F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a is not None for r in got) >= 9
+    asked = dates.parse_mdy(F.col("t"))._jc.toString().lower()
+    assert asked.count("contains") >= 12  # every failing try is spared by a look

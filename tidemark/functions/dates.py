@@ -13,11 +13,19 @@ def parse_mdy(c: Column) -> Column:
 
     Slashes, dashes, dots and English month names are read; two-digit years up to
     68 are of this century, later ones of the last. Later spellings are tried only
-    where the earlier ones fail.
+    where the earlier ones fail, and only on text that holds their separator: a
+    failed try costs far more than the look.
     """
-    long_years = [F.try_to_date(c, p) for p in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "M.d.yyyy", "yyyy/M/d")]
-    names = [F.try_to_date(F.initcap(c), p) for p in ("MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")]
-    short = F.coalesce(*[F.try_to_date(c, p) for p in ("M/d/yy", "M-d-yy", "M.d.yy")])
+
+    def tried(text: Column, pattern: str) -> Column:
+        held = F.contains(text, F.lit(next(x for x in "/-., " if x in pattern)))
+        if pattern[0] == "M" and pattern[1] in "/-.":
+            held = held & ~text.rlike("^[1-9][0-9]{3}[-/.]")  # no month
+        return F.when(held, F.try_to_date(text, pattern))
+
+    long_years = [tried(c, p) for p in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "M.d.yyyy", "yyyy/M/d")]
+    names = [tried(F.initcap(c), p) for p in ("MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")]
+    short = F.coalesce(*[tried(c, p) for p in ("M/d/yy", "M-d-yy", "M.d.yy")])
     return F.coalesce(*long_years, *names, F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
 
 

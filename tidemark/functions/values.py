@@ -24,7 +24,7 @@ def to_number(c: Column) -> Column:
     ``x``, which costs far less per cell than matching a pattern.
     """
     text = F.trim(c)
-    word = F.right(text, F.lit(1)).isin(*"dDfFnNyY") | F.contains(F.lower(text), F.lit("x"))
+    word = F.right(text, F.lit(1)).isin(*"dDfFnNyY") | F.contains(text, F.lit("x")) | F.contains(text, F.lit("X"))
     return F.when(~word, text.try_cast("double"))
 
 
