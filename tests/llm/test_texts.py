@@ -85,6 +85,33 @@ def test_near_duplicates_of_nothing(spark, docs):
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in near_dup.near_duplicates(lone).collect()) == [(False, 3, True), (True, None, True)]
 
 
+def _mixed_buckets(spark, buckets):
+    members = spark.createDataFrame([(k, i, c) for k, rows in buckets.items() for i, c in rows], "key long, id long, comp long")
+    return members, near_dup._mixed(members)
+
+
+def test_strays_alone_meet_every_block_of_a_bucket(spark):
+    rows = [(i, 0) for i in range(500)] + [(500 + i, 500 + i) for i in range(3)]
+    members, mixed = _mixed_buckets(spark, {7: rows, 8: [(i, 0) for i in range(50)], 9: [(0, 0), (500, 500)]})
+    got = near_dup._in_blocks(members, mixed, 10).collect()
+    assert {r.key for r in got} == {7, 9}
+    assert len(got) == 2 + 500 + 3 * (50 + 1)
+    comp, met = dict(rows), {}
+    for r in got:
+        met.setdefault((r.key, r.lo, r.hi), []).append((r.id, r.side))
+    pairs = [(min(a, b), max(a, b)) for (k, *_), block in met.items() if k == 7 for a, x in block for b, y in block if a < b and comp[a] != comp[b] and (x == 2 or x != y)]
+    assert sorted(pairs) == sorted((a, b) for a in comp for b in comp if a < b and comp[a] != comp[b])
+
+
+def test_buckets_of_one_component_are_dealt_once(spark):
+    tight = {k: [(i, 0) for i in range(40)] + [(100 + i, 100 + i) for i in range(3)] for k in range(30)}
+    loose = {50 + k: [(1000 + 4 * k + i, 1000) for i in range(4)] + [(2000 + k, 2000 + k)] for k in range(6)}  # together 6 strays would meet 30 members, not 5 each
+    members, mixed = _mixed_buckets(spark, {**tight, **loose})
+    got = [tuple(r) for r in near_dup._merged(members, mixed).collect()]
+    assert len(got) == 43 + 6 * 5
+    assert sorted((k, i) for k, i, _ in got) == sorted([(0, i) for i in [*range(40), 100, 101, 102]] + [(k, i) for k, rows in loose.items() for i, _ in rows])
+
+
 def test_signatures_estimate_and_stop_early():
     a = shingles(word_hashes([" ".join(map(str, range(1000))).encode()])[0], 1)
     b = np.sort(np.concatenate([a[:889], shingles(word_hashes([b" ".join(b"x%d" % i for i in range(111))])[0], 1)]))

@@ -137,13 +137,42 @@ def _near_others(percent: int):
     return run
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """Members of buckets (key, id, ...) once for every pair of blocks of their bucket (lo, hi) that they belong to."""
-    blocks = F.ceil(F.col("size") / width).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, main, size, strays) of the buckets of members (key, id, comp) with several components: the commonest one, all members and those of other ones."""
+    kinds = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = F.max_by("comp", F.struct("n", "comp"))
+    return kinds.groupBy("key").agg(main.alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+
+
+def _in_blocks(members: DataFrame, mixed: DataFrame, width: int) -> DataFrame:
+    """Members of mixed buckets (key, id, comp, ...) once for every pair of blocks of their bucket (lo, hi) that they belong to.
+
+    In a bucket of more than width members strays have blocks of their own, which
+    meet all blocks; blocks of the commonest component meet those of strays only.
+    A member of it is there once where the strays fill one block.
+    """
+    stray, whole = F.col("comp") != F.col("main"), F.col("size") <= width
+    few = F.ceil(F.col("strays") / width).cast("int")
+    many = F.ceil((F.col("size") - F.col("strays")) / width).cast("int")
+    dealt = F.xxhash64("id")
+    own = F.when(whole, 0).when(stray, F.pmod(dealt, few)).otherwise(few + F.pmod(dealt, many)).cast("int")
+    last = F.when(whole, 0).when(stray, few + many - 1).otherwise(few - 1)
+    dealt = members.join(mixed, "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1)
-    return dealt.withColumns({"lo": F.least("own", "o"), "hi": F.greatest("own", "o"), "side": side}).drop("own", "o", "size")
+    return dealt.withColumns({"lo": F.least("own", "o"), "hi": F.greatest("own", "o"), "side": side}).drop("own", "o", "main", "size", "strays")
+
+
+def _merged(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Members (key, id, comp) of mixed buckets, those of one commonest component as one bucket where that takes no more comparisons.
+
+    Near copies meet in up to BANDS buckets; so each is dealt once and no pair is looked at again and again.
+    """
+    met = members.join(mixed.select("key", "main"), "key")
+    once = met.groupBy("main", "id", "comp").agg(F.count("*")).groupBy("main").agg((F.count("*") * F.count_if(F.col("comp") != F.col("main"))).alias("together"))
+    apart = mixed.groupBy("main").agg(F.sum(F.col("size") * F.col("strays")).alias("apart"), F.min("key").alias("one"))
+    ones = apart.join(once, "main").where("together <= apart").select("main", "one")
+    named = mixed.join(ones, "main", "left").select("key", F.coalesce("one", "key").alias("bucket"))
+    return members.join(named, "key").select(F.col("bucket").alias("key"), "id", "comp").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -165,7 +194,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     2. Buckets of equal bands name their smallest member leader; every member that
        sizes and sketches don't rule out is verified against its leaders on the full
        sets, and links are united.
-    3. Buckets that then hold several components are looked through by sketches,
+    3. Buckets that then hold several components are mixed. Those of one commonest
+       component become one where that takes no more comparisons.
+    4. Mixed buckets are looked through by sketches,
        block by block, for members that may have a link to another component; these
        are compared on their full sets. No bucket is capped, no pair inside a
        component is needed, and only links that unite leave a task.
@@ -189,22 +220,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count("*").alias("size"), *whose).where("leader <> other")
     shared = shared.groupBy("leader", "other", "size", "m0", "m1").agg(F.min("key").alias("key"))
     members = save(keyed.join(shared.select("key", "leader", "size").hint("merge"), "key"), "buckets")
+    sketches_once = sketches.dropDuplicates(["id"])
+
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    likely = save(_likely(pairs, sketches.dropDuplicates(["id"]), percent), "likely")
+    likely = save(_likely(pairs, sketches_once, percent), "likely")
     sets = _sets_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle)
     done = save(_verified(likely, sets, percent), "verified")
     drop(sets, likely)
     comps = components(done)
     # a bucket of two is settled by its leader
     placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    sketched = placed.join(sketches.dropDuplicates(["id"]).hint("merge"), "id")
+    mixed = save(_mixed(placed), "mixed")
+    met = save(_merged(placed, mixed), "met")
+    drop(members, mixed)
     kinds = "key long, id long, comp long"
-    near = save(_in_blocks(sketched, mixed, SKETCHED).groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
+    dealt = _in_blocks(met.join(sketches_once.hint("merge"), "id"), _mixed(met), SKETCHED)
+    near = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
     sets = _sets_of(docs, near.select("id").distinct(), shingle)
-    dealt = _in_blocks(near, near.groupBy("key").agg(F.count("*").alias("size")), MEMBERS).join(sets, "id")
+    dealt = _in_blocks(near, _mixed(near), MEMBERS).join(sets, "id")
     across = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_across(percent), "a long, b long"), "across")
-    drop(members, sets, near, comps)
+    drop(met, sets, near, comps)
     comps = components(done.unionByName(across))
     known = classes.join(comps.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = (
