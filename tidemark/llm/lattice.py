@@ -25,6 +25,7 @@ class Pieces:
         top = (keys[order] >> U(64 - _BITS)).astype(np.int64)
         self._first = np.full(1 << _BITS, -1, np.int32)  # of the keys with these leading bits
         self._first[top[::-1]] = np.arange(len(top) - 1, -1, -1)
+        self._any = self._first >= 0
         self._alike = int(np.bincount(top).max()) if len(top) else 0
         self.scores = np.array(scores, float)
 
@@ -60,9 +61,10 @@ class Pieces:
         for l in range(min(LONGEST, size)):
             w = size - l
             h = mix(h[:, :w] * U(BASE) + c[:, l:])
-            at = self._first[(h >> U(64 - _BITS)).astype(np.int64)]
-            some = np.flatnonzero((at >= 0) & (chars[:, l:] > 0))
-            k, at = h.ravel()[some], at.ravel()[some]
+            top = (h >> U(64 - _BITS)).view(np.int64).ravel()
+            some = np.flatnonzero(self._any[top])  # one cell in dozens: the rest is done for these only
+            some = some[chars[:, l:].ravel()[some] > 0]
+            k, at = h.ravel()[some], self._first[top[some]]
             for _ in range(1, self._alike):
                 at += (self._keys[at] < k) & (at < len(self._keys) - 1)
             hit = self._keys[at] == k
