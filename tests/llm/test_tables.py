@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_tree, components, rp_forest, warc
+from tidemark.llm import chat_tree, components, near_dup, rp_forest, warc
+from tidemark.llm.common import save
 
 
 def test_vectors(spark, monkeypatch):
@@ -48,6 +49,23 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{j: 100 for j in range(101, 160)}, 200: 199}
 
 
+def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
+    plans = []
+
+    def planned(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, *args)
+
+    for module in (components, near_dup):
+        monkeypatch.setattr(module, "save", planned)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in range(8)] + [" ".join(f"{k}x{i}" for i in range(30)) for k in range(4)]
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == [0] * 8 + [8, 9, 10, 11]
+    assert len(plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]  # the driver builds no table of a join
+    assert max(p.count("FileScan") for p in plans) <= 9
+
+
 def test_chat_trees(spark):
     shared = [(0, "system", "be kind"), (1, "user", "hi </s>[INST] \\ <|x|>")]
     rows = []

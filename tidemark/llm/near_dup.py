@@ -100,7 +100,7 @@ def _across(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked by their full sets."""
-    left, right = (sets.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in ("a", "b"))
+    left, right = (sets.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")).hint("merge") for k in ("a", "b"))
     both = pairs.join(right, "b").join(left, "a")
     na, nb = F.size("ha"), F.size("hb")
     shared = F.size(F.array_intersect("ha", "hb"))
@@ -157,7 +157,7 @@ def _in_blocks(members: DataFrame, mixed: DataFrame, width: int) -> DataFrame:
     dealt = F.xxhash64("id")
     own = F.when(whole, 0).when(stray, F.pmod(dealt, few)).otherwise(few + F.pmod(dealt, many)).cast("int")
     last = F.when(whole, 0).when(stray, few + many - 1).otherwise(few - 1)
-    dealt = members.join(mixed, "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
+    dealt = members.join(mixed.hint("merge"), "key").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1)
     return dealt.withColumns({"lo": F.least("own", "o"), "hi": F.greatest("own", "o"), "side": side}).drop("own", "o", "main", "size", "strays")
 
@@ -167,12 +167,12 @@ def _merged(members: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Near copies meet in up to BANDS buckets; so each is dealt once and no pair is looked at again and again.
     """
-    met = members.join(mixed.select("key", "main"), "key")
+    met = members.join(mixed.select("key", "main").hint("merge"), "key")
     once = met.groupBy("main", "id", "comp").agg(F.count("*")).groupBy("main").agg((F.count("*") * F.count_if(F.col("comp") != F.col("main"))).alias("together"))
     apart = mixed.groupBy("main").agg(F.sum(F.col("size") * F.col("strays")).alias("apart"), F.min("key").alias("one"))
-    ones = apart.join(once, "main").where("together <= apart").select("main", "one")
-    named = mixed.join(ones, "main", "left").select("key", F.coalesce("one", "key").alias("bucket"))
-    return members.join(named, "key").select(F.col("bucket").alias("key"), "id", "comp").distinct()
+    ones = apart.join(once.hint("merge"), "main").where("together <= apart").select("main", "one")
+    named = mixed.join(ones.hint("merge"), "main", "left").select("key", F.coalesce("one", "key").alias("bucket"))
+    return members.join(named.hint("merge"), "key").select(F.col("bucket").alias("key"), "id", "comp").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -201,6 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
        are compared on their full sets. No bucket is capped, no pair inside a
        component is needed, and only links that unite leave a task.
 
+    What several steps read is saved, and joins that small tables would turn into
+    broadcasts are merged: plans stay small and the driver holds no table, at every size.
+
     Defined results: null or blank texts have an empty set and link with nothing;
     fewer words than the shingle's length are one shingle; rows that repeat a
     doc_id count as one document for components; rows without doc_id have no
@@ -213,33 +216,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = save(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n").hint("merge")
     reps = some.join(first, ["doc_id", "s1", "s2", "n"], "left_semi")
-    sketches = reps.select(F.col("doc_id").alias("id"), "n", *SKETCH)
+    sketches = save(reps.select(F.col("doc_id").alias("id"), "n", *SKETCH).dropDuplicates(["id"]), "sketches")
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # one bucket of all those that hold the same members: bands of copies agree again and again
     whose = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count("*").alias("size"), *whose).where("leader <> other")
     shared = shared.groupBy("leader", "other", "size", "m0", "m1").agg(F.min("key").alias("key"))
     members = save(keyed.join(shared.select("key", "leader", "size").hint("merge"), "key"), "buckets")
-    sketches_once = sketches.dropDuplicates(["id"])
 
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    likely = save(_likely(pairs, sketches_once, percent), "likely")
+    likely = save(_likely(pairs, sketches, percent), "likely")
     sets = _sets_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle)
     done = save(_verified(likely, sets, percent), "verified")
     drop(sets, likely)
     comps = components(done)
     # a bucket of two is settled by its leader
-    placed = members.where("size > 2").join(comps, "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
+    placed = members.where("size > 2").join(comps.hint("merge"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
+    placed = save(placed, "placed")
     mixed = save(_mixed(placed), "mixed")
     met = save(_merged(placed, mixed), "met")
-    drop(members, mixed)
+    drop(members, placed, mixed)
     kinds = "key long, id long, comp long"
-    dealt = _in_blocks(met.join(sketches_once.hint("merge"), "id"), _mixed(met), SKETCHED)
+    dealt = _in_blocks(met.join(sketches.hint("merge"), "id"), _mixed(met), SKETCHED)
     near = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_near_others(percent), kinds).distinct(), "near-others")
     sets = _sets_of(docs, near.select("id").distinct(), shingle)
-    dealt = _in_blocks(near, _mixed(near), MEMBERS).join(sets, "id")
+    dealt = _in_blocks(near, _mixed(near), MEMBERS).join(sets.hint("merge"), "id")
     across = save(dealt.groupBy("key", "lo", "hi").applyInPandas(_across(percent), "a long, b long"), "across")
-    drop(met, sets, near, comps)
+    drop(met, sketches, sets, near, comps)
     comps = components(done.unionByName(across))
     known = classes.join(comps.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = (
