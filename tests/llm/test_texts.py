@@ -358,3 +358,21 @@ def test_units_that_came_again_stay_known(monkeypatch):
     assert encoder.encode(["two five", "one two three four"])[1] == want[0]
     assert encoder.encode(["two"]) and set(encoder.ids) == {"two"}
     assert [n for _, n in pieces._together([1, 2, pieces.HELD, 3, *[0] * pieces.TEXTS])] == [2, 1, pieces.TEXTS, 1]
+
+
+def test_units_of_texts_encoded_together_are_cut_once(monkeypatch):
+    encoder, calls = pieces.Encoder(lm.model_file()), []
+    arcs = pieces.arcs
+    monkeypatch.setattr(pieces, "arcs", lambda p, chars, *more: calls.append(len(chars)) or arcs(p, chars, *more))
+    texts = ["", " ", "wörld  the", " the cat", "cat ", "the\u2581cat", "\u2581", "the\ncat \n", "漢 \U0001f600 the"] + [f"the n{i % 7} cat" for i in range(3000)]
+    got = encoder.encode(texts)
+    assert sum(calls) < 40  # also where the texts are more than one batch that goes back
+    alone = {t: pieces.Encoder(lm.model_file()).encode([t])[0] for t in set(texts)}
+    assert got == [alone[t] for t in texts]
+    assert [n for _, n in pieces._together([1000] * 3000)] == [3000]
+    # a beginning is followed only while some piece begins with it
+    vocabulary = pieces.Pieces(["a", "b", "ab", "abcd", "é"], [-1.0] * 5, list(range(256)), list(range(5)), -9.0)
+    chars, _ = pieces.matrix(["abcdé", "b", "abab"])
+    found = vocabulary.find(chars)
+    want = {(0, 0, 0): 0, (0, 0, 1): 2, (0, 0, 3): 3, (0, 1, 0): 1, (0, 4, 0): 4, (1, 0, 0): 1, (2, 0, 0): 0, (2, 0, 1): 2, (2, 1, 0): 1, (2, 2, 0): 0, (2, 2, 1): 2, (2, 3, 0): 1}
+    assert {tuple(map(int, x)): int(found[tuple(x)]) for x in np.argwhere(found >= 0)} == want

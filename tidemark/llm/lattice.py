@@ -9,6 +9,7 @@ from tidemark.llm.hashing import BASE, U, mix
 #: Pieces are at most this long.
 LONGEST = 16
 _BITS = 20
+_PIECE, _PREFIX = 1, 2
 
 
 class Pieces:
@@ -19,24 +20,28 @@ class Pieces:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], ids: list[int], unknown: float):
         self.pieces, self.byte_ids, self.unknown = pieces, np.array(byte_ids), unknown
         self.ids = np.array(ids)
-        keys = self._hashes(pieces)
+        keys, prefixes = self._hashes(pieces)
         order = np.argsort(keys)
         self._keys, self._at = np.append(keys[order], U(0)), np.append(order, -1).astype(np.int32)
         top = (keys[order] >> U(64 - _BITS)).astype(np.int64)
         self._first = np.full(1 << _BITS, -1, np.int32)  # of the keys with these leading bits
         self._first[top[::-1]] = np.arange(len(top) - 1, -1, -1)
-        self._any = self._first >= 0
+        self._kind = (self._first >= 0).astype(np.uint8)  # _PIECE: a piece has these leading bits, _PREFIX: a longer piece begins so
+        self._kind[(prefixes >> U(64 - _BITS)).astype(np.int64)] |= _PREFIX
         self._alike = int(np.bincount(top).max()) if len(top) else 0
         self.scores = np.array(scores, float)
 
     @staticmethod
-    def _hashes(pieces: list[str]) -> np.ndarray:
+    def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pieces and of all their beginnings."""
         chars, lengths = matrix(pieces)
         h = np.zeros(len(pieces), U)
+        prefixes = []
         for l in range(int(lengths.max(initial=0))):
             on = lengths > l
+            prefixes.append(h[on])
             h[on] = mix(h[on] * U(BASE) + chars[on, l].astype(U) + U(1))
-        return h
+        return h, np.concatenate([np.empty(0, U), *prefixes[1:]])
 
     @classmethod
     def of_model(cls, path: str) -> Pieces:
@@ -52,25 +57,43 @@ class Pieces:
             cls._open[path] = cls([sp.id_to_piece(i) for i in normal], scores, bytes_, normal, min(scores) - 10)
         return cls._open[path]
 
-    def find(self, chars: np.ndarray) -> np.ndarray:
-        """(n, L, LONGEST): number of the piece that begins at i and has l + 1 characters, or -1. chars: (n, L), 0 beyond the end."""
+    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of an (n, L, LONGEST) table, in its flat order, and the number of the piece that begins at i and has l + 1
+        characters. chars: (n, L), 0 beyond the end. Beginnings are followed while their characters begin some piece."""
         n, size = chars.shape
-        out = np.full((n, size, LONGEST), -1, np.int32)
-        h = np.zeros((n, size), U)
-        c = chars.astype(U) + U(1)
+        wide = np.zeros((n, size + LONGEST), U)
+        np.add(chars, 1, out=wide[:, :size], where=chars > 0, casting="unsafe")
+        c = wide.ravel()
+        at = np.flatnonzero(c)
+        cell = (at - at // (size + LONGEST) * LONGEST) * LONGEST
+        h = np.zeros(len(at), U)
+        cells, numbers = [], []
         for l in range(min(LONGEST, size)):
-            w = size - l
-            h = mix(h[:, :w] * U(BASE) + c[:, l:])
-            top = (h >> U(64 - _BITS)).view(np.int64).ravel()
-            some = np.flatnonzero(self._any[top])  # one cell in dozens: the rest is done for these only
-            some = some[chars[:, l:].ravel()[some] > 0]
-            k, at = h.ravel()[some], self._first[top[some]]
+            x = c[at + l]
+            h = mix(h * U(BASE) + x)
+            top = (h >> U(64 - _BITS)).view(np.int64)
+            kind = np.where(x > 0, self._kind[top], 0)
+            some = np.flatnonzero(kind & _PIECE)
+            k, place = h[some], self._first[top[some]]
             for _ in range(1, self._alike):
-                at += (self._keys[at] < k) & (at < len(self._keys) - 1)
-            hit = self._keys[at] == k
-            i, j = np.divmod(some[hit], w)
-            out[i, j, l] = self._at[at[hit]]
-        return out
+                place += (self._keys[place] < k) & (place < len(self._keys) - 1)
+            hit = self._keys[place] == k
+            cells.append(cell[some[hit]] + l)
+            numbers.append(self._at[place[hit]])
+            on = np.flatnonzero(kind & _PREFIX)
+            at, cell, h = at[on], cell[on], h[on]
+        return np.concatenate([np.empty(0, np.int64), *cells]), np.concatenate([np.empty(0, np.int32), *numbers])
+
+    def find(self, chars: np.ndarray) -> np.ndarray:
+        """(n, L, LONGEST): number of the piece that begins at i and has l + 1 characters, or -1. chars: (n, L), 0 beyond the end."""
+        return _table(chars, self.hits(chars), np.int32, -1)
+
+
+def _table(chars: np.ndarray, hits: tuple[np.ndarray, np.ndarray], kind: type, none: float) -> np.ndarray:
+    """(n, L, LONGEST) values of hits, none where there is no hit."""
+    out = np.full((*chars.shape, LONGEST), none, kind)
+    out.reshape(-1)[hits[0]] = hits[1]
+    return out
 
 
 def matrix(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +120,9 @@ def batches_by_length(strings: list[str], cells: int = 1 << 14):
 def arcs(pieces: Pieces, chars: np.ndarray, scores: np.ndarray, byte_cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pieces per arc and their scores, -inf where there is none. A character that is no piece gets the score of its
     bytes (byte_cost per byte) or the vocabulary's score of unknown characters."""
-    found = pieces.find(chars)
-    s = np.append(scores, -np.inf)[found]
+    cells, numbers = pieces.hits(chars)
+    found = _table(chars, (cells, numbers), np.int32, -1)
+    s = _table(chars, (cells, scores[numbers]), float, -np.inf)
     lone = (found[:, :, 0] < 0) & (chars > 0)
     if lone.any():
         if byte_cost is None:

@@ -19,12 +19,14 @@ from tidemark.llm.lm import model_file
 SPACE = "▁"
 #: A space begins a unit; no piece but runs of spaces has one elsewhere, so units are cut independently.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Empty texts and those whose units begin with other than one mark.
+_ODD = rf"\A\z|\A |  | \z|{SPACE}"
 #: Texts longer than this many characters are giant; characters per chunk; chunks combined in one task.
 GIANT, CHUNK, GROUP = 32_768, 2_048, 32
 #: Chunks that a task looks at together: numpy's cost per step is shared by them. Chunks dealt to a task.
 TOGETHER, DEALT = 64, 256
-#: Texts and characters encoded together; distinct units kept per Python worker.
-TEXTS, HELD = 512, 1 << 19
+#: Texts and characters encoded together; texts of a batch that goes back to Spark; distinct units kept per Python worker.
+TEXTS, HELD, GIVEN = 8_192, 1 << 22, 512
 KEPT_UNITS = 60_000
 NEVER = -np.inf
 
@@ -86,7 +88,7 @@ def _ids(pieces: Pieces, found: np.ndarray, chars: np.ndarray, begins: list[int]
 def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Ids of the path of every row that ends at its end, all rows walked back together."""
     rows, at = np.arange(len(ends)), ends.astype(np.int64)
-    steps = []
+    steps, many = [], np.zeros(len(ends), np.int64)
     while True:
         n = back[rows, at].astype(np.int64)
         going = n > 0
@@ -94,11 +96,15 @@ def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarr
         if not len(rows):
             break
         steps.append((rows, at, found[rows, at, n[going] - 1]))
+        many[rows] = len(steps)
     if not steps:
         return [b""] * len(ends)
-    row, begin, piece = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((begin, row))
-    row, begin, piece = row[order], begin[order], piece[order]
+    # the k-th step back is the k-th piece from the row's last one
+    after = np.cumsum(many)
+    place = np.concatenate([after[x[0]] - k for k, x in enumerate(steps, 1)])
+    row, begin, piece = (np.empty(len(place), np.int64) for _ in range(3))
+    for out, x in zip((row, begin, piece), zip(*steps)):
+        out[place] = np.concatenate(x)
     lone = piece < 0
     ids = np.where(lone, 0, pieces.ids[np.maximum(piece, 0)]).astype("<u4")
     if lone.any():  # characters that are no piece, by their bytes
@@ -111,8 +117,15 @@ def _walked(pieces: Pieces, found: np.ndarray, chars: np.ndarray, back: np.ndarr
     return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def _units_of(text: str) -> list[str]:
+    return _UNIT.findall(normalized(text))
+
+
 class Encoder:
-    """ids (bytes) and score of every unit seen; units not seen before are cut together."""
+    """Encodes texts together: each distinct unit of theirs is cut once, and its ids are dealt out by its number.
+
+    The units that came most often are known to the next texts.
+    """
 
     _open: dict[str, Encoder] = {}
 
@@ -128,31 +141,53 @@ class Encoder:
         return cls._open[path]
 
     @staticmethod
-    def units(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        return _UNIT.findall(normalized(text)) if "" in parts or SPACE in text else parts
-
-    def learn(self, units: set[str]) -> None:
-        if len(self.ids) > KEPT_UNITS:  # those that came again stay: they will come again
-            again = units & self.ids.keys()
-            self.ids = {u: self.ids[u] for u in again}
-            self.scores = {u: self.scores[u] for u in again}
-        new = list(units - self.ids.keys())
-        marked = [u if u[0] == SPACE else SPACE + u for u in new]
+    def units(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Lists of the texts' units, those of single spaces only first, and the place of each text's list. A unit's one mark may be left out."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ").cast(pa.list_(pa.string()))
+        if odd.true_count:
+            others = pa.array([_units_of(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+            lists = pa.concat_arrays([lists, others])
+        order = pc.sort_indices(odd.cast(pa.int8()))  # stable
+        return lists, pc.sort_indices(order)
+
+    def cut(self, units: list[str], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids and score of the best path of every unit; counts say how often it comes."""
+        ids, scores = list(map(self.ids.get, units)), np.array([self.scores.get(u, 0.0) for u in units])
+        new = [i for i, x in enumerate(ids) if x is None]
+        marked = [u if u[0] == SPACE else SPACE + u for u in map(units.__getitem__, new)]
         for at in batches_by_length(marked):
+            at = at.tolist()
+            those = [new[i] for i in at]
             chars, lengths = matrix([marked[i] for i in at])
             found, s = arcs(self.pieces, chars, self.pieces.scores, None)
             best, back = best_paths(s)
-            those = [new[i] for i in at.tolist()]
-            self.ids.update(zip(those, _walked(self.pieces, found, chars, back, lengths)))
-            self.scores.update(zip(those, best[np.arange(len(at)), lengths].tolist()))
+            scores[those] = best[np.arange(len(at)), lengths]
+            for i, x in zip(those, _walked(self.pieces, found, chars, back, lengths)):
+                ids[i] = x
+        kept = np.argsort(-counts, kind="stable")[:KEPT_UNITS].tolist()
+        self.ids = {units[i]: ids[i] for i in kept}
+        self.scores = dict(zip(self.ids, scores[kept].tolist()))
+        return ids, scores
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
-        cut = [self.units(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [(b"".join(map(self.ids.__getitem__, c)), float(sum(map(self.scores.__getitem__, c)))) for c in cut]
+        return list(zip(*(x.to_pylist() for x in self.columns(pa.array(texts, pa.string())))))
+
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids (binary) and score of every text; no text is null."""
+        lists, place = self.units(texts)
+        told = lists.flatten().dictionary_encode()
+        number, bounds = told.indices, lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        number = number.to_numpy()
+        ids, scores = self.cut(told.dictionary.to_pylist(), np.bincount(number, minlength=len(told.dictionary)))
+        # the ids of all units in a row are those of all texts in a row
+        dealt = pa.array(ids, pa.large_binary()).take(number)
+        ends = np.frombuffer(dealt.buffers()[1], np.int64)[: len(dealt) + 1] if len(dealt) else np.zeros(1, np.int64)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[bounds].tobytes()), dealt.buffers()[2]])
+        each = scores[number].tolist()
+        summed = [float(sum(each[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return whole.take(place).cast(pa.binary()), pa.array(summed, pa.float64()).take(place)
 
 
 def _together(sizes: list[int]):
@@ -379,9 +414,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for at, n in _together(pc.utf8_length(b.column(1)).to_pylist()):
                 part = b.slice(at, n)
-                got = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "text", "ids", "score"])
-                del part, got
+                got = encoder.columns(part.column(1))
+                whole = pa.RecordBatch.from_arrays([*part.columns, *got], names=["doc_id", "text", "ids", "score"])
+                for i in range(0, n, GIVEN):
+                    yield whole.slice(i, GIVEN)
+                del part, got, whole
             del b  # before the next one comes
 
     plain = d.where(size <= GIANT).mapInArrow(short, "doc_id long, text string, ids binary, score double")
